@@ -1,0 +1,422 @@
+"""Query catalog: one Spark callable (and, where SQL can express it, one oracle SQL) per
+operator of the inventory.  ``__spark_entry__`` exposes these dictionaries.
+
+Every query reads the driver tables (or panels Spark derives from them) in
+full; nothing is sampled or capped.  Double columns are rounded to 6 dp on
+both sides so the order-insensitive value hash is engine-independent.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
+
+from ..functions import expm1_clip, log1p_target, r6, rint_long
+from ..operators import clean as C
+from ..operators import features as FE
+from ..operators import joins as J
+from ..operators import metrics as M
+from ..operators import split as S
+from ..sources import panels as P
+from . import flagship as FL
+from . import sqlparts as Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+SPEC = P.PANEL_SPEC
+ENTITIES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[r6(f.name).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType))
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def query(name: str, sql: str | None = None):
+    def deco(fn):
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name].__doc__ = fn.__doc__
+        if sql is not None:
+            ORACLE[name] = sql
+        return fn
+    return deco
+
+
+def sel_sql(cols_double: list[str], cols_other: list[str], src: str, where: str = "") -> str:
+    parts = cols_other + [f"{Q.r6(c)} AS {c}" for c in cols_double]
+    return f"SELECT {', '.join(parts)} FROM {src} {where}"
+
+
+# --------------------------------------------------------------------------- #
+# 2.1 / 2.2 / 2.3 scans, projections, joins
+# --------------------------------------------------------------------------- #
+PANEL_COLS = ["entity", "period", "year", "weekofyear", "target", "split"]
+RAW_F = ["f_price", "f_urgent", "f_acct", "f_price_dup"]
+
+
+@query("scan_panel", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(RAW_F, PANEL_COLS, "weekly_panel")))
+def q_scan_panel(spark, sf):
+    """#1: features of both splits with labels attached (NULL target on test)."""
+    return P.scan_panel(spark, sf)
+
+
+@query("drop_redundant", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(Q.BASE3, PANEL_COLS, "weekly_panel")))
+def q_drop_redundant(spark, sf):
+    """#9: the configured duplicate predictor removed."""
+    return C.drop_redundant(P.scan_panel(spark, sf), P.REDUNDANT_COLUMNS)
+
+
+@query("prepare_dates", Q.with_ctes(*Q.PANEL_CTES, body=(
+    "SELECT entity, period, split, row_number() OVER (PARTITION BY entity ORDER BY period) AS period_index "
+    "FROM weekly_panel")))
+def q_prepare_dates(spark, sf):
+    """#10: date-typed period and its order within the entity."""
+    p = P.scan_panel(spark, sf)
+    w = Window.partitionBy("entity").orderBy("period")
+    return p.select("entity", F.to_date("period").alias("period"), "split",
+                    F.row_number().over(w).alias("period_index"))
+
+
+@query("split_by_entity", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(
+    RAW_F, PANEL_COLS, "weekly_panel", "WHERE entity IN ('AUTOMOBILE', 'MACHINERY')")))
+def q_split_by_entity(spark, sf):
+    """#11: keep the configured entities."""
+    return C.split_by_entity(P.scan_panel(spark, sf), SPEC, ["AUTOMOBILE", "MACHINERY"])
+
+
+@query("join_labels", Q.with_ctes(*Q.PANEL_CTES, body=(
+    "SELECT f.entity, f.year, f.weekofyear, f.period, f.split, l.target FROM "
+    "(SELECT entity, year, weekofyear, period, split FROM weekly_panel) f LEFT JOIN "
+    "(SELECT entity, year, weekofyear, target FROM weekly_panel WHERE split = 'train') l "
+    "ON f.entity = l.entity AND f.year = l.year AND f.weekofyear = l.weekofyear")))
+def q_join_labels(spark, sf):
+    """#15: validated one-to-one left join of feature rows to labels."""
+    feats = P.panel_features(spark, sf).select("entity", "year", "weekofyear", "period", "split")
+    labels = P.panel_labels(spark, sf)
+    return J.join_labels(feats, labels, ["entity", "year", "weekofyear"], validate=True)
+
+
+@query("join_key_violations", Q.with_ctes(*Q.PANEL_CTES, body=(
+    "SELECT 'duplicate_feature_key' AS violation, entity, year, weekofyear, count(*) AS n FROM weekly_panel "
+    "GROUP BY entity, year, weekofyear HAVING count(*) > 1 "
+    "UNION ALL SELECT 'duplicate_label_key', entity, year, weekofyear, count(*) FROM weekly_panel WHERE split = 'train' "
+    "GROUP BY entity, year, weekofyear HAVING count(*) > 1 "
+    "UNION ALL SELECT 'unlabelled_feature_row', f.entity, f.year, f.weekofyear, count(*) FROM weekly_panel f "
+    "WHERE NOT EXISTS (SELECT 1 FROM weekly_panel l WHERE l.split = 'train' AND l.entity = f.entity "
+    "AND l.year = f.year AND l.weekofyear = f.weekofyear) GROUP BY f.entity, f.year, f.weekofyear")))
+def q_join_key_violations(spark, sf):
+    """#16: duplicate keys on either side and feature rows without a label."""
+    keys = ["entity", "year", "weekofyear"]
+    return J.join_key_violations(P.panel_features(spark, sf).select(*keys), P.panel_labels(spark, sf), keys)
+
+
+@query("entity_profile", Q.with_ctes(*Q.PANEL_CTES, body=(
+    "SELECT entity, count(*) FILTER (WHERE split = 'train') AS train_weeks, "
+    "min(period) FILTER (WHERE split = 'train') AS first_train_period, "
+    "max(period) FILTER (WHERE split = 'train') AS last_train_period, "
+    "count(*) FILTER (WHERE split = 'test') AS test_weeks FROM weekly_panel GROUP BY entity")))
+def q_entity_profile(spark, sf):
+    """#20: per entity train weeks, first/last train period, test weeks."""
+    p = P.scan_panel(spark, sf)
+    tr = F.col("split") == "train"
+    return p.groupBy("entity").agg(
+        F.count_if(tr).alias("train_weeks"),
+        F.min(F.when(tr, F.col("period"))).alias("first_train_period"),
+        F.max(F.when(tr, F.col("period"))).alias("last_train_period"),
+        F.count_if(F.col("split") == "test").alias("test_weeks"))
+
+
+@query("union_train_test", Q.with_ctes(*Q.PANEL_CTES, body=(
+    "SELECT entity, period, target, 'train' AS split FROM weekly_panel WHERE split = 'train' "
+    "UNION ALL SELECT entity, period, CAST(NULL AS BIGINT), 'test' FROM weekly_panel WHERE split = 'test'")))
+def q_union_train_test(spark, sf):
+    """#56: tagged concatenation of the train frame and the (label-less) test frame."""
+    p = P.scan_panel(spark, sf)
+    train = p.filter(F.col("split") == "train").select("entity", "period", "target")
+    test = p.filter(F.col("split") == "test").select("entity", "period")
+    return FE.union_train_test(train, test, SPEC)
+
+
+@query("union_entities", Q.with_ctes(*Q.naive_preds_ctes(), body=(
+    "SELECT entity, model_key, count(*) AS n FROM preds GROUP BY entity, model_key")))
+def q_union_entities(spark, sf):
+    """#57: per-entity prediction frames concatenated into one long frame."""
+    preds = FL.naive_predictions(spark, sf)
+    parts = [preds.filter(F.col("entity") == e) for e in ENTITIES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("entity", "model_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------- #
+# 2.5 windows
+# --------------------------------------------------------------------------- #
+CLEAN_CTES = Q.PANEL_CTES + (("clean", Q.cleaned()),)
+
+
+@query("impute_ffill", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(
+    [f"{c}_ffill" for c in Q.BASE3], ["entity", "period", "split"],
+    "(SELECT entity, period, split, " + ", ".join(
+        f"last_value({c} IGNORE NULLS) OVER ({Q.W_SPLIT} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}_ffill"
+        for c in Q.BASE3) + " FROM weekly_panel) t")))
+def q_impute_ffill(spark, sf):
+    """#39: last observation carried forward within (entity, split)."""
+    p = C.drop_redundant(P.scan_panel(spark, sf), P.REDUNDANT_COLUMNS).repartition("entity")
+    f = C.impute_ffill(p, SPEC, Q.BASE3)
+    return f.select("entity", "period", "split", *[F.col(c).alias(f"{c}_ffill") for c in Q.BASE3])
+
+
+@query("impute_ffill_bfill", Q.with_ctes(*CLEAN_CTES, body=sel_sql(Q.BASE3, ["entity", "period", "split"], "clean")))
+def q_impute_ffill_bfill(spark, sf):
+    """#40: forward fill then backward fill of leading gaps, within (entity, split)."""
+    return FL.cleaned_panel(spark, sf).select("entity", "period", "split", *Q.BASE3)
+
+
+def _lag_names():
+    return [f"{c}_lag_{k}" for c in Q.BASE3 for k in FE.DEFAULT_LAGS]
+
+
+def _roll_names(stat):
+    return [f"{c}_roll{stat}_{w}" for c in Q.BASE3 for w in FE.DEFAULT_WINDOWS]
+
+
+@query("lag_features", Q.with_ctes(*CLEAN_CTES, body=sel_sql(_lag_names(), ["entity", "period", "split"], (
+    "(SELECT entity, period, split, " + ", ".join(
+        f"{Q.lag(c, k)} AS {c}_lag_{k}" for c in Q.BASE3 for k in FE.DEFAULT_LAGS) + " FROM clean) t"))))
+def q_lag_features(spark, sf):
+    """#41: predictors shifted 1..4 rows, partitioned by entity only."""
+    f = FE.lag_features(FL.cleaned_panel(spark, sf), SPEC, Q.BASE3)
+    return f.select("entity", "period", "split", *_lag_names())
+
+
+@query("rolling_mean", Q.with_ctes(*CLEAN_CTES, body=sel_sql(_roll_names("mean"), ["entity", "period", "split"], (
+    "(SELECT entity, period, split, " + ", ".join(
+        f"{Q.roll(c, w, 'mean')} AS {c}_rollmean_{w}" for c in Q.BASE3 for w in FE.DEFAULT_WINDOWS) + " FROM clean) t"))))
+def q_rolling_mean(spark, sf):
+    """#42: trailing mean of the w previous rows, min observations max(2, w//2)."""
+    f = FE.rolling_mean(FL.cleaned_panel(spark, sf), SPEC, Q.BASE3)
+    return f.select("entity", "period", "split", *_roll_names("mean"))
+
+
+@query("rolling_std", Q.with_ctes(*CLEAN_CTES, body=sel_sql(_roll_names("std"), ["entity", "period", "split"], (
+    "(SELECT entity, period, split, " + ", ".join(
+        f"{Q.roll(c, w, 'std')} AS {c}_rollstd_{w}" for c in Q.BASE3 for w in FE.DEFAULT_WINDOWS) + " FROM clean) t"))))
+def q_rolling_std(spark, sf):
+    """#43: trailing sample std over the same frame."""
+    f = FE.rolling_std(FL.cleaned_panel(spark, sf), SPEC, Q.BASE3)
+    return f.select("entity", "period", "split", *_roll_names("std"))
+
+
+@query("seasonality", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(Q.SEASON_COLS, ["entity", "period"], (
+    f"(SELECT entity, period, {Q.SEASON_SQL} FROM weekly_panel) t"))))
+def q_seasonality(spark, sf):
+    """#58: cyclic week-of-year / month encodings."""
+    return FE.add_seasonality(P.scan_panel(spark, sf), SPEC).select("entity", "period", *Q.SEASON_COLS)
+
+
+ENG_NAMES = Q.feature_names()
+
+
+@query("drop_undefined_lags", Q.with_ctes(*Q.engineered_ctes(), body=(
+    "SELECT entity, split, count(*) AS n_rows, min(period) AS first_period FROM eng GROUP BY entity, split")))
+def q_drop_undefined_lags(spark, sf):
+    """#12: rows kept after dropping train rows with undefined engineered features."""
+    eng, _, _ = FL.engineered_panel(spark, sf)
+    return eng.groupBy("entity", "split").agg(F.count(F.lit(1)).alias("n_rows"),
+                                               F.min("period").alias("first_period"))
+
+
+@query("test_residual_fill", Q.with_ctes(*Q.engineered_ctes(), body=sel_sql(
+    ENG_NAMES, ["entity", "period"], "eng", "WHERE split = 'test'")))
+def q_test_residual_fill(spark, sf):
+    """#46 (with #41-#43, #58): every engineered feature of the test rows after the in-block fill."""
+    eng, names, _ = FL.engineered_panel(spark, sf)
+    return eng.filter(F.col("split") == "test").select("entity", "period", *names)
+
+
+@query("engineered_features", Q.with_ctes(*Q.engineered_ctes(), body=sel_sql(
+    ENG_NAMES, ["entity", "period", "split", "target"], "eng")))
+def q_engineered_features(spark, sf):
+    """#8 + #41-#46 + #58: the full engineered matrix (base, seasonality, lags, rolling)."""
+    eng, names, _ = FL.engineered_panel(spark, sf)
+    return eng.select("entity", "period", "split", "target", *names)
+
+
+@query("case_lags", Q.with_ctes(*Q.engineered_ctes(ar=True), body=sel_sql(
+    Q.CASE_NAMES[:-1], ["entity", "period", "split"], "eng")))
+def q_case_lags(spark, sf):
+    """#44: autoregressive case lags after the leading-row drop (test rows NULL)."""
+    eng, _, case = FL.engineered_panel(spark, sf, autoregressive=True)
+    return eng.select("entity", "period", "split", *case[:-1])
+
+
+@query("case_rolling", Q.with_ctes(*Q.engineered_ctes(ar=True), body=sel_sql(
+    ["cases_rollmean_4"], ["entity", "period", "split"], "eng")))
+def q_case_rolling(spark, sf):
+    """#45: trailing 4-row mean of the target (min 2), NULL placeholders on test."""
+    eng, _, case = FL.engineered_panel(spark, sf, autoregressive=True)
+    return eng.select("entity", "period", "split", case[-1])
+
+
+@query("temporal_split", Q.with_ctes(*Q.split_ctes(), body=(
+    "SELECT entity, role, count(*) AS n_rows, min(period) AS first_period, max(period) AS last_period "
+    "FROM spl GROUP BY entity, role")))
+def q_temporal_split(spark, sf):
+    """#47: earliest floor(0.75 n) usable train rows fit, the rest hold-out, per entity."""
+    eng, _, _ = FL.engineered_panel(spark, sf)
+    spl = S.temporal_split(eng.filter(F.col("split") == "train"), SPEC)
+    return spl.groupBy("entity", "role").agg(F.count(F.lit(1)).alias("n_rows"),
+                                             F.min("period").alias("first_period"),
+                                             F.max("period").alias("last_period"))
+
+
+CV_SQL = Q.with_ctes(*Q.split_ctes(), ("fitrows", (
+    "SELECT entity, period, row_number() OVER (PARTITION BY entity ORDER BY period) - 1 AS pos, "
+    "count(*) OVER (PARTITION BY entity) AS n FROM spl WHERE role = 'fit'")), ("folds", (
+    "SELECT entity, period, fold, CASE WHEN pos < n - (4 - fold) * (n // 5) THEN 'train' "
+    "WHEN pos < n - (4 - fold) * (n // 5) + (n // 5) THEN 'valid' END AS cv_role "
+    "FROM fitrows, range(0, 4) r(fold)")),
+    body="SELECT entity, CAST(fold AS INTEGER) AS fold, cv_role, count(*) AS n_rows, min(period) AS first_period, "
+         "max(period) AS last_period FROM folds WHERE cv_role IS NOT NULL GROUP BY ALL")
+
+
+@query("timeseries_cv_folds", CV_SQL)
+def q_timeseries_cv_folds(spark, sf):
+    """#48: expanding TimeSeriesSplit folds (S = 4) over the fit rows."""
+    eng, _, _ = FL.engineered_panel(spark, sf)
+    fit = S.temporal_split(eng.filter(F.col("split") == "train"), SPEC).filter(F.col("role") == "fit")
+    folds = S.timeseries_cv_folds(fit.select("entity", "period"), SPEC, 4)
+    return folds.groupBy("entity", "fold", "cv_role").agg(F.count(F.lit(1)).alias("n_rows"),
+                                                          F.min("period").alias("first_period"),
+                                                          F.max("period").alias("last_period"))
+
+
+# --------------------------------------------------------------------------- #
+# 2.8 scalar functions
+# --------------------------------------------------------------------------- #
+@query("target_transform", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(
+    ["target_t"], ["entity", "period"], "(SELECT entity, period, ln(1 + CAST(target AS DOUBLE)) AS target_t "
+    "FROM weekly_panel WHERE split = 'train') t")))
+def q_target_transform(spark, sf):
+    """#59: log1p of the target on train rows."""
+    p = P.scan_panel(spark, sf).filter(F.col("split") == "train")
+    return p.select("entity", "period", log1p_target("target").alias("target_t"))
+
+
+@query("inverse_target_transform", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(
+    ["x", "y"], ["entity", "period"], "(SELECT entity, period, x, CASE WHEN x IS NOT NULL THEN "
+    "greatest(exp(x) - 1, 0.0) END AS y FROM (SELECT entity, period, ln(1 + CAST(target AS DOUBLE)) - 3.0 AS x "
+    "FROM weekly_panel WHERE split = 'train') s) t")))
+def q_inverse_target_transform(spark, sf):
+    """#60: expm1 then clip at 0 (values shifted below 0 on the log scale to exercise the clip)."""
+    p = P.scan_panel(spark, sf).filter(F.col("split") == "train")
+    x = (log1p_target("target") - F.lit(3.0)).alias("x")
+    return p.select("entity", "period", x).select("entity", "period", "x", expm1_clip("x").alias("y"))
+
+
+@query("round_counts", Q.with_ctes(*Q.naive_preds_ctes(), body=(
+    "SELECT entity, model_key, period, CAST(round_even(predicted, 0) AS BIGINT) AS predicted_count FROM preds")))
+def q_round_counts(spark, sf):
+    """#61: half-to-even rounding of predictions to integer counts."""
+    preds = FL.naive_predictions(spark, sf)
+    return preds.select("entity", "model_key", "period", rint_long("predicted").alias("predicted_count"))
+
+
+@query("residuals", Q.with_ctes(*Q.naive_preds_ctes(), body=sel_sql(
+    ["actual", "predicted", "residual"], ["entity", "model_key", "period"],
+    "(SELECT *, actual - predicted AS residual FROM preds) t")))
+def q_residuals(spark, sf):
+    """#62: actual - predicted per hold-out period."""
+    return M.residuals(FL.naive_predictions(spark, sf))
+
+
+# --------------------------------------------------------------------------- #
+# 2.4 evaluation
+# --------------------------------------------------------------------------- #
+@query("flagship", Q.with_ctes(*Q.flagship_ctes(), ("pr", (
+    "SELECT entity, role, CAST(target AS DOUBLE) AS actual, "
+    f"lag(CAST(target AS DOUBLE), 1) OVER ({Q.W_ENTITY}) AS predicted FROM tr")),
+    body=f"SELECT entity, 'naive_lag1' AS model_key, {Q.metric_sql()} FROM pr WHERE role = 'holdout' GROUP BY entity"))
+def q_flagship(spark, sf):
+    """entry(): impute -> lag/roll -> drop -> 75 % split -> naive lag-1 -> metrics."""
+    return FL.flagship(spark, sf)
+
+
+PRED_CTES = Q.naive_preds_ctes()
+
+
+@query("forecast_metrics", Q.with_ctes(*PRED_CTES, body=(
+    f"SELECT entity, model_key, {Q.metric_sql()} FROM preds GROUP BY entity, model_key")))
+def q_forecast_metrics(spark, sf):
+    """#23: MAE / RMSE / R^2 per (entity, model)."""
+    return M.forecast_metrics(FL.naive_predictions(spark, sf))
+
+
+MODEL_ORDER_SQL = "CASE model_key " + " ".join(
+    f"WHEN '{k}' THEN {i}" for k, i in M.MODEL_ORDER.items()) + f" ELSE {len(M.MODEL_ORDER)} END"
+DISPLAY_SQL = "CASE model_key " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in M.ALL_DISPLAY_NAMES.items()) + " ELSE model_key END"
+
+
+@query("combined_scores", Q.with_ctes(*PRED_CTES, ("pooled", (
+    f"SELECT model_key, {Q.metric_sql()} FROM preds GROUP BY model_key")),
+    body=(f"SELECT row_number() OVER (ORDER BY mae, {MODEL_ORDER_SQL}, model_key) AS rank, {DISPLAY_SQL} AS model, "
+          "model_key, n, mae, rmse, r2 FROM pooled")))
+def q_combined_scores(spark, sf):
+    """#24: every entity's predictions pooled per model, ranked by MAE."""
+    return M.combined_scores(FL.naive_predictions(spark, sf))
+
+
+@query("rank_combined", Q.with_ctes(*PRED_CTES, ("pooled", (
+    f"SELECT model_key, {Q.metric_sql()} FROM preds GROUP BY model_key")),
+    body=f"SELECT row_number() OVER (ORDER BY mae, {MODEL_ORDER_SQL}, model_key) AS rank, model_key, mae FROM pooled"))
+def q_rank_combined(spark, sf):
+    """#51: global rank by pooled MAE."""
+    return M.combined_scores(FL.naive_predictions(spark, sf)).select("rank", "model_key", "mae")
+
+
+METRICS_CTES = PRED_CTES + (("met", f"SELECT entity, model_key, {Q.metric_sql()} FROM preds GROUP BY entity, model_key"),)
+
+
+@query("metrics_table", Q.with_ctes(*METRICS_CTES, body=(
+    f"SELECT entity, {DISPLAY_SQL} AS model, model_key, mae, rmse, r2, "
+    "model_key IN ('decision_tree', 'random_forest', 'xgboost', 'lightgbm') AS tuned FROM met")))
+def q_metrics_table(spark, sf):
+    """#25: tidy metrics with display names and the tuned flag."""
+    return M.metrics_table(M.forecast_metrics(FL.naive_predictions(spark, sf)))
+
+
+@query("rank_models", Q.with_ctes(*METRICS_CTES, body=(
+    f"SELECT entity, model_key, mae, row_number() OVER (PARTITION BY entity ORDER BY mae, {MODEL_ORDER_SQL}, model_key) "
+    f"AS rank_mae, row_number() OVER (PARTITION BY entity ORDER BY r2 DESC, {MODEL_ORDER_SQL}, model_key) AS rank_r2 "
+    "FROM met")))
+def q_rank_models(spark, sf):
+    """#50: unique ranks per entity (ascending MAE; descending R^2)."""
+    m = M.forecast_metrics(FL.naive_predictions(spark, sf))
+    a = M.rank_models(m, "mae").withColumnRenamed("rank", "rank_mae")
+    return M.rank_models(a, "r2").withColumnRenamed("rank", "rank_r2").select(
+        "entity", "model_key", "mae", "rank_mae", "rank_r2")
+
+
+@query("best_model_per_entity", Q.with_ctes(*METRICS_CTES, body=(
+    f"SELECT entity, model_key, n, mae, rmse, r2 FROM met QUALIFY row_number() OVER "
+    f"(PARTITION BY entity ORDER BY mae, {MODEL_ORDER_SQL}, model_key) = 1")))
+def q_best_model_per_entity(spark, sf):
+    """#26: argmin MAE per entity."""
+    return M.best_model_per_entity(M.forecast_metrics(FL.naive_predictions(spark, sf)))
+
+
+@query("model_comparison_pivot", Q.with_ctes(*METRICS_CTES, ("lng", (
+    "SELECT entity, model_key, 'mae' AS metric, mae AS value FROM met UNION ALL "
+    "SELECT entity, model_key, 'rmse', rmse FROM met UNION ALL SELECT entity, model_key, 'r2', r2 FROM met")),
+    body="SELECT metric, model_key, " + ", ".join(
+        f"{Q.r6(f'max(value) FILTER (WHERE entity = {chr(39)}{e}{chr(39)})')} AS {e}" for e in ENTITIES)
+    + " FROM lng GROUP BY metric, model_key"))
+def q_model_comparison_pivot(spark, sf):
+    """#33: model x entity tables of mae / rmse / r2."""
+    return M.model_comparison_pivot(M.forecast_metrics(FL.naive_predictions(spark, sf)), ENTITIES)
