@@ -13,7 +13,7 @@ EULER_GAMMA = 0.5772156649015329
 def r6(c) -> Column:
     """Engine-stable rounding of a computed double for the oracle comparison.
 
-    Rounds to 9 significant digits after a relative nudge of 1e-13 away from
+    Rounds to 9 significant digits (never finer than 1e-9 absolute) after a relative nudge of 1e-13 away from
     zero, and folds -0.0 into 0.0.  Averages of 2-decimal inputs are often
     exact decimals ending in 5, where a fixed-dp rounding flips on the last
     ulp; the nudge moves every such value off the rounding boundary in both
@@ -21,7 +21,7 @@ def r6(c) -> Column:
     """
     c = F.col(c) if isinstance(c, str) else c
     x = c.cast("double")
-    p = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))))
+    p = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.abs(x))), F.lit(-1)))
     y = F.round(x * F.lit(1.0 + 1e-13) / p, 8) * p
     return F.when((x == 0) | F.isnan(x) | ~F.abs(x).between(1e-300, 1e300), x + F.lit(0.0)) \
         .otherwise(y + F.lit(0.0))

@@ -2,8 +2,9 @@
 operator of the inventory.  ``__spark_entry__`` exposes these dictionaries.
 
 Every query reads the driver tables (or panels Spark derives from them) in
-full; nothing is sampled or capped.  Double columns are rounded to 6 dp on
-both sides so the order-insensitive value hash is engine-independent.
+full; nothing is sampled or capped.  Double columns are rounded on both sides
+(9 significant digits, see ``functions.r6``) so the order-insensitive value
+hash is engine-independent.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def q_drop_redundant(spark, sf):
 
 
 @query("prepare_dates", Q.with_ctes(*Q.PANEL_CTES, body=(
-    "SELECT entity, period, split, row_number() OVER (PARTITION BY entity ORDER BY period) AS period_index "
+    "SELECT entity, period, split, CAST(row_number() OVER (PARTITION BY entity ORDER BY period) AS INTEGER) AS period_index "
     "FROM weekly_panel")))
 def q_prepare_dates(spark, sf):
     """#10: date-typed period and its order within the entity."""
@@ -365,7 +366,7 @@ DISPLAY_SQL = "CASE model_key " + " ".join(
 
 @query("combined_scores", Q.with_ctes(*PRED_CTES, ("pooled", (
     f"SELECT model_key, {Q.metric_sql()} FROM preds GROUP BY model_key")),
-    body=(f"SELECT row_number() OVER (ORDER BY mae, {MODEL_ORDER_SQL}, model_key) AS rank, {DISPLAY_SQL} AS model, "
+    body=(f"SELECT CAST(row_number() OVER (ORDER BY mae, {MODEL_ORDER_SQL}, model_key) AS INTEGER) AS rank, {DISPLAY_SQL} AS model, "
           "model_key, n, mae, rmse, r2 FROM pooled")))
 def q_combined_scores(spark, sf):
     """#24: every entity's predictions pooled per model, ranked by MAE."""
@@ -374,7 +375,7 @@ def q_combined_scores(spark, sf):
 
 @query("rank_combined", Q.with_ctes(*PRED_CTES, ("pooled", (
     f"SELECT model_key, {Q.metric_sql()} FROM preds GROUP BY model_key")),
-    body=f"SELECT row_number() OVER (ORDER BY mae, {MODEL_ORDER_SQL}, model_key) AS rank, model_key, mae FROM pooled"))
+    body=f"SELECT CAST(row_number() OVER (ORDER BY mae, {MODEL_ORDER_SQL}, model_key) AS INTEGER) AS rank, model_key, mae FROM pooled"))
 def q_rank_combined(spark, sf):
     """#51: global rank by pooled MAE."""
     return M.combined_scores(FL.naive_predictions(spark, sf)).select("rank", "model_key", "mae")
@@ -392,8 +393,8 @@ def q_metrics_table(spark, sf):
 
 
 @query("rank_models", Q.with_ctes(*METRICS_CTES, body=(
-    f"SELECT entity, model_key, mae, row_number() OVER (PARTITION BY entity ORDER BY mae, {MODEL_ORDER_SQL}, model_key) "
-    f"AS rank_mae, row_number() OVER (PARTITION BY entity ORDER BY r2 DESC, {MODEL_ORDER_SQL}, model_key) AS rank_r2 "
+    f"SELECT entity, model_key, mae, CAST(row_number() OVER (PARTITION BY entity ORDER BY mae, {MODEL_ORDER_SQL}, model_key) "
+    f"AS INTEGER) AS rank_mae, CAST(row_number() OVER (PARTITION BY entity ORDER BY r2 DESC, {MODEL_ORDER_SQL}, model_key) AS INTEGER) AS rank_r2 "
     "FROM met")))
 def q_rank_models(spark, sf):
     """#50: unique ranks per entity (ascending MAE; descending R^2)."""
@@ -420,3 +421,316 @@ def q_best_model_per_entity(spark, sf):
 def q_model_comparison_pivot(spark, sf):
     """#33: model x entity tables of mae / rmse / r2."""
     return M.model_comparison_pivot(M.forecast_metrics(FL.naive_predictions(spark, sf)), ENTITIES)
+
+
+# --------------------------------------------------------------------------- #
+# 2.4 / 2.9 diagnostics and chart data
+# --------------------------------------------------------------------------- #
+from ..operators import eda as D  # noqa: E402
+from ..operators import scale as SC  # noqa: E402
+from ..operators import select as SEL  # noqa: E402
+
+
+def _union_long(src: str, cols: list[str], value_name: str, extra_sel: str = "entity, split") -> str:
+    return " UNION ALL ".join(
+        f"SELECT {extra_sel}, '{c}' AS feature, {i} AS idx, {c} AS {value_name} FROM {src}" for i, c in enumerate(cols))
+
+
+MISS_SQL = Q.with_ctes(*Q.PANEL_CTES, ("m", (
+    "SELECT entity, split, " + ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in Q.BASE3)
+    + " FROM weekly_panel GROUP BY entity, split")), ("l", _union_long("m", Q.BASE3, "n_missing")),
+    body=("SELECT entity, split, feature, n_missing, CAST(sum(n_missing) OVER (PARTITION BY entity, split) AS BIGINT) "
+          "AS total_missing, CASE WHEN n_missing > 0 AND row_number() OVER (PARTITION BY entity, split ORDER BY "
+          "n_missing DESC, idx) <= 3 THEN CAST(row_number() OVER (PARTITION BY entity, split ORDER BY n_missing DESC, "
+          "idx) AS INTEGER) END AS worst_rank FROM l"))
+
+
+@query("missing_counts", MISS_SQL)
+def q_missing_counts(spark, sf):
+    """#21: missing cells per feature per (entity, split) before imputation, total and worst 3."""
+    p = C.drop_redundant(P.scan_panel(spark, sf), P.REDUNDANT_COLUMNS)
+    return D.missing_counts(p, SPEC, Q.BASE3)
+
+
+GROUPS = [f"{e}_{s}" for e in ENTITIES for s in ("train", "test")]
+MSUM_SQL = Q.with_ctes(*Q.PANEL_CTES, ("m", (
+    "SELECT entity || '_' || split AS grp, " + ", ".join(
+        f"avg(CAST({c} IS NULL AS DOUBLE)) * 100.0 AS {c}" for c in RAW_F) + " FROM weekly_panel GROUP BY 1")),
+    ("l", _union_long("m", RAW_F, "pct", "grp")),
+    ("w", "SELECT feature, idx, " + ", ".join(f"max(pct) FILTER (WHERE grp = '{g}') AS {g}" for g in GROUPS)
+     + f", greatest({', '.join(GROUPS)}) AS max_pct FROM l GROUP BY feature, idx"),
+    body=("SELECT feature, " + ", ".join(f"{Q.r6(g)} AS {g}" for g in GROUPS) + f", {Q.r6('max_pct')} AS max_pct, "
+          "CAST(row_number() OVER (ORDER BY max_pct DESC, idx) AS INTEGER) AS rank_order FROM w"))
+
+
+@query("missing_summary", MSUM_SQL)
+def q_missing_summary(spark, sf):
+    """#22: % missing per feature x (entity, split) on raw rows (redundant column included), worst first."""
+    out = D.missing_summary(P.scan_panel(spark, sf), SPEC, RAW_F, GROUPS)
+    return out.withColumnRenamed("order", "rank_order")
+
+
+CORR_COLS = Q.BASE3 + ["target"]
+
+
+def _corr_sql():
+    parts = []
+    for i, a in enumerate(CORR_COLS):
+        for j, b in enumerate(CORR_COLS[: i + 1]):
+            xa, xb = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)"
+            num = f"covar_pop({xa}, {xb})"
+            den = (f"(stddev_pop({xa}) FILTER (WHERE {xa} IS NOT NULL AND {xb} IS NOT NULL) * "
+                   f"stddev_pop({xb}) FILTER (WHERE {xa} IS NOT NULL AND {xb} IS NOT NULL))")
+            parts.append(f"SELECT entity, '{a}' AS feature_a, '{b}' AS feature_b, {i} AS idx_a, {j} AS idx_b, "
+                         f"{Q.r6(f'{num} / nullif({den}, 0)')} AS corr FROM clean WHERE split = 'train' GROUP BY entity")
+    return " UNION ALL ".join(parts)
+
+
+@query("correlation_matrix", Q.with_ctes(*CLEAN_CTES, body=_corr_sql()))
+def q_correlation_matrix(spark, sf):
+    """#27: pairwise-complete Pearson r (lower triangle) of cleaned train predictors + target."""
+    tr = FL.cleaned_panel(spark, sf).filter(F.col("split") == "train")
+    return D.correlation_matrix(tr, SPEC, CORR_COLS)
+
+
+SKEW_SQL = ("SELECT entity, count(target) AS n, CASE WHEN count(target) > 2 THEN skewness(CAST(target AS DOUBLE)) END "
+            "AS skew_raw, CASE WHEN count(target) > 2 THEN skewness(ln(1 + CAST(target AS DOUBLE))) END AS skew_log1p "
+            "FROM weekly_panel WHERE split = 'train' GROUP BY entity")
+
+
+@query("target_skew", Q.with_ctes(*Q.PANEL_CTES, ("sk", SKEW_SQL), body=sel_sql(
+    ["skew_raw", "skew_log1p"], ["entity", "n"], "sk")))
+def q_target_skew(spark, sf):
+    """#28: bias-corrected skew of the target, raw and log1p."""
+    return D.target_skew(P.scan_panel(spark, sf).filter(F.col("split") == "train"), SPEC)
+
+
+def _hist_sql(values_cte: str, groups: str, bins: int, density: bool) -> tuple:
+    g_using = groups
+    st = (f"SELECT {groups}, count(x) AS n, CASE WHEN max(x) > min(x) THEN min(x) ELSE min(x) - 0.5 END AS lo, "
+          f"CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / {bins} ELSE CAST(1.0 / {bins} AS DOUBLE) END AS width "
+          f"FROM {values_cte} WHERE x IS NOT NULL GROUP BY {groups}")
+    cnt = (f"SELECT {groups}, CAST(least(floor((x - lo) / width) + 1, {bins}) AS INTEGER) AS bin, count(*) AS cnt "
+           f"FROM {values_cte} JOIN hst USING ({g_using}) WHERE x IS NOT NULL GROUP BY ALL")
+    grid = f"SELECT {groups}, n, lo, width, CAST(b AS INTEGER) AS bin FROM hst, range(1, {bins + 1}) r(b)"
+    dens = f", {Q.r6('coalesce(cnt, 0) / (n * width)')} AS density" if density else ""
+    body = (f"SELECT {groups}, bin, {Q.r6('lo + (bin - 1) * width')} AS bin_lo, {Q.r6('lo + bin * width')} AS bin_hi, "
+            f"coalesce(cnt, 0) AS count{dens} FROM hgrid LEFT JOIN hcnt USING ({g_using}, bin)")
+    return ("hst", st), ("hcnt", cnt), ("hgrid", grid), body
+
+
+_h = _hist_sql("hv", "entity, scale", 40, True)
+HIST_SQL = Q.with_ctes(*Q.PANEL_CTES, ("hv", (
+    "SELECT entity, 'raw' AS scale, CAST(target AS DOUBLE) AS x FROM weekly_panel WHERE split = 'train' UNION ALL "
+    "SELECT entity, 'log1p', ln(1 + CAST(target AS DOUBLE)) FROM weekly_panel WHERE split = 'train'")),
+    *_h[:3], body=_h[3])
+
+
+@query("target_histogram", HIST_SQL)
+def q_target_histogram(spark, sf):
+    """#29: 40 equal-width bins, density, raw and log1p target."""
+    return D.target_histogram(P.scan_panel(spark, sf).filter(F.col("split") == "train"), SPEC, 40)
+
+
+_rh = _hist_sql("hv", "entity, model_key", 30, False)
+RHIST_SQL = Q.with_ctes(*PRED_CTES, ("hv", "SELECT entity, model_key, actual - predicted AS x FROM preds"),
+                        *_rh[:3], ("hb", _rh[3]),
+                        ("mr", "SELECT entity, model_key, avg(actual - predicted) AS mean_residual FROM preds GROUP BY ALL"),
+                        body=f"SELECT hb.*, {Q.r6('mean_residual')} AS mean_residual FROM hb JOIN mr USING (entity, model_key)")
+
+
+@query("residual_histogram", RHIST_SQL)
+def q_residual_histogram(spark, sf):
+    """#30: 30-bin residual histogram and mean residual per (entity, model)."""
+    return D.residual_histogram(FL.naive_predictions(spark, sf), 30)
+
+
+KDE_SQL = Q.with_ctes(*PRED_CTES, (
+    "r", "SELECT entity, model_key, actual - predicted AS residual FROM preds"), (
+    "st", "SELECT entity, model_key, min(residual) AS mn, max(residual) AS mx, count(residual) AS n, "
+          "stddev_samp(residual) AS sd FROM r GROUP BY ALL"), (
+    "st2", "SELECT *, pow(CAST(n AS DOUBLE), -0.2) * sd AS h FROM st"), (
+    "g", "SELECT entity, model_key, h, CAST(i AS INTEGER) AS grid_idx, mn + (mx - mn) * i / 199 AS x "
+         "FROM st2, range(0, 200) t(i)"),
+    body=(f"SELECT g.entity, g.model_key, grid_idx, {Q.r6('x')} AS x, "
+          + Q.r6("sum(exp(-0.5 * ((x - residual) / h) * ((x - residual) / h))) / (count(*) * h * sqrt(2 * pi()))")
+          + " AS density FROM g JOIN r USING (entity, model_key) GROUP BY g.entity, g.model_key, grid_idx, x, h"))
+
+
+@query("residual_kde", KDE_SQL)
+def q_residual_kde(spark, sf):
+    """#31: Gaussian KDE (Scott bandwidth) of the residuals on a 200-point grid."""
+    return D.residual_kde(FL.naive_predictions(spark, sf), 200)
+
+
+@query("scatter_limits", Q.with_ctes(*PRED_CTES, body=(
+    f"SELECT entity, model_key, {Q.r6('greatest(max(actual), max(predicted)) * 1.05 + 1')} AS axis_max "
+    "FROM preds GROUP BY ALL")))
+def q_scatter_limits(spark, sf):
+    """#32: square scatter axis bound."""
+    return D.scatter_limits(FL.naive_predictions(spark, sf))
+
+
+@query("actual_vs_predicted", Q.with_ctes(*METRICS_CTES, body=sel_sql(
+    ["actual", "predicted", "mae", "rmse", "r2"], ["entity", "model_key", "period"],
+    "preds JOIN met USING (entity, model_key)")))
+def q_actual_vs_predicted(spark, sf):
+    """#64: hold-out series with the model's metric annotation."""
+    preds = FL.naive_predictions(spark, sf)
+    return D.actual_vs_predicted(preds, M.forecast_metrics(preds)).select(
+        "entity", "model_key", "period", "actual", "predicted", "mae", "rmse", "r2")
+
+
+@query("timeline_model_order", Q.with_ctes(*METRICS_CTES, body=(
+    "SELECT entity, model_key, mae, CAST(row_number() OVER (PARTITION BY entity ORDER BY mae, model_key) AS INTEGER) "
+    "AS overlay_order FROM met")))
+def q_timeline_model_order(spark, sf):
+    """#55: overlay order of the models by MAE."""
+    return D.timeline_model_order(M.forecast_metrics(FL.naive_predictions(spark, sf)))
+
+
+NAIVE_KEYS = list(M.NAIVE_DISPLAY_NAMES)
+
+
+@query("all_models_timeline", Q.with_ctes(*PRED_CTES, body=(
+    "SELECT entity, period, " + ", ".join(f"{Q.r6(f'max(predicted) FILTER (WHERE model_key = {chr(39)}{k}{chr(39)})')} AS {k}"
+                                          for k in NAIVE_KEYS)
+    + f", {Q.r6('max(actual)')} AS actual FROM preds GROUP BY entity, period")))
+def q_all_models_timeline(spark, sf):
+    """#65: period x model wide table with the actual series."""
+    return D.all_models_timeline(FL.naive_predictions(spark, sf), NAIVE_KEYS)
+
+
+@query("target_overview", Q.with_ctes(*Q.PANEL_CTES, ("sk", SKEW_SQL), body=(
+    f"SELECT p.entity, p.period, {Q.r6('CAST(p.target AS DOUBLE)')} AS target, "
+    f"{Q.r6('ln(1 + CAST(p.target AS DOUBLE))')} AS target_log1p, sk.n, {Q.r6('skew_raw')} AS skew_raw, "
+    f"{Q.r6('skew_log1p')} AS skew_log1p FROM weekly_panel p JOIN sk USING (entity) WHERE p.split = 'train'")))
+def q_target_overview(spark, sf):
+    """#66: target series per entity with raw / log1p skew."""
+    return D.target_overview(P.scan_panel(spark, sf).filter(F.col("split") == "train"), SPEC)
+
+
+# --------------------------------------------------------------------------- #
+# scaling
+# --------------------------------------------------------------------------- #
+def _stats_sql(src_where: str) -> str:
+    sel = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {c}__mean, coalesce(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) <> 0 "
+                    f"THEN stddev_pop(CAST({c} AS DOUBLE)) END, 1.0) AS {c}__scale" for c in ENG_NAMES)
+    return f"SELECT entity, {sel} FROM spl WHERE {src_where} GROUP BY entity"
+
+
+SCALER_SQL = Q.with_ctes(*Q.split_ctes(), ("st", _stats_sql("role = 'fit'")), body=" UNION ALL ".join(
+    f"SELECT entity, '{c}' AS feature, {i} AS feature_idx, {Q.r6(f'{c}__mean')} AS mean, {Q.r6(f'{c}__scale')} AS scale "
+    f"FROM st" for i, c in enumerate(ENG_NAMES)))
+
+
+def _fit_rows(spark, sf):
+    eng, names, _ = FL.engineered_panel(spark, sf)
+    return S.temporal_split(eng.filter(F.col("split") == "train"), SPEC), names
+
+
+@query("scaler_fit", SCALER_SQL)
+def q_scaler_fit(spark, sf):
+    """#37: per (entity, feature) train-only mean and population std (0 -> 1)."""
+    spl, names = _fit_rows(spark, sf)
+    stats = SC.scaler_fit(spl.filter(F.col("role") == "fit"), "entity", names)
+    return SC.scaler_long(stats, "entity", names)
+
+
+SCALED_SQL = Q.with_ctes(*Q.split_ctes(), ("st", _stats_sql("role = 'fit'")), body=(
+    "SELECT entity, period, role, " + ", ".join(f"{Q.r6(f'({c} - {c}__mean) / {c}__scale')} AS {c}" for c in ENG_NAMES)
+    + " FROM spl JOIN st USING (entity)"))
+
+
+@query("scale_features", SCALED_SQL)
+def q_scale_features(spark, sf):
+    """#63: (x - mean) / std of fit and hold-out rows with fit-row statistics."""
+    spl, names = _fit_rows(spark, sf)
+    scaled, _ = SC.scale_features(spl, "entity", names, F.col("role") == "fit")
+    return scaled.select("entity", "period", "role", *names)
+
+
+APPLY_SQL = Q.with_ctes(*Q.split_ctes(), ("st", _stats_sql("true")), body=(
+    "SELECT entity, period, " + ", ".join(f"{Q.r6(f'({c} - {c}__mean) / {c}__scale')} AS {c}" for c in ENG_NAMES)
+    + " FROM eng JOIN st USING (entity) WHERE split = 'test'"))
+
+
+@query("apply_fitted_stats", APPLY_SQL)
+def q_apply_fitted_stats(spark, sf):
+    """#17: statistics fitted on all usable train rows applied to the test rows (broadcast if small)."""
+    eng, names, _ = FL.engineered_panel(spark, sf)
+    stats = SC.scaler_fit(eng.filter(F.col("split") == "train"), "entity", names)
+    test = eng.filter(F.col("split") == "test")
+    return SC.apply_fitted_stats(test, stats, "entity", names).select("entity", "period", *names)
+
+
+# --------------------------------------------------------------------------- #
+# 2.3 / 2.5 / 2.6 selection
+# --------------------------------------------------------------------------- #
+MI_CTES = Q.split_ctes() + Q.mi_ctes(ENG_NAMES)
+SEL_CTES = MI_CTES + (("sel", (
+    "SELECT *, row_number() OVER (PARTITION BY entity ORDER BY mi DESC NULLS LAST, feature_idx DESC) <= 30 AS selected "
+    "FROM mi")), ("sel2", (
+    "SELECT *, CASE WHEN selected THEN CAST(row_number() OVER (PARTITION BY entity, selected ORDER BY feature_idx) "
+    "AS INTEGER) END AS sel_order FROM sel")))
+
+
+def _fit_points(spark, sf):
+    spl, names = _fit_rows(spark, sf)
+    fit = spl.filter(F.col("role") == "fit").select("entity", "period", log1p_target("target").alias("target_t"), *names)
+    return fit, names
+
+
+def mi_scores(spark, sf):
+    fit, names = _fit_points(spark, sf)
+    return SEL.mutual_info_ksg(fit, "entity", "period", "target_t", names, k=3)
+
+
+@query("ksg_neighbors", Q.with_ctes(*MI_CTES, body=f"SELECT entity, feature, rid, {Q.r6('eps')} AS eps FROM mie"))
+def q_ksg_neighbors(spark, sf):
+    """#19: exact Chebyshev distance to the 3rd neighbour (grid equi-join, no all-pairs)."""
+    fit, names = _fit_points(spark, sf)
+    pts = SEL.mi_points(fit, "entity", "period", "target_t", names)
+    return SEL.knn_radius(pts, "entity", 3).select("entity", "feature", F.col("rid").cast("long").alias("rid"), "eps")
+
+
+@query("mutual_info_ksg", Q.with_ctes(*MI_CTES, body=sel_sql(["mi"], ["entity", "feature", "feature_idx", "n"], "mi")))
+def q_mutual_info_ksg(spark, sf):
+    """#49: KSG mutual information of each engineered feature with log1p(target) on the fit rows."""
+    return mi_scores(spark, sf)
+
+
+@query("select_top_k", Q.with_ctes(*SEL_CTES, body=sel_sql(
+    ["mi"], ["entity", "feature", "feature_idx", "n", "selected", "sel_order"], "sel2")))
+def q_select_top_k(spark, sf):
+    """#52: top-30 features per entity by MI, in original column order."""
+    return SEL.select_top_k(mi_scores(spark, sf), "entity", 30)
+
+
+@query("mi_score_ranking", Q.with_ctes(*SEL_CTES, body=(
+    f"SELECT entity, feature, feature_idx, n, {Q.r6('mi')} AS mi, selected, CAST(mi_rank AS INTEGER) AS mi_rank FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY entity ORDER BY mi DESC NULLS LAST, feature_idx DESC) AS mi_rank "
+    "FROM sel) t WHERE mi_rank <= 30")))
+def q_mi_score_ranking(spark, sf):
+    """#53: MI scores descending, top 30 per entity, with the selected flag."""
+    scores = mi_scores(spark, sf).cache()
+    return SEL.mi_score_ranking(scores, SEL.select_top_k(scores, "entity", 30), "entity", 30)
+
+
+ALIGN_LONG = " UNION ALL ".join(f"SELECT entity, period, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM spl "
+                                f"WHERE role = 'fit'" for c in ENG_NAMES)
+
+
+@query("align_selected", Q.with_ctes(*SEL_CTES, ("lng", ALIGN_LONG), body=(
+    f"SELECT l.entity, l.period, l.feature, {Q.r6('l.value')} AS value, s.sel_order FROM lng l JOIN sel2 s "
+    "ON l.entity = s.entity AND l.feature = s.feature WHERE s.selected")))
+def q_align_selected(spark, sf):
+    """#13: fit rows restricted to each entity's selected features, in fitted order (long form)."""
+    spl, names = _fit_rows(spark, sf)
+    fit = spl.filter(F.col("role") == "fit")
+    args = [F.lit(len(names))]
+    for c in names:
+        args += [F.lit(c), F.col(c).cast("double")]
+    long = fit.select("entity", "period", F.stack(*args).alias("feature", "value"))
+    sel = SEL.select_top_k(mi_scores(spark, sf), "entity", 30)
+    return SEL.align_selected(long, sel, "entity").select("entity", "period", "feature", "value", "sel_order")

@@ -17,7 +17,7 @@ W_SPLIT = "PARTITION BY entity, split ORDER BY period"
 def r6(expr: str) -> str:
     """Same engine-stable rounding as ``functions.r6`` (9 significant digits)."""
     x = f"CAST({expr} AS DOUBLE)"
-    p = f"pow(10.0, floor(log10(abs({x}))))"
+    p = f"pow(10.0, greatest(floor(log10(abs({x}))), -1))"
     return (f"(CASE WHEN {x} = 0 OR isnan({x}) OR NOT abs({x}) BETWEEN 1e-300 AND 1e300 THEN {x} + 0.0 "
             f"ELSE round({x} * (1.0 + 1e-13) / {p}, 8) * {p} + 0.0 END)")
 
@@ -178,3 +178,53 @@ def split_ctes(ar: bool = False) -> tuple:
            "floor(count(*) OVER (PARTITION BY entity) * CAST(0.75 AS DOUBLE)) THEN 'fit' ELSE 'holdout' END AS role "
            "FROM eng WHERE split = 'train'")
     return engineered_ctes(ar=ar) + (("spl", spl),)
+
+
+def harmonic_sql(m: str) -> str:
+    """H(m) exactly as ``functions.harmonic`` computes it."""
+    md = f"CAST({m} AS DOUBLE)"
+    return (f"(CASE WHEN {m} <= 0 THEN 0.0 WHEN {m} <= 64 THEN "
+            f"list_reduce(list_transform(range(1, CAST({m} AS BIGINT) + 1), lambda i: CAST(1.0 AS DOUBLE) / i), lambda a, b: a + b) "
+            f"ELSE ln({md}) + 0.5772156649015329 + 1.0 / (2.0 * {md}) - 1.0 / (12.0 * {md} * {md}) "
+            f"+ 1.0 / (120.0 * pow({md}, 4)) END)")
+
+
+def jitter_sql(rid: str, fidx: str) -> str:
+    a = f"((CAST({rid} AS BIGINT) * 1103515245 + (CAST({fidx} AS BIGINT) + 7) * 12345 + 12345) % 2147483648)"
+    b = f"(({a} * 1103515245 + 12345) % 2147483648)"
+    return f"(CAST({b} AS DOUBLE) / 1073741824.0 - 1.0)"
+
+
+def mi_ctes(names: list[str], rows_cte: str = "spl", where: str = "role = 'fit'") -> tuple:
+    """Brute-force KSG (all pairs; fine for an oracle) ending in CTE ``mi``."""
+    base = (f"SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY period) AS rid, "
+            f"ln(1 + CAST(target AS DOUBLE)) AS y0, {', '.join(names)} FROM {rows_cte} WHERE {where}")
+    long = " UNION ALL ".join(f"SELECT entity, rid, y0, '{c}' AS feature, {i} AS feature_idx, CAST({c} AS DOUBLE) AS x0 "
+                              f"FROM mib" for i, c in enumerate(names))
+    sc = ("SELECT entity, feature, feature_idx, rid, "
+          "x0 / coalesce(CASE WHEN stddev_pop(x0) OVER g <> 0 THEN stddev_pop(x0) OVER g END, 1.0) AS xs, "
+          "y0 / coalesce(CASE WHEN stddev_pop(y0) OVER g <> 0 THEN stddev_pop(y0) OVER g END, 1.0) AS ys, "
+          "count(*) OVER g AS n FROM mil WINDOW g AS (PARTITION BY entity, feature)")
+    pts = (f"SELECT entity, feature, feature_idx, rid, n, "
+           f"xs + 1e-10 * greatest(1.0, avg(abs(xs)) OVER g) * {jitter_sql('rid', 'feature_idx')} AS x, "
+           f"ys + 1e-10 * greatest(1.0, avg(abs(ys)) OVER g) * {jitter_sql('rid', '-1')} AS y "
+           "FROM mis WINDOW g AS (PARTITION BY entity, feature)")
+    eps = ("SELECT a.entity, a.feature, a.rid, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS eps FROM mip a JOIN mip b "
+           "ON a.entity = b.entity AND a.feature = b.feature AND a.rid <> b.rid WHERE a.n > 3 "
+           "QUALIFY row_number() OVER (PARTITION BY a.entity, a.feature, a.rid "
+           "ORDER BY greatest(abs(a.x - b.x), abs(a.y - b.y))) = 3")
+    cnt = ("SELECT a.entity, a.feature, a.rid, "
+           "count(*) FILTER (WHERE b.x < a.x + e.eps * CAST('0.999999999' AS DOUBLE)) - "
+           "count(*) FILTER (WHERE b.x <= a.x - e.eps * CAST('0.999999999' AS DOUBLE)) - 1 AS nx, "
+           "count(*) FILTER (WHERE b.y < a.y + e.eps * CAST('0.999999999' AS DOUBLE)) - "
+           "count(*) FILTER (WHERE b.y <= a.y - e.eps * CAST('0.999999999' AS DOUBLE)) - 1 AS ny "
+           "FROM mip a JOIN mie e ON a.entity = e.entity AND a.feature = e.feature AND a.rid = e.rid "
+           "JOIN mip b ON a.entity = b.entity AND a.feature = b.feature GROUP BY a.entity, a.feature, a.rid")
+    agg = (f"SELECT entity, feature, avg({harmonic_sql('nx')}) AS hx, avg({harmonic_sql('ny')}) AS hy "
+           "FROM mic GROUP BY entity, feature")
+    meta = "SELECT entity, feature, any_value(feature_idx) AS feature_idx, any_value(n) AS n FROM mip GROUP BY ALL"
+    mi = (f"SELECT m.entity, m.feature, m.feature_idx, m.n, CASE WHEN m.n > 3 THEN greatest("
+          f"{harmonic_sql('m.n - 1')} + {harmonic_sql('2')} - hx - hy, 0.0) END AS mi "
+          "FROM mim m LEFT JOIN mia a ON m.entity = a.entity AND m.feature = a.feature")
+    return (("mib", base), ("mil", long), ("mis", sc), ("mip", pts), ("mie", eps), ("mic", cnt), ("mia", agg),
+            ("mim", meta), ("mi", mi))
