@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..functions import harmonic
 from ..session import cut_lineage
 
+_DEBUG = False
 JITTER = 1e-10
 EPS_SHRINK = 1.0 - 1e-9  # strict "< eps": neighbours at exactly eps stay out
 
@@ -92,13 +93,18 @@ def knn_radius(points: DataFrame, entity: str, k: int = 3, max_rounds: int = 40)
         w = Window.partitionBy(*keys, "rid").orderBy("d")
         res = cand.select(*keys, "rid", "d", F.row_number().over(w).alias("rn")) \
                   .filter(F.col("rn") == k).select(*keys, "rid", F.col("d").alias("eps"))
-        res = cut_lineage(res)
+        # cached rounds; a reliable checkpoint every few rounds bounds the lineage
+        res = cut_lineage(res) if r % 4 == 3 else res.cache()
         found = res if found is None else found.unionByName(res)
-        unresolved = cut_lineage(unresolved.join(res.select(*keys, "rid"), [*keys, "rid"], "left_anti"))
-        if unresolved.limit(1).count() == 0:
+        nxt = unresolved.join(res.select(*keys, "rid"), [*keys, "rid"], "left_anti")
+        unresolved = cut_lineage(nxt) if r % 4 == 3 else nxt.cache()
+        left = unresolved.count()
+        if _DEBUG:
+            print("knn round", r, "unresolved", left)
+        if left == 0:
             break
     pts.unpersist()
-    return found
+    return cut_lineage(found)
 
 
 def marginal_counts(points: DataFrame, eps: DataFrame, entity: str) -> DataFrame:

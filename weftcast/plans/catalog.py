@@ -734,3 +734,138 @@ def q_align_selected(spark, sf):
     long = fit.select("entity", "period", F.stack(*args).alias("feature", "value"))
     sel = SEL.select_top_k(mi_scores(spark, sf), "entity", 30)
     return SEL.align_selected(long, sel, "entity").select("entity", "period", "feature", "value", "sel_order")
+
+
+# --------------------------------------------------------------------------- #
+# 2.4 signal ablation (climate only vs climate + cases) on oracle-checkable OLS
+# --------------------------------------------------------------------------- #
+from ..operators import models as MD  # noqa: E402
+
+SIGNALS = {"climate_only": "f_price_lag_1", "climate_cases": "cases_lag_1"}
+SIG_CTES = Q.split_ctes(ar=True) + (("sig", " UNION ALL ".join(
+    f"SELECT entity, period, role, target, ln(1 + CAST(target AS DOUBLE)) AS y, '{s}' AS signal, "
+    f"CAST({x} AS DOUBLE) AS x FROM spl" for s, x in SIGNALS.items())), (
+    "co", "SELECT entity, signal, regr_intercept(y, x) AS intercept, regr_slope(y, x) AS slope FROM sig "
+          "WHERE role = 'fit' GROUP BY ALL"), (
+    "spred", "SELECT s.entity, s.signal, 'linear_regression' AS model_key, s.period, CAST(s.target AS DOUBLE) AS actual, "
+             "greatest(exp(co.intercept + co.slope * s.x) - 1, 0.0) AS predicted FROM sig s JOIN co "
+             "ON s.entity = co.entity AND s.signal = co.signal WHERE s.role = 'holdout'"), (
+    "scmp", f"SELECT entity, signal, model_key, {Q.metric_sql(rounded=False)} FROM spred GROUP BY ALL"))
+
+
+def _signal_frame(spark, sf):
+    eng, _, _ = FL.engineered_panel(spark, sf, autoregressive=True)
+    spl = S.temporal_split(eng.filter(F.col("split") == "train"), SPEC)
+    parts = [spl.select("entity", "period", "role", "target", log1p_target("target").alias("y"),
+                        F.lit(s).alias("signal"), F.col(x).cast("double").alias("x")) for s, x in SIGNALS.items()]
+    return parts[0].unionByName(parts[1])
+
+
+def _signal_coefs(sig):
+    fit = sig.filter(F.col("role") == "fit").withColumn("entity_signal", F.concat_ws("|", "entity", "signal"))
+    co = MD.fit_linear_family(fit, "entity_signal", ["x"], "y", models=("linear_regression",))
+    parts = F.split(F.col("entity"), "\\|")
+    return co.select(parts[0].alias("entity"), parts[1].alias("signal"), "model_key", "intercept",
+                     F.col("coef")[0].alias("slope"))
+
+
+def _signal_preds(spark, sf):
+    sig = _signal_frame(spark, sf)
+    co = _signal_coefs(sig)
+    ho = sig.filter(F.col("role") == "holdout").join(co, ["entity", "signal"])
+    return ho.select("entity", "signal", "model_key", "period", F.col("target").cast("double").alias("actual"),
+                     expm1_clip(F.col("intercept") + F.col("slope") * F.col("x")).alias("predicted"))
+
+
+@query("ols_single_feature", Q.with_ctes(*SIG_CTES, body=sel_sql(["intercept", "slope"], ["entity", "signal"], "co")))
+def q_ols_single_feature(spark, sf):
+    """#68 (single feature): OLS of log1p(target) on one predictor per (entity, signal), from Gram sums."""
+    return _signal_coefs(_signal_frame(spark, sf)).select("entity", "signal", "intercept", "slope")
+
+
+@query("signal_comparison", Q.with_ctes(*SIG_CTES, body=sel_sql(
+    ["mae", "rmse", "r2"], ["entity", "signal", "model_key", "n"], "scmp")))
+def q_signal_comparison(spark, sf):
+    """#34: hold-out metrics per (entity, signal, model) for climate-only vs climate + cases."""
+    return M.signal_comparison(_signal_preds(spark, sf))
+
+
+@query("signal_improvement", Q.with_ctes(*SIG_CTES, ("piv", (
+    "SELECT entity, model_key, avg(rmse) FILTER (WHERE signal = 'climate_only') AS rmse_base, "
+    "avg(rmse) FILTER (WHERE signal = 'climate_cases') AS rmse_extended FROM scmp GROUP BY ALL")),
+    body=sel_sql(["rmse_base", "rmse_extended", "improvement", "pct_cut"], ["entity", "model_key"], (
+        "(SELECT *, rmse_base - rmse_extended AS improvement, 100.0 * (rmse_base - rmse_extended) / rmse_base "
+        "AS pct_cut FROM piv) t"))))
+def q_signal_improvement(spark, sf):
+    """#35: mean RMSE by signal per (entity, model), improvement and % cut."""
+    return M.signal_improvement(M.signal_comparison(_signal_preds(spark, sf)), "climate_only", "climate_cases")
+
+
+@query("signal_average", Q.with_ctes(*SIG_CTES, ("av", (
+    "SELECT avg(rmse) FILTER (WHERE signal = 'climate_only') AS rmse_base, "
+    "avg(rmse) FILTER (WHERE signal = 'climate_cases') AS rmse_extended FROM scmp")),
+    body=sel_sql(["rmse_base", "rmse_extended", "pct_lower"], [],
+                 "(SELECT *, 100.0 * (rmse_base - rmse_extended) / rmse_base AS pct_lower FROM av) t")))
+def q_signal_average(spark, sf):
+    """#36: average RMSE per signal and the % lower error."""
+    return M.signal_average(M.signal_comparison(_signal_preds(spark, sf)), "climate_only", "climate_cases")
+
+
+# --------------------------------------------------------------------------- #
+# 2.10 CV scoring on oracle-checkable candidates (naive predictors per fold)
+# --------------------------------------------------------------------------- #
+def _fold_naive_preds(spark, sf):
+    """Per fold: the validation rows scored by two naive candidates on the log scale."""
+    eng, _, _ = FL.engineered_panel(spark, sf)
+    fit = S.temporal_split(eng.filter(F.col("split") == "train"), SPEC).filter(F.col("role") == "fit")
+    folds = S.timeseries_cv_folds(fit.select("entity", "period", log1p_target("target").alias("actual_t")), SPEC, 4)
+    w = Window.partitionBy("entity", "fold").orderBy("period")
+    f4 = w.rowsBetween(-4, -1)
+    y = F.col("actual_t")
+    p = folds.select("entity", "fold", "cv_role", "period", "actual_t",
+                     F.lag(y, 1).over(w).alias("naive_lag1"),
+                     F.when(F.count(y).over(f4) >= 2, F.avg(y).over(f4)).alias("naive_roll4"))
+    v = p.filter(F.col("cv_role") == "valid")
+    return v.select("entity", "fold", "period", "actual_t", F.stack(
+        F.lit(2), F.lit("naive_lag1"), F.col("naive_lag1"), F.lit("naive_roll4"), F.col("naive_roll4"))
+        .alias("candidate", "predicted_t"))
+
+
+FOLD_SQL = Q.with_ctes(*Q.split_ctes(), ("fitrows", (
+    "SELECT entity, period, ln(1 + CAST(target AS DOUBLE)) AS actual_t, row_number() OVER (PARTITION BY entity "
+    "ORDER BY period) - 1 AS pos, count(*) OVER (PARTITION BY entity) AS n FROM spl WHERE role = 'fit'")), ("folds", (
+    "SELECT entity, period, actual_t, CAST(fold AS INTEGER) AS fold, CASE WHEN pos < n - (4 - fold) * (n // 5) "
+    "THEN 'train' WHEN pos < n - (4 - fold) * (n // 5) + (n // 5) THEN 'valid' END AS cv_role "
+    "FROM fitrows, range(0, 4) r(fold)")), ("fp", (
+    "SELECT entity, fold, cv_role, period, actual_t, lag(actual_t, 1) OVER (PARTITION BY entity, fold ORDER BY period) "
+    "AS naive_lag1, CASE WHEN count(actual_t) OVER (PARTITION BY entity, fold ORDER BY period ROWS BETWEEN 4 PRECEDING "
+    "AND 1 PRECEDING) >= 2 THEN avg(actual_t) OVER (PARTITION BY entity, fold ORDER BY period ROWS BETWEEN 4 PRECEDING "
+    "AND 1 PRECEDING) END AS naive_roll4 FROM folds WHERE cv_role IS NOT NULL")), ("fv", (
+    "SELECT entity, fold, period, actual_t, 'naive_lag1' AS candidate, naive_lag1 AS predicted_t FROM fp "
+    "WHERE cv_role = 'valid' UNION ALL SELECT entity, fold, period, actual_t, 'naive_roll4', naive_roll4 FROM fp "
+    "WHERE cv_role = 'valid'")), body="SELECT * FROM fv")
+
+
+def _cv_sql(objective: str) -> str:
+    if objective == "rmse":
+        e = ("(CASE WHEN actual_t IS NOT NULL THEN greatest(exp(actual_t) - 1, 0.0) END - "
+             "CASE WHEN predicted_t IS NOT NULL THEN greatest(exp(predicted_t) - 1, 0.0) END)")
+        score = f"sqrt(avg({e} * {e}))"
+    else:
+        score = "avg(abs(actual_t - predicted_t))"
+    body = (f"SELECT entity, candidate, {Q.r6('avg(score)')} AS cv_score, count(fold) AS n_folds, "
+            "row_number() OVER (PARTITION BY entity ORDER BY avg(score), candidate) = 1 AS is_best FROM "
+            f"(SELECT entity, candidate, fold, {score} AS score FROM fv GROUP BY ALL) t GROUP BY entity, candidate")
+    return FOLD_SQL.replace("SELECT * FROM fv", body)
+
+
+@query("cv_scores", _cv_sql("mae"))
+def q_cv_scores(spark, sf):
+    """#38: mean fold MAE (log scale) per candidate over the 4 expanding folds, best flagged."""
+    return M.cv_scores(_fold_naive_preds(spark, sf), "mae")
+
+
+@query("tune_objective", _cv_sql("rmse"))
+def q_tune_objective(spark, sf):
+    """#79: the 'rmse' objective - inverse-transform inside each fold, RMSE on the count scale."""
+    return M.cv_scores(_fold_naive_preds(spark, sf), "rmse")
