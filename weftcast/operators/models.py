@@ -171,7 +171,10 @@ def predict_linear(df: DataFrame, coefs: DataFrame, entity: str, cols: list[str]
     """intercept + coef . x for every model of the entity (coefficient table broadcast if small)."""
     c = broadcast_if_small(coefs)
     j = df.join(c, [*group_cols, entity])
-    dot = F.aggregate(F.zip_with(F.col("coef"), F.array(*[F.col(x).cast("double") for x in cols]),
+    # a predictor missing in a whole test block stays NULL after the fills: it
+    # contributes its training mean (0 on the scaled axis) instead of voiding the row
+    dot = F.aggregate(F.zip_with(F.col("coef"), F.array(*[F.coalesce(F.col(x).cast("double"), F.lit(0.0))
+                                                          for x in cols]),
                                  lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     return j.select(*[c for c in df.columns], "model_key", (F.col("intercept") + dot).alias(out))
 

@@ -869,3 +869,178 @@ def q_cv_scores(spark, sf):
 def q_tune_objective(spark, sf):
     """#79: the 'rmse' objective - inverse-transform inside each fold, RMSE on the count scale."""
     return M.cv_scores(_fold_naive_preds(spark, sf), "rmse")
+
+
+# --------------------------------------------------------------------------- #
+# 2.10 models, tuning, forecasts, runs; 2.1 sinks (rows-only checks: no oracle SQL)
+# --------------------------------------------------------------------------- #
+from . import modelling as ML  # noqa: E402
+from . import runs as RN  # noqa: E402
+
+_RUNS: dict = {}
+
+
+def _run(spark, sf, autoregressive=False):
+    key = (spark.sparkContext.applicationId, sf, autoregressive)
+    if key not in _RUNS:
+        _RUNS[key] = RN.run_forecast(spark, sf, autoregressive)
+    return _RUNS[key]
+
+
+def _model_query(key: str, doc: str):
+    def fn(spark, sf):
+        st = RN.stack_for(spark, sf)
+        if key in MD.LINEAR_MODELS:
+            return ML.to_predictions(ML.linear_predictions(st, [key]))
+        ents = ML._entities(st.frame)
+        pe = {e: dict(RN.DEFAULT_TREE_PARAMS[key]) for e in ents}
+        return ML.to_predictions(ML.tree_predictions(st, key, pe, RN.QUERY_CFG))
+    fn.__doc__ = doc
+    return fn
+
+
+for _k, _num, _what in [("linear_regression", 68, "OLS with intercept (Gram statistics, lstsq)"),
+                        ("ridge", 69, "ridge alpha=1 (closed form on the Gram matrix)"),
+                        ("lasso", 70, "lasso alpha=0.01 (coordinate descent on the Gram matrix)"),
+                        ("elastic_net", 71, "elastic net alpha=0.01, l1_ratio=0.5"),
+                        ("decision_tree", 72, "CART (pyspark.ml DecisionTreeRegressor)"),
+                        ("random_forest", 73, "bagged trees (RandomForestRegressor)"),
+                        ("xgboost", 74, "depth-wise boosting (GBTRegressor)"),
+                        ("lightgbm", 75, "boosting with a leaf-count depth bound (GBTRegressor)")]:
+    _name = {"linear_regression": "fit_linear_regression", "ridge": "fit_ridge", "lasso": "fit_lasso",
+             "elastic_net": "fit_elastic_net", "decision_tree": "fit_decision_tree",
+             "random_forest": "fit_random_forest", "xgboost": "fit_gbt_depthwise",
+             "lightgbm": "fit_gbt_leafwise"}[_k]
+    query(_name)(_model_query(_k, f"#{_num}: {_what}; hold-out predictions per entity."))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """#76: importances of the tuned tree models per entity (named by selected feature)."""
+    return _run(spark, sf).importances
+
+
+@query("top_importances")
+def q_top_importances(spark, sf):
+    """#54: top-20 importances per (entity, tree model)."""
+    return RN.top_importances(_run(spark, sf).importances, 20)
+
+
+def _tuned_table(spark, sf, key):
+    st = RN.stack_for(spark, sf)
+    best = ML.tune_tree(st, key, RN.QUERY_CFG)
+    rows = [(e, key, json.dumps(p, default=str), float(s)) for e, (p, s) in sorted(best.items())]
+    return spark.createDataFrame(rows, "entity string, model_key string, best_params string, best_cv_score double")
+
+
+import json  # noqa: E402
+
+
+@query("tune_grid")
+def q_tune_grid(spark, sf):
+    """#77: exhaustive grid search (decision tree) with 4 expanding time-series folds."""
+    return _tuned_table(spark, sf, "decision_tree")
+
+
+@query("tune_random")
+def q_tune_random(spark, sf):
+    """#78: seeded random search (random forest) with the same CV."""
+    return _tuned_table(spark, sf, "random_forest")
+
+
+@query("train_evaluate")
+def q_train_evaluate(spark, sf):
+    """#80: one model (elastic net) through selection, scaling, fit, inverse transform and metrics."""
+    st = RN.stack_for(spark, sf)
+    return M.forecast_metrics(ML.to_predictions(ML.linear_predictions(st, ["elastic_net"])))
+
+
+@query("forecast_direct")
+def q_forecast_direct(spark, sf):
+    """#81 (+ #18, #61): best model per entity refit on all train rows, test forecast, clipped and rounded."""
+    return _run(spark, sf).submission
+
+
+@query("forecast_recursive")
+def q_forecast_recursive(spark, sf):
+    """#82: autoregressive recursive forecast of the test weeks with each entity's best model."""
+    return _run(spark, sf, True).submission
+
+
+@query("run_weather_only")
+def q_run_weather_only(spark, sf):
+    """#83: full weather-only run - metrics table of all eight models."""
+    return _run(spark, sf).metrics
+
+
+@query("run_autoregressive")
+def q_run_autoregressive(spark, sf):
+    """#84: the same run with past-case features (1-week-ahead nowcast)."""
+    return _run(spark, sf, True).metrics
+
+
+@query("signal_ablation")
+def q_signal_ablation(spark, sf):
+    """#85: tuned random forest and boosting on climate-only vs climate + cases features."""
+    return RN.signal_ablation(spark, sf)
+
+
+@query("sink_predictions")
+def q_sink_predictions(spark, sf):
+    """#4 + #2: hold-out predictions written per (entity, model) and read back by file path."""
+    root = RN.output_root(spark)
+    path = RN.write_predictions(_run(spark, sf).predictions, root)
+    return RN.scan_holdout_predictions(spark, path)
+
+
+@query("scan_holdout_predictions")
+def q_scan_holdout_predictions(spark, sf):
+    """#2: per-(entity, model) hold-out files; identity recovered from the file path."""
+    root = RN.output_root(spark)
+    preds = ML.to_predictions(ML.linear_predictions(RN.stack_for(spark, sf)))
+    return RN.scan_holdout_predictions(spark, RN.write_predictions(preds, root))
+
+
+@query("sink_reports")
+def q_sink_reports(spark, sf):
+    """#3: metrics, ranked, pooled and best tables written as CSV; the ranked table read back."""
+    root = RN.output_root(spark)
+    paths = RN.write_reports(_run(spark, sf), root)
+    return spark.read.option("header", True).option("inferSchema", False).csv(paths["ranked_metrics"])
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    """#5: best per entity, pooled best, model count, entities (one row, JSON included)."""
+    return RN.run_summary(_run(spark, sf))
+
+
+@query("comparison_report")
+def q_comparison_report(spark, sf):
+    """#6: fixed-width comparison report lines (section, order, line number, text)."""
+    r = _run(spark, sf)
+    return RN.comparison_report(r.ranked, r.combined)
+
+
+@query("save_models")
+def q_save_models(spark, sf):
+    """#7: persist the fitted tree model of each entity (pyspark.ml writer) and list what was saved."""
+    st = RN.stack_for(spark, sf)
+    ents = ML._entities(st.frame)
+    _, models = ML.tree_predictions(st, "decision_tree", {e: RN.DEFAULT_TREE_PARAMS["decision_tree"] for e in ents},
+                                    RN.QUERY_CFG, return_models=True)
+    root = RN.output_root(spark)
+    rows = []
+    from pyspark.ml.regression import DecisionTreeRegressionModel
+    for e, m in sorted(models.items()):
+        path = f"{root}/models/{e}/decision_tree"
+        m.write().overwrite().save(path)
+        back = DecisionTreeRegressionModel.load(path)
+        rows.append((e, "decision_tree", path, int(back.numNodes)))
+    return spark.createDataFrame(rows, "entity string, model_key string, path string, num_nodes int")
+
+
+@query("model_dashboard")
+def q_model_dashboard(spark, sf):
+    """#67: per (entity, model) metrics, params, series, residuals and top-12 importances."""
+    return RN.model_dashboard(_run(spark, sf))

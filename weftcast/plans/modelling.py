@@ -190,7 +190,7 @@ def _fit_score(df_fit, df_valid, slots, key, params, objective, seed):
 
 
 def tune_tree(stack: Stack, key: str, cfg: RunConfig, candidates: list[dict] | None = None,
-              fit_role: str = "fit") -> dict:
+              fit_role: str = "fit", entities: list[str] | None = None) -> dict:
     """#77/#78/#79: time-series CV per entity; returns {entity: (best_params, best_cv_score)}.
 
     Folds (#48) are materialised once; each (entity, candidate, fold) fit runs
@@ -198,8 +198,10 @@ def tune_tree(stack: Stack, key: str, cfg: RunConfig, candidates: list[dict] | N
     """
     kind, cands = candidates_for(key, cfg) if candidates is None else ("given", candidates)
     fr = stack.frame.filter(F.col("role") == fit_role)
+    ents = sorted(entities) if entities else _entities(fr)
+    if entities:
+        fr = fr.filter(F.col("entity").isin(ents))
     folds = cut_lineage(timeseries_cv_folds(fr, SPEC, cfg.n_splits))
-    ents = _entities(fr)
     jobs = [(e, ci, f) for e in ents for ci in range(len(cands)) for f in range(cfg.n_splits)]
 
     def run(job):
@@ -290,7 +292,7 @@ def forecast_direct(stack_full: Stack, best: dict, cfg: RunConfig, params: dict
     for key in sorted({k for k in best.values() if k in MD.TREE_MODELS}):
         ents = [e for e, k in best.items() if k == key]
         if params is None:
-            tuned = tune_tree(stack_full, key, cfg)
+            tuned = tune_tree(stack_full, key, cfg, entities=ents)
             pe = {e: tuned[e][0] for e in ents}
         else:
             pe = {e: params.get((e, key), {}) for e in ents}
