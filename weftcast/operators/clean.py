@@ -55,7 +55,7 @@ def impute_ffill_bfill(df: DataFrame, spec: PanelSpec, cols: list[str] | None =
         for c in df.columns])
 
 
-def clean_panel(df: DataFrame, spec: PanelSpec, redundant: list[str]) -> DataFrame:
+def clean_panel(df: DataFrame, spec: PanelSpec, redundant: list[str], block_rows: int | None = None) -> DataFrame:
     """Reference cleaning: drop redundant columns, then ffill->bfill per (entity, split).
 
     The panel is hash-partitioned by entity once; the (entity, split) impute
@@ -63,5 +63,8 @@ def clean_panel(df: DataFrame, spec: PanelSpec, redundant: list[str]) -> DataFra
     exchange (clustering on a subset of the keys), so the whole chain costs a
     single shuffle.
     """
-    df = drop_redundant(df, redundant).repartition(spec.entity)
-    return impute_ffill_bfill(df, spec)
+    df = drop_redundant(df, redundant)
+    if block_rows:  # long entities: prefix scan per row block (operators.blocked)
+        from .blocked import blocked_ffill_bfill
+        return blocked_ffill_bfill(df, spec, feature_columns(df, spec), block_rows)
+    return impute_ffill_bfill(df.repartition(spec.entity), spec)

@@ -136,20 +136,31 @@ def case_features(df: DataFrame, spec: PanelSpec, lags=DEFAULT_LAGS, windows=(4,
 
 def engineer(df: DataFrame, spec: PanelSpec, lags=DEFAULT_LAGS, windows=DEFAULT_WINDOWS,
              seasonality: bool = True, autoregressive: bool = False,
-             case_lags=DEFAULT_LAGS, case_windows=(4,)) -> tuple[DataFrame, list[str], list[str]]:
+             case_lags=DEFAULT_LAGS, case_windows=(4,),
+             block_rows: int | None = None) -> tuple[DataFrame, list[str], list[str]]:
     """Full feature build on a cleaned panel.
 
     Returns (frame, feature_names, case_feature_names).  Feature order follows
     the reference: base predictors, seasonality, then per predictor its lags
-    and rolling mean/std per window, then (AR) case features.
+    and rolling mean/std per window, then (AR) case features.  With
+    ``block_rows`` the windows run per (entity, row block) with a halo
+    (``operators.blocked``) - same result, parallel inside long entities.
     """
     base = feature_columns(df, spec)
     if seasonality:
         df = add_seasonality(df, spec)
-    df = window_features(df, spec, base, lags, windows)
+    if block_rows:
+        from .blocked import blocked_ffill_bfill, blocked_window_features
+        df = blocked_window_features(df, spec, base, lags, windows, block_rows)
+    else:
+        df = window_features(df, spec, base, lags, windows)
     names = [c for c in df.columns if c not in spec.non_features()]
     df = drop_undefined_lags(df, spec, names)
-    df = test_residual_fill(df, spec, names)
+    if block_rows:
+        test = blocked_ffill_bfill(df.filter(F.col(spec.split) == "test"), spec, names, block_rows)
+        df = df.filter(F.col(spec.split) == "train").unionByName(test.select(*df.columns))
+    else:
+        df = test_residual_fill(df, spec, names)
     case_names: list[str] = []
     if autoregressive:
         df, case_names = case_features(df, spec, case_lags, case_windows)

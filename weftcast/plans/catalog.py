@@ -1044,3 +1044,22 @@ def q_save_models(spark, sf):
 def q_model_dashboard(spark, sf):
     """#67: per (entity, model) metrics, params, series, residuals and top-12 importances."""
     return RN.model_dashboard(_run(spark, sf))
+
+
+@query("attach_forecast", Q.with_ctes(*Q.PANEL_CTES, ("lastv", (
+    "SELECT entity, CAST(max_by(target, period) AS DOUBLE) AS last_target FROM weekly_panel WHERE split = 'train' "
+    "GROUP BY entity")), ("fc", (
+    "SELECT t.entity, t.year, t.weekofyear, CAST(round_even(l.last_target, 0) AS BIGINT) AS total_cases "
+    "FROM weekly_panel t JOIN lastv l ON t.entity = l.entity WHERE t.split = 'test'")),
+    body=("SELECT m.entity, m.year, m.weekofyear, m.period, fc.total_cases FROM weekly_panel m LEFT JOIN fc "
+          "ON m.entity = fc.entity AND m.year = fc.year AND m.weekofyear = fc.weekofyear WHERE m.split = 'test'")))
+def q_attach_forecast(spark, sf):
+    """#18 (+ #61): a naive last-known-count forecast put back on the submission rows by key."""
+    p = P.scan_panel(spark, sf)
+    last = p.filter(F.col("split") == "train").groupBy("entity").agg(
+        F.max_by(F.col("target").cast("double"), "period").alias("last_target"))
+    test = p.filter(F.col("split") == "test")
+    fc = test.join(last, "entity").select("entity", "year", "weekofyear",
+                                          rint_long("last_target").alias("total_cases"))
+    meta = test.select("entity", "year", "weekofyear", "period")
+    return J.attach_forecast(meta, fc, ["entity", "year", "weekofyear"])
