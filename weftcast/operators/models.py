@@ -246,9 +246,24 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def fit_tree(df: DataFrame, cols: list[str], y: str, key: str, params: dict, seed: int = 42):
-    """Fit one tree model on ``df`` (already restricted to one entity / fold)."""
+ROWS_PER_FIT_PARTITION = 250_000
+
+
+def fit_partitions(n_rows: int) -> int:
+    """Input partitions for one entity's fit: ~250k rows each, at least one."""
+    return max(1, -(-int(n_rows) // ROWS_PER_FIT_PARTITION))
+
+
+def fit_tree(df: DataFrame, cols: list[str], y: str, key: str, params: dict, seed: int = 42,
+             partitions: int | None = None):
+    """Fit one tree model on ``df`` (already restricted to one entity / fold).
+
+    ``partitions`` sizes the input to the entity's rows: tiny entities train in
+    one task per job instead of many near-empty ones; large entities stay spread.
+    """
     data = assemble(df, cols).select("features", F.col(y).cast("double").alias("label"))
+    if partitions:
+        data = data.coalesce(partitions)   # never increases the partition count
     return make_tree_estimator(key, params, seed).fit(data)
 
 
@@ -260,3 +275,65 @@ def feature_importance(model, feature_names: list[str]) -> list[tuple[str, int,
     """#76: (feature, index, importance) of a fitted tree model; linear models have none."""
     imp = model.featureImportances.toArray()
     return [(f, i, float(imp[i]) if i < len(imp) else 0.0) for i, f in enumerate(feature_names)]
+
+
+# --------------------------------------------------------------------------- #
+# compact tree ensembles (for sequential use inside one task)
+# --------------------------------------------------------------------------- #
+def _parse_tree(lines: list[str], i: int, nodes: list) -> tuple[int, int]:
+    """Parse one node of a ``toDebugString`` tree starting at line ``i``; returns (node id, next line)."""
+    s = lines[i].strip()
+    idx = len(nodes)
+    if s.startswith("Predict:"):
+        nodes.append([-1, 0.0, -1, -1, float(s.split(":", 1)[1])])
+        return idx, i + 1
+    # "If (feature 3 <= 0.52)"
+    body = s[s.index("(") + 1: s.rindex(")")]
+    _, f, op, thr = body.split()
+    if op != "<=":
+        raise ValueError(f"unsupported split: {s}")
+    nodes.append([int(f), float(thr), -1, -1, 0.0])
+    left, i = _parse_tree(lines, i + 1, nodes)
+    if not lines[i].strip().startswith("Else"):
+        raise ValueError(f"malformed tree text at line {i}")
+    right, i = _parse_tree(lines, i + 1, nodes)
+    nodes[idx][2], nodes[idx][3] = left, right
+    return idx, i
+
+
+def ensemble_arrays(model) -> dict:
+    """A fitted pyspark.ml tree / forest / boosted model as plain arrays.
+
+    Read from the model's text form (one call); prediction = sum of weight x
+    leaf value over trees (boosting: the model's tree weights; forest: 1/T).
+    """
+    text = model.toDebugString.splitlines()
+    trees, weights = [], []
+    kind = type(model).__name__
+    if kind == "DecisionTreeRegressionModel":
+        nodes: list = []
+        _parse_tree(text, 1, nodes)
+        trees.append(nodes)
+        weights = [1.0]
+    else:
+        starts = [i for i, ln in enumerate(text) if ln.strip().startswith("Tree ")]
+        for st in starts:
+            nodes = []
+            _parse_tree(text, st + 1, nodes)
+            trees.append(nodes)
+        if kind == "GBTRegressionModel":
+            weights = [float(w) for w in model.treeWeights]
+        else:
+            weights = [1.0 / len(trees)] * len(trees)
+    return {"trees": [np.array(t, dtype=float) for t in trees], "weights": weights}
+
+
+def predict_arrays(ens: dict, x: np.ndarray) -> float:
+    """Predict one feature vector with ``ensemble_arrays`` output (left branch when x[f] <= threshold)."""
+    total = 0.0
+    for t, w in zip(ens["trees"], ens["weights"]):
+        node = 0
+        while t[node, 0] >= 0:
+            node = int(t[node, 2]) if x[int(t[node, 0])] <= t[node, 1] else int(t[node, 3])
+        total += w * t[node, 4]
+    return total

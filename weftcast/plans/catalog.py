@@ -22,6 +22,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import split as S
 from ..sources import panels as P
+from ..spec import feature_columns, numeric_columns
 from . import flagship as FL
 from . import sqlparts as Q
 
@@ -490,7 +491,8 @@ def _corr_sql():
 def q_correlation_matrix(spark, sf):
     """#27: pairwise-complete Pearson r (lower triangle) of cleaned train predictors + target."""
     tr = FL.cleaned_panel(spark, sf).filter(F.col("split") == "train")
-    return D.correlation_matrix(tr, SPEC, CORR_COLS)
+    cols = numeric_columns(tr, feature_columns(tr, SPEC) + [SPEC.target])   # #8 + #14
+    return D.correlation_matrix(tr, SPEC, cols)
 
 
 SKEW_SQL = ("SELECT entity, count(target) AS n, CASE WHEN count(target) > 2 THEN skewness(CAST(target AS DOUBLE)) END "

@@ -34,6 +34,7 @@ from ..session import broadcast_if_small, cut_lineage
 from ..sources.panels import PANEL_SPEC
 
 SPEC = PANEL_SPEC
+_DEBUG = False
 
 # The reference's search spaces (grid for the tree, random
 # search with 40 samples for the ensembles), CV with 4 expanding folds.
@@ -169,6 +170,11 @@ def _tree_params(key: str, params: dict | None) -> dict:
     return dict(params or {})
 
 
+def _fit_parts(df: DataFrame) -> dict:
+    """Input partitions per entity for tree fits (from a tiny per-entity count)."""
+    return {r["entity"]: MD.fit_partitions(r["count"]) for r in df.groupBy("entity").count().collect()}
+
+
 def linear_predictions(stack: Stack, keys=tuple(MD.LINEAR_MODELS), fit_role: str = "fit",
                        pred_role: str = "holdout") -> DataFrame:
     """All linear models, all entities: one aggregation, one solve per entity, one scoring pass."""
@@ -178,8 +184,8 @@ def linear_predictions(stack: Stack, keys=tuple(MD.LINEAR_MODELS), fit_role: str
     return pred
 
 
-def _fit_score(df_fit, df_valid, slots, key, params, objective, seed):
-    m = MD.fit_tree(df_fit, slots, "y_t", key, params, seed)
+def _fit_score(df_fit, df_valid, slots, key, params, objective, seed, partitions=None):
+    m = MD.fit_tree(df_fit, slots, "y_t", key, params, seed, partitions)
     p = MD.predict_tree(m, df_valid, slots)
     if objective == "rmse":
         e = expm1_clip("y_t") - expm1_clip("predicted_t")
@@ -204,11 +210,13 @@ def tune_tree(stack: Stack, key: str, cfg: RunConfig, candidates: list[dict] | N
     folds = cut_lineage(timeseries_cv_folds(fr, SPEC, cfg.n_splits))
     jobs = [(e, ci, f) for e in ents for ci in range(len(cands)) for f in range(cfg.n_splits)]
 
+    parts = _fit_parts(fr)
+
     def run(job):
         e, ci, f = job
         part = folds.filter((F.col("entity") == e) & (F.col("fold") == f))
         return job, _fit_score(part.filter(F.col("cv_role") == "train"), part.filter(F.col("cv_role") == "valid"),
-                               stack.slots, key, cands[ci], cfg.objective, cfg.seed)
+                               stack.slots, key, cands[ci], cfg.objective, cfg.seed, parts.get(e))
 
     with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
         scores = dict(pool.map(run, jobs))
@@ -226,11 +234,12 @@ def tree_predictions(stack: Stack, key: str, params_by_entity: dict, cfg: RunCon
     """Per-entity tree fits on ``fit_role`` rows, predictions for ``pred_role`` rows (one union)."""
     fr = stack.frame
     ents = sorted(params_by_entity)
+    parts = _fit_parts(fr.filter(F.col("role") == fit_role))
 
     def run(e):
         rows = fr.filter(F.col("entity") == e)
         return e, MD.fit_tree(rows.filter(F.col("role") == fit_role), stack.slots, "y_t", key,
-                              params_by_entity[e], cfg.seed)
+                              params_by_entity[e], cfg.seed, parts.get(e))
 
     with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
         models = dict(pool.map(run, ents))
@@ -380,49 +389,80 @@ def forecast_recursive_linear(stack_full: Stack, coefs: DataFrame) -> DataFrame:
                      F.col("x.weekofyear").alias("weekofyear"), F.col("preds")[F.col("i")].alias("predicted"))
 
 
-def forecast_recursive_tree(stack_full: Stack, models: dict, key: str, checkpoint_every: int = 10) -> DataFrame:
-    """#82 for tree models: a horizon loop; each step predicts the next test week of
-    every entity in one job (per-entity models unioned), then feeds the unrounded
-    prediction forward.  Lineage is cut every ``checkpoint_every`` steps."""
-    fr = stack_full.frame
-    st = broadcast_if_small(stack_full.scaler)
-    test = fr.filter(F.col("role") == "test").select(
-        "*", F.row_number().over(Window.partitionBy("entity").orderBy("period")).alias("step"))
-    test = cut_lineage(test)
-    horizon = test.agg(F.max("step")).first()[0] or 0
+def fit_tree_models(stack: Stack, key_by_entity: dict, params: dict, cfg: RunConfig, fit_role: str = "fit") -> dict:
+    """Fit each entity's own tree model (thread pool of Spark ML fits): {entity: model}."""
+    fr = stack.frame
+    parts = _fit_parts(fr.filter(F.col("role") == fit_role))
+
+    def run(e):
+        k = key_by_entity[e]
+        rows = fr.filter((F.col("entity") == e) & (F.col("role") == fit_role))
+        return e, MD.fit_tree(rows, stack.slots, "y_t", k, params.get((e, k), {}), cfg.seed, parts.get(e))
+
+    with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
+        return dict(pool.map(run, sorted(key_by_entity)))
+
+
+REC_SCHEMA = "entity string, period date, year int, weekofyear int, predicted double"
+
+
+def forecast_recursive_tree(stack_full: Stack, models: dict, key_by_entity: dict) -> DataFrame:
+    """#82 for tree models: each entity's recursion runs inside one task.
+
+    The test block of an entity (its forecast horizon) is grouped with
+    ``applyInPandas``; the entity's fitted model travels as compact arrays
+    (``models.ensemble_arrays``) and its last four known counts and case-slot
+    scaling ride along as group columns.  Each step fills the case features
+    from the history, predicts, applies expm1 + clip and appends the UNROUNDED
+    prediction - the reference's loop, with entities in parallel and no
+    per-step Spark job.
+    """
+    ens = {e: MD.ensemble_arrays(m) for e, m in models.items()}
+    case = list(stack_full.case_names)
+    slots = stack_full.slots
+    fr = stack_full.frame.filter(F.col("entity").isin(sorted(models)))
     hist_w = Window.partitionBy("entity").orderBy(F.col("period").desc())
-    hist = (fr.filter(F.col("split") == "train")
-              .select("entity", (1 - F.row_number().over(hist_w)).alias("step"),
-                      F.col("target").cast("double").alias("v")).filter(F.col("step") > -4))
-    hist = cut_lineage(hist)
-    case = stack_full.case_names
-    ents = sorted(models)
-    for t in range(1, horizon + 1):
-        h = hist.filter(F.col("step") >= t - 4).groupBy("entity").agg(
-            *[F.max(F.when(F.col("step") == t - int(n.rsplit("_", 1)[1]), F.col("v"))).alias(n)
-              for n in case if "_lag_" in n],
-            F.avg("v").alias("cases_rollmean_4"))
-        rows = test.filter(F.col("step") == t).join(h, "entity").join(st, "entity")
-        exprs = []
-        for jx, s in enumerate(stack_full.slots):
-            raw = F.coalesce(*[F.when(F.col("sel_names")[jx] == n, F.col(n)) for n in case], F.lit(None))
-            scaled = (raw - F.col(f"{s}__mean")) / F.col(f"{s}__scale")
-            exprs.append(F.when(F.col("sel_names")[jx].isin(case), scaled).otherwise(F.col(s)).alias(s))
-        rows = rows.select("entity", "step", *exprs)
-        parts = [MD.predict_tree(models[e], rows.filter(F.col("entity") == e), stack_full.slots) for e in ents]
-        step_pred = parts[0]
-        for p in parts[1:]:
-            step_pred = step_pred.unionByName(p)
-        new = step_pred.select("entity", "step", expm1_clip("predicted_t").alias("v"))
-        hist = hist.unionByName(new)
-        if t % checkpoint_every == 0 or t == horizon:
-            hist = cut_lineage(hist)
-        else:
-            hist = hist.cache()
-    out = test.select("entity", "step", "period", "year", "weekofyear").join(
-        hist.filter(F.col("step") >= 1), ["entity", "step"])
-    return out.select("entity", F.lit(key).alias("model_key"), "period", "year", "weekofyear",
-                      F.col("v").alias("predicted"))
+    known = (fr.filter(F.col("split") == "train")
+               .select("entity", "period", F.col("target").cast("double").alias("v"),
+                       F.row_number().over(hist_w).alias("back"))
+               .filter(F.col("back") <= 4).groupBy("entity")
+               .agg(F.array_sort(F.collect_list(F.struct((F.col("back") * -1).alias("o"), "v"))).alias("h"))
+               .select("entity", F.transform("h", lambda s: s["v"]).alias("hist")))
+    st = stack_full.scaler.select("entity", F.array(*[F.col(f"{s}__mean") for s in slots]).alias("mu"),
+                                  F.array(*[F.col(f"{s}__scale") for s in slots]).alias("sd"))
+    test = (fr.filter(F.col("role") == "test")
+              .select("entity", "period", "year", "weekofyear", "sel_names", F.array(*slots).alias("x"))
+              .join(known, "entity").join(broadcast_if_small(st), "entity"))
+
+    predict = MD.predict_arrays
+
+    def run(pdf):
+        import numpy as _np
+        import pandas as _pd
+        pdf = pdf.sort_values("period")
+        e = pdf["entity"].iloc[0]
+        model = ens[e]
+        hist = [float(v) for v in pdf["hist"].iloc[0]]
+        mu, sd = _np.asarray(pdf["mu"].iloc[0], float), _np.asarray(pdf["sd"].iloc[0], float)
+        out = []
+        for _, r in pdf.iterrows():
+            names = list(r["sel_names"])
+            x = _np.array([0.0 if v is None or v != v else float(v) for v in r["x"]])
+            vals = {f"cases_lag_{k}": (hist[-k] if len(hist) >= k else _np.nan) for k in (1, 2, 3, 4)}
+            recent = hist[-4:]
+            vals["cases_rollmean_4"] = float(_np.mean(recent)) if len(recent) >= 2 else _np.nan
+            for j, n in enumerate(names):
+                if n in case:
+                    x[j] = (vals[n] - mu[j]) / sd[j]
+            pred = max(float(_np.expm1(predict(model, x))), 0.0)
+            out.append((e, r["period"], int(r["year"]), int(r["weekofyear"]), pred))
+            hist.append(pred)
+        return _pd.DataFrame(out, columns=["entity", "period", "year", "weekofyear", "predicted"])
+
+    res = test.groupBy("entity").applyInPandas(run, REC_SCHEMA)
+    keys = F.create_map(*[x for e, k in key_by_entity.items() for x in (F.lit(e), F.lit(k))])
+    return res.select("entity", keys[F.col("entity")].alias("model_key"), "period", "year", "weekofyear",
+                      "predicted")
 
 
 def display(key: str) -> str:

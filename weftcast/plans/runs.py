@@ -171,11 +171,11 @@ def recursive_submission(full: ML.Stack, best_map: dict, cfg: ML.RunConfig, para
         pick = F.create_map(*[x for e, k in lin.items() for x in (F.lit(e), F.lit(k))])
         coefs = coefs.filter(F.col("model_key") == pick[F.col("entity")])
         parts.append(ML.forecast_recursive_linear(full, coefs))
-    for key in sorted({k for k in best_map.values() if k in MD.TREE_MODELS}):
-        ents = [e for e, k in best_map.items() if k == key]
-        pe = {e: params.get((e, key), DEFAULT_TREE_PARAMS[key]) for e in ents}
-        _, models = ML.tree_predictions(full, key, pe, cfg, pred_role="test", return_models=True)
-        parts.append(ML.forecast_recursive_tree(full, models, key))
+    trees = {e: k for e, k in best_map.items() if k in MD.TREE_MODELS}
+    if trees:
+        pe = {(e, k): params.get((e, k), DEFAULT_TREE_PARAMS[k]) for e, k in trees.items()}
+        models = ML.fit_tree_models(full, trees, pe, cfg)
+        parts.append(ML.forecast_recursive_tree(full, models, trees))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
