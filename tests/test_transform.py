@@ -31,5 +31,6 @@ def test_rint_is_half_to_even(spark):
 def test_stable_rounding(spark):
     df = spark.createDataFrame([(5067.4822325,), (-0.0,), (1e-12,), (263006.0006945,)], "x double")
     out = [r[0] for r in df.select(r6("x")).collect()]
-    assert out[0] == 5067.48223 and str(out[1]) == "0.0" and out[2] == 0.0 and out[3] == 263006.001
+    assert abs(out[0] - 5067.48223) < 1e-9 and str(out[1]) == "0.0" and out[2] == 0.0
+    assert abs(out[3] - 263006.001) < 1e-9
     assert F is not None

@@ -9,6 +9,7 @@ hash is engine-independent.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +23,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import split as S
 from ..sources import panels as P
+from ..session import cut_lineage
 from ..spec import feature_columns, numeric_columns
 from . import flagship as FL
 from . import sqlparts as Q
@@ -683,9 +685,16 @@ def _fit_points(spark, sf):
     return fit, names
 
 
+_MI: dict = {}
+
+
 def mi_scores(spark, sf):
-    fit, names = _fit_points(spark, sf)
-    return SEL.mutual_info_ksg(fit, "entity", "period", "target_t", names, k=3)
+    """KSG scores of the fit rows, computed once per session and checkpointed (shared by #49, #52, #53, #13)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _MI:
+        fit, names = _fit_points(spark, sf)
+        _MI[key] = cut_lineage(SEL.mutual_info_ksg(fit, "entity", "period", "target_t", names, k=3))
+    return _MI[key]
 
 
 @query("ksg_neighbors", Q.with_ctes(*MI_CTES, body=f"SELECT entity, feature, rid, {Q.r6('eps')} AS eps FROM mie"))
@@ -935,9 +944,6 @@ def _tuned_table(spark, sf, key):
     return spark.createDataFrame(rows, "entity string, model_key string, best_params string, best_cv_score double")
 
 
-import json  # noqa: E402
-
-
 @query("tune_grid")
 def q_tune_grid(spark, sf):
     """#77: exhaustive grid search (decision tree) with 4 expanding time-series folds."""
@@ -1065,3 +1071,10 @@ def q_attach_forecast(spark, sf):
                                           rint_long("last_target").alias("total_cases"))
     meta = test.select("entity", "year", "weekofyear", "period")
     return J.attach_forecast(meta, fc, ["entity", "year", "weekofyear"])
+
+
+@query("scan_daily_panel", Q.with_ctes(("daily_panel", Q.DAILY_PANEL), body=sel_sql(
+    P.DAILY_FEATURES, ["entity", "period", "year", "weekofyear", "target", "split"], "daily_panel")))
+def q_scan_daily_panel(spark, sf):
+    """#1 on the second panel shape: event type x day from ``events`` (exact distinct users)."""
+    return P.daily_panel(spark, sf)

@@ -34,7 +34,6 @@ from ..session import broadcast_if_small, cut_lineage
 from ..sources.panels import PANEL_SPEC
 
 SPEC = PANEL_SPEC
-_DEBUG = False
 
 # The reference's search spaces (grid for the tree, random
 # search with 40 samples for the ensembles), CV with 4 expanding folds.
@@ -166,10 +165,6 @@ def _entities(df: DataFrame) -> list[str]:
     return sorted(r[0] for r in df.select("entity").distinct().collect())
 
 
-def _tree_params(key: str, params: dict | None) -> dict:
-    return dict(params or {})
-
-
 def _fit_parts(df: DataFrame) -> dict:
     """Input partitions per entity for tree fits (from a tiny per-entity count)."""
     return {r["entity"]: MD.fit_partitions(r["count"]) for r in df.groupBy("entity").count().collect()}
