@@ -96,10 +96,16 @@ def panel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weekly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The joined raw panel: features left-joined to labels (test target NULL)."""
-    from ..operators.joins import join_labels
-    return join_labels(panel_features(spark, sf_dir), panel_labels(spark, sf_dir),
-                       keys=["entity", "year", "weekofyear"], validate=False)
+    """The raw panel: feature rows of both splits with the label on train rows (test target NULL).
+
+    Features and labels come from the same aggregation here, so the label is
+    attached by masking rather than by re-joining two copies of the aggregate
+    (which would scan and aggregate orders twice).  ``operators.joins.join_labels``
+    is the validated join for separately sourced labels (``join_labels`` query).
+    """
+    agg = weekly_aggregate(spark, sf_dir)
+    target = F.when(F.col("split") == "train", F.col("target")).alias("target")
+    return agg.select(*[target if c == "target" else F.col(c) for c in agg.columns])
 
 
 def scan_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
