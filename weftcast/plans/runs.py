@@ -242,12 +242,13 @@ def write_reports(res: RunResult, root: str) -> dict:
 
 def run_summary(res: RunResult) -> DataFrame:
     """#5: best model per entity, pooled best, number of models, entity list - one row."""
-    best = res.best.groupBy().agg(
+    # two one-row aggregates (per-entity bests, pooled ranking) keyed by the same constant
+    best = res.best.groupBy(F.lit(1).alias("k")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity", "model")))).alias("best_by_entity"),
         F.array_sort(F.collect_list("entity")).alias("entities"))
-    comb = res.combined.groupBy().agg(F.min_by("model", "rank").alias("combined_best"),
-                                      F.count(F.lit(1)).alias("n_models"))
-    return best.crossJoin(comb).select("best_by_entity", "combined_best", "n_models", "entities",
+    comb = res.combined.groupBy(F.lit(1).alias("k")).agg(F.min_by("model", "rank").alias("combined_best"),
+                                                         F.count(F.lit(1)).alias("n_models"))
+    return best.join(comb, "k").select("best_by_entity", "combined_best", "n_models", "entities",
                                        F.to_json(F.struct("best_by_entity", "combined_best", "n_models",
                                                           "entities")).alias("json"))
 
