@@ -33,6 +33,7 @@ ORACLE: dict[str, str] = {}
 
 SPEC = P.PANEL_SPEC
 ENTITIES = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+NAIVE_KEYS = list(M.NAIVE_DISPLAY_NAMES)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -148,9 +149,14 @@ def q_union_train_test(spark, sf):
 @query("union_entities", Q.with_ctes(*Q.naive_preds_ctes(), body=(
     "SELECT entity, model_key, count(*) AS n FROM preds GROUP BY entity, model_key")))
 def q_union_entities(spark, sf):
-    """#57: per-entity prediction frames concatenated into one long frame."""
+    """#57: per-model prediction frames (each covering every entity) concatenated by name.
+
+    In this design entities already share one long frame, so the reference's
+    per-city concatenation becomes a union of independently produced result
+    frames - the same ``unionByName`` that pools linear and tree predictions.
+    """
     preds = FL.naive_predictions(spark, sf)
-    parts = [preds.filter(F.col("entity") == e) for e in ENTITIES]
+    parts = [preds.filter(F.col("model_key") == k) for k in NAIVE_KEYS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
