@@ -74,7 +74,7 @@ def knn_radius(points: DataFrame, entity: str, k: int = 3, max_rounds: int = 40)
     # initial cell side: about k points expected in a query's radius-h box for
     # standardized data spread over a few units; refined by doubling.
     pts = points.select(*keys, "rid", "x", "y", "n",
-                        (F.lit(4.0) * F.sqrt(F.lit(float(k)) / F.col("n"))).alias("h0")).cache()
+                        (F.lit(6.0) * F.sqrt(F.lit(float(k)) / F.col("n"))).alias("h0")).cache()
     unresolved = pts.filter(F.col("n") > k).select(*keys, "rid", "x", "y", "h0")
     found = None
     for r in range(max_rounds):
