@@ -46,7 +46,12 @@ def join_key_violations(features: DataFrame, labels: DataFrame, keys: list[str])
     """#16: duplicate keys on either side, and feature rows with no label."""
     dup_f = duplicate_keys(features, keys).select(F.lit("duplicate_feature_key").alias("violation"), *keys, "n")
     dup_l = duplicate_keys(labels, keys).select(F.lit("duplicate_label_key").alias("violation"), *keys, "n")
-    unmatched = (features.select(*keys).join(labels.select(*keys), keys, "left_anti")
+    lab = labels.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
+    cond = None
+    for k in keys:   # NULL-safe, like join_labels
+        c = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+        cond = c if cond is None else cond & c
+    unmatched = (features.select(*keys).join(lab, cond, "left_anti")
                  .groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
                  .select(F.lit("unlabelled_feature_row").alias("violation"), *keys, "n"))
     return dup_f.unionByName(dup_l).unionByName(unmatched)

@@ -111,8 +111,9 @@ def q_join_labels(spark, sf):
     "UNION ALL SELECT 'duplicate_label_key', entity, year, weekofyear, count(*) FROM weekly_panel WHERE split = 'train' "
     "GROUP BY entity, year, weekofyear HAVING count(*) > 1 "
     "UNION ALL SELECT 'unlabelled_feature_row', f.entity, f.year, f.weekofyear, count(*) FROM weekly_panel f "
-    "WHERE NOT EXISTS (SELECT 1 FROM weekly_panel l WHERE l.split = 'train' AND l.entity = f.entity "
-    "AND l.year = f.year AND l.weekofyear = f.weekofyear) GROUP BY f.entity, f.year, f.weekofyear")))
+    "WHERE NOT EXISTS (SELECT 1 FROM weekly_panel l WHERE l.split = 'train' AND l.entity IS NOT DISTINCT FROM f.entity "
+    "AND l.year IS NOT DISTINCT FROM f.year AND l.weekofyear IS NOT DISTINCT FROM f.weekofyear) "
+    "GROUP BY f.entity, f.year, f.weekofyear")))
 def q_join_key_violations(spark, sf):
     """#16: duplicate keys on either side and feature rows without a label."""
     keys = ["entity", "year", "weekofyear"]
