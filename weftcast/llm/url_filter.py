@@ -22,7 +22,7 @@ BLOCK_WORDS = ["adult", "ads", "bet", "bets", "casino", "pills", "porn", "spam",
 MIN_CHILDREN = 8  # a node with fewer different children keeps them apart
 RARE = 0.02  # a child with a smaller share of such a node is a value of a variable
 PRIOR_ROWS = 2.0  # weight of the prior in a smoothed purity
-UNLABELLED = 0.25  # an unlabelled url counts as so much of an allowed one
+UNLABELLED = 0.5  # an unlabelled url counts as so much of an allowed one
 Z = 1.96  # two rates differ from here on
 REJECT = 0.5
 
@@ -31,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered) and path; both empty for null or without ``://``."""
-    pattern = F.lit(r"(?s)^.*?://([^/?#]*)([^?#]*)")
+    pattern = r"(?s)^.*?://([^/?#]*)([^?#]*)"
     part = lambda k: F.coalesce(F.regexp_extract(url, pattern, k), F.lit(""))
     return F.translate(part(1), UPPER, LOWER), part(2)
 
