@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 DIM = 1 << 18
 KNOWN = 200_000  # words whose features a task remembers
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…–—"
-PREFIX = 5
+PREFIX = 4
 
 Features = Callable[[str], np.ndarray]
 
@@ -46,7 +46,7 @@ def word_code(token: str) -> int:
 
 
 def word_features() -> Features:
-    """Indicators of lower-case words and of their first five letters."""
+    """Indicators of lower-case words and of their first four letters."""
     known = Known(word_code)
 
     def run(text: str) -> np.ndarray:

@@ -101,7 +101,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
 
     sample = bounded_ids(marked, fit_rows)  # a proven bound: fit_rows ids
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y")
-    got = rows.groupBy(F.lit(0)).applyInArrow(fit, "weight binary, bias double").collect()
+    got = rows.groupBy(F.lit("one sample").alias("sample")).applyInArrow(fit, "weight binary, bias double").collect()
     if not got:
         return QualityModel(ratio, np.zeros(dim), 1.0)
     return QualityModel(ratio, np.frombuffer(got[0].weight), got[0].bias)
