@@ -43,7 +43,8 @@ CONTENT_WORDS = "article body content entry main post prose story text".split()
 NEUTRAL = set("a b blockquote br div em h1 h2 h3 h4 h5 h6 i li ol p pre section span strong table tbody td tr u ul".split())  # found on both sides
 PRIOR = 400.0  # weight of a word of these lists, in nodes
 SMOOTH = 8.0
-LIMIT = 6.0  # of one feature's log odds; tags found on both sides and measures have a sixth
+OTHER_STAY = 0.5  # P(content | parent is content) of elements that the lists know as something else
+LIMIT = 6.0  # of one feature's log odds; measures have a twelfth, tags found on both sides half of that
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?P<rawattrs>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -120,6 +121,10 @@ class Page:
             out.append(row)
         return out
 
+    def other(self, v: int) -> bool:
+        """Whether the word lists know this element as something else than content."""
+        return self.tags[v] in NOT_CONTENT_TAGS or any(w in NOT_CONTENT_WORDS for w in self.words[v])
+
     def labels(self) -> list[int] | None:
         """1 for elements inside the page's only article or main element, without known other parts; None: not a labelled page."""
         for name in ("article", "main"):
@@ -127,8 +132,7 @@ class Page:
             if len(roots) == 1:
                 out = [0] * len(self.tags)
                 for v in range(roots[0], len(self.tags)):
-                    bad = self.tags[v] in NOT_CONTENT_TAGS or any(w in NOT_CONTENT_WORDS for w in self.words[v])
-                    out[v] = int(v == roots[0] or (out[self.parents[v]] and not bad))
+                    out[v] = int(v == roots[0] or (out[self.parents[v]] and not self.other(v)))
                 return out
             if roots:
                 return None
@@ -138,7 +142,7 @@ class Page:
 @dataclass
 class DomModel:
     odds: dict[str, float]  # log odds of content, by feature
-    stay: float  # P(content | parent is content)
+    stay: float  # P(content | parent is content), of elements that the word lists don't know as something else
     enter: float  # P(content | parent isn't)
     root: float  # log odds of the page node
 
@@ -155,18 +159,20 @@ def marginals(pages: list[Page], model: DomModel) -> list[np.ndarray]:
     depth = np.concatenate([p.depths for p in pages]) if pages else np.zeros(0, np.int64)
     odds = np.array([e for p in pages for e in model.evidence(p)])
     up = np.zeros(len(odds))
+    other = np.array([p.other(v) for p in pages for v in range(len(p.tags))], bool)
+    stay = np.where(other, OTHER_STAY, model.stay)
     order = np.argsort(depth, kind="stable")
     levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
     mix = lambda p, hi, lo: np.log((hi * p + lo * (1 - p)) / ((1 - hi) * p + (1 - lo) * (1 - p)))
     for level in reversed(levels[1:]):
         p = sigmoid(odds[level])
-        up[level] = np.log((model.stay * p + (1 - model.stay) * (1 - p)) / (model.enter * p + (1 - model.enter) * (1 - p)))
+        up[level] = np.log((stay[level] * p + (1 - stay[level]) * (1 - p)) / (model.enter * p + (1 - model.enter) * (1 - p)))
         np.add.at(odds, parent[level], up[level])
     if levels:
         odds[levels[0]] += model.root
     for level in levels[1:]:
         without = sigmoid(odds[parent[level]] - up[level])  # what the parent believes but for this child
-        odds[level] += mix(without, model.stay, model.enter)
+        odds[level] += mix(without, stay[level], model.enter)
     return [sigmoid(odds[a:b]) for a, b in zip(first[:-1], first[1:])]
 
 
@@ -222,7 +228,7 @@ def fit_dom_model(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DomModel:
     odds = {}
     for f in {f for f, _ in counts if not f.startswith("#")}:
         rate = [(counts[f, y] + SMOOTH / 2 * nodes[y] / sum(nodes)) / nodes[y] for y in (0, 1)]
-        limit = LIMIT / 6 if f[4:] in NEUTRAL or not f.startswith(("tag ", "word ")) else LIMIT
+        limit = LIMIT / 24 if f.startswith("tag ") and f[4:] in NEUTRAL else LIMIT if f.startswith(("tag ", "word ")) else LIMIT / 12
         odds[f] = float(np.clip(np.log(rate[1] / rate[0]), -limit, limit))
     share = lambda edge, a, b: (counts[edge, 1] + a) / (counts[edge, 1] + counts[edge, 0] + a + b)
     return DomModel(odds, min(0.9, share("#edge 1", 19.0, 1.0)), float(np.clip(share("#edge 0", 1.0, 19.0), 0.02, 0.1)), -2.0)
