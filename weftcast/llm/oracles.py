@@ -18,7 +18,7 @@ def matches(name: str, rank: int, pattern: str, keep: str, table: str = "docs")
   SELECT row_id, doc_id, string_split_regex(t, {p}) AS gaps, regexp_extract_all(t, {p}) AS found FROM {table} WHERE regexp_matches(t, {p})),
 {name} AS (
   SELECT row_id, {rank} AS rank, b AS b, b + length(f) AS e, f FROM (
-    SELECT row_id, f, CAST(list_sum(list_transform(gaps[1:i], x -> length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], x -> length(x))), 0) AS BIGINT) AS b
+    SELECT row_id, f, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b
     FROM (SELECT row_id, gaps, found, unnest(found) AS f, generate_subscripts(found, 1) AS i FROM {name}_raw)) WHERE {keep})"""
 
 
@@ -34,12 +34,12 @@ windows AS (
   FROM (SELECT row_id, b, f, unnest(range(1, length(f) - {WINDOW - 2})) AS i FROM candidates)),
 hot AS (
   SELECT row_id, b + min(i) - 1 AS b, b + max(i) - 1 + {WINDOW} AS e FROM windows
-  WHERE list_sum(list_transform(map_values(CAST(histogram_of(w) AS MAP(VARCHAR, BIGINT))), c -> {TERMS}[c + 1])) <= most GROUP BY row_id, b, f),
+  WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: {TERMS}[length(w) - length(replace(w, c, '')) + 1])) <= most GROUP BY row_id, b, f),
 added AS (SELECT h.row_id, 3 AS rank, h.b, h.e FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.row_id = h.row_id AND s.b < h.e AND h.b < s.e)),
 spans AS (SELECT row_id, rank, b, ['assign', 'access', 'hex', 'entropy'][rank + 1] || ':' || b || ':' || e AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
 per AS (SELECT row_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg(s, ',' ORDER BY b, rank) FILTER (rank < 3), '') AS base, string_agg(s, ',' ORDER BY b, rank) AS spans FROM spans GROUP BY row_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM docs LEFT JOIN per USING (row_id)""".replace("CAST(histogram_of(w) AS MAP(VARCHAR, BIGINT))", "list_histogram(string_split(w, ''))")
+FROM docs LEFT JOIN per USING (row_id)"""
 
 ORACLE: dict[str, str] = {"op7_secret_scan": SECRETS}
