@@ -220,9 +220,10 @@ def fit_dom_model(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DomModel:
                 total.update(page_counts(source or ""))
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in total], pa.string()), pa.array([y for _, y in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["feature", "label", "n"])
 
-    sample = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages).select("html")  # a proven bound
+    chosen = pages.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(fit_pages)
+    sample = pages.join(F.broadcast(chosen), "page_id").select("html")  # a proven bound: fit_pages ids
     counts = prior_counts()
-    for r in sample.repartition(8).mapInArrow(run, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect():
+    for r in sample.mapInArrow(run, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).collect():
         counts[r.feature, r.label] += r.n
     nodes = [counts["#node", y] + 2 * PRIOR for y in (0, 1)]
     odds = {}
