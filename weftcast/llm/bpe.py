@@ -25,9 +25,9 @@ import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import shared_table, shuffle_partitions
+from .common import shared_buckets, shuffle_partitions
 
-BLOCK_CHARS = 16 << 20  # texts of one block; a longer text is a block of its own
+BLOCK_CHARS = 8 << 20  # texts of one block; a longer text is a block of its own
 #: Characters whose classes differ between the two regular-expression libraries, or might: texts that hold one take the exact one.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
@@ -85,37 +85,39 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> DataFrame:
     """Rows (block, bucket, doc_id, words, codes): a text's word numbers (bucket null), or words of a bucket with their numbers."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, first = pre_tokenizer(pattern), TaskContext.get().partitionId() << 32
-        block, chars = first, 0
-        numbers: defaultdict[str, int] = defaultdict(count().__next__)
-
-        def rows(n: int, bucket, doc_id, words, codes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(words, pa.binary()), pa.array(codes, pa.binary())], ["block", "bucket", "doc_id", "words", "codes"])
-
-        def word_rows() -> pa.RecordBatch:
-            of = defaultdict(lambda: ([], []))
-            for word, number in numbers.items():
-                words, codes = of[zlib.crc32(word.encode()) % buckets]
-                words.append(word)
-                codes.append(number)
-            return rows(len(of), list(of), [None] * len(of), [pack_words(w) for w, _ in of.values()], [pack(np.array(c)) for _, c in of.values()])
+    def rows(block: int, bucket, doc_id, words, codes) -> pa.RecordBatch:
+        columns = [pa.array([block] * len(codes), pa.int64()), pa.array(bucket, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(words, pa.binary()), pa.array(codes, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "doc_id", "words", "codes"])
+
+    def flush(block: int, ids: list, texts: list[np.ndarray], numbers: dict[str, int]) -> Iterator[pa.RecordBatch]:
+        uses = np.zeros(len(numbers), np.int64)
+        for codes in texts:
+            np.add.at(uses, codes, 1)
+        rank = np.empty(len(numbers), np.uint32)
+        rank[np.argsort(-uses, kind="stable")] = np.arange(len(numbers))  # frequent words get small numbers, which pack well
+        yield rows(block, [None] * len(ids), ids, [None] * len(ids), [pack(rank[codes]) for codes in texts])
+        of = defaultdict(lambda: ([], []))
+        for word, code in zip(numbers, rank.tolist()):
+            words, codes = of[zlib.crc32(word.encode()) % buckets]
+            words.append(word)
+            codes.append(code)
+        yield rows(block, list(of), [None] * len(of), [pack_words(w) for w, _ in of.values()], [pack(np.array(c)) for _, c in of.values()])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, block, chars = pre_tokenizer(pattern), TaskContext.get().partitionId() << 32, 0
+        ids, texts, numbers = [], [], defaultdict(count().__next__)
         for batch in batches:
-            ids, packed = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 if chars and chars + len(text) > block_chars:
-                    yield rows(len(ids), [None] * len(ids), ids, [None] * len(ids), packed)
-                    yield word_rows()
-                    ids, packed, chars, block = [], [], 0, block + 1
-                    numbers = defaultdict(count().__next__)
+                    yield from flush(block, ids, texts, numbers)
+                    ids, texts, numbers = [], [], defaultdict(count().__next__)
+                    chars, block = 0, block + 1
                 chars += len(text)
                 found = tokens(text)
                 ids.append(doc_id)
-                packed.append(pack(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))))
-            yield rows(len(ids), [None] * len(ids), ids, [None] * len(ids), packed)
-        yield word_rows()
+                texts.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)))
+        yield from flush(block, ids, texts, numbers)
 
     return docs.select("doc_id", "text").mapInArrow(run, "block long, bucket int, doc_id long, words binary, codes binary")
 
@@ -169,7 +171,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_cha
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    split = shared_table(split_blocks(docs, pattern, 8 * parts, block_chars), "bpe")
+    split = shared_buckets(split_blocks(docs, pattern, 8 * parts, block_chars), "bpe", "block", parts)  # texts stay where they are
     words = encode_words(split.where("bucket is not null"), spark.sparkContext.broadcast(ranks), parts)
     texts = split.where("bucket is null").select("block", "doc_id", "codes")
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(reassemble, "doc_id long, n_tokens long, ids binary")

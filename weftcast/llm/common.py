@@ -33,7 +33,7 @@ def held_out_id(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
-def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
     Work that several branches need is done once, and a lost executor rereads
@@ -41,11 +41,19 @@ def shared_table(df: DataFrame, name: str, partition_by: list[str] | None = None
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like ``shared_table``, as a table bucketed by ``column``: grouping by it reads the files without a shuffle.
+
+    The files lie in the shared checkpoint folder, as an external table.
+    """
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", f"{ensure_checkpoint_dir(spark)}/{unique}").bucketBy(buckets, column).saveAsTable(unique)
+    return spark.table(unique)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
