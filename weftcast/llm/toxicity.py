@@ -101,7 +101,7 @@ def class_sums(patterns: DataFrame, m: int, model: LabelModel | None, pairs: boo
 
     Documents with a training label count in their class, the others by the
     model's posterior, or not at all without a model. Added up in each task:
-    2 * (1 + m + m * m) numbers at most leave it.
+    2 * (1 + m + m * m / 2) numbers or so at most leave it.
     """
     shared = patterns.sparkSession.sparkContext.broadcast(model)
 
@@ -120,6 +120,9 @@ def class_sums(patterns: DataFrame, m: int, model: LabelModel | None, pairs: boo
                 total[c, 1:m + 1] += r @ votes
                 if pairs:
                     total[c, m + 1:] += ((votes * r[:, None]).T @ votes).ravel()
+        if pairs:  # a pair counts the same either way round
+            square = total[:, m + 1:].reshape(2, m, m)
+            square[:, np.tril_indices(m, -1)[0], np.tril_indices(m, -1)[1]] = 0.0
         c, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(cell), pa.array(total[c, cell])], ["c", "cell", "v"])
 
@@ -127,6 +130,9 @@ def class_sums(patterns: DataFrame, m: int, model: LabelModel | None, pairs: boo
     parts = patterns.select("pattern", "y", "n").mapInArrow(run, "c long, cell long, v double")
     for r in parts.groupBy("c", "cell").agg(F.sum("v").alias("v")).collect():
         out[r.c, r.cell] = r.v
+    if pairs:
+        upper = out[:, m + 1:].reshape(2, m, m)
+        out[:, m + 1:] = (upper + np.triu(upper, 1).transpose(0, 2, 1)).reshape(2, m * m)
     return out
 
 
