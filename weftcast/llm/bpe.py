@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from .common import shared_buckets, shuffle_partitions
 
-BLOCK_CHARS = 8 << 20  # texts of one block; a longer text is a block of its own
+BLOCK_CHARS = 12 << 20  # texts of one block; a longer text is a block of its own
 #: Characters whose classes differ between the two regular-expression libraries, or might: texts that hold one take the exact one.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
