@@ -77,8 +77,8 @@ def test_urls_match_brute_force(spark):
 
 
 def test_templates_are_judged_by_labels(spark):
-    rows = [(i, f"http://shop.test/{kind}/{i}") for i in range(40) for kind in ("good", "bad")] + [(100 + i, f"http://www.casino.test/x{i}") for i in range(5)]
-    rules = [("shop.test", f"/bad/{i}", "block") for i in range(12)] + [("shop.test", f"/good/{i}", "allow") for i in range(12)]
+    rows = [(i, f"http://shop.test/{kind}/{i:03d}") for i in range(40) for kind in ("good", "bad")] + [(100 + i, f"http://www.casino.test/x{i}") for i in range(5)]
+    rules = [("shop.test", f"/bad/{i:03d}", "block") for i in range(12)] + [("shop.test", f"/good/{i:03d}", "allow") for i in range(12)]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
     free = {(r.path.split("/")[1][:1], r.verdict) for r in got if r.rule is None}
     assert free == {("g", "allow"), ("b", "block"), ("x", "block")}

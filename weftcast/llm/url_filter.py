@@ -22,7 +22,7 @@ BLOCK_WORDS = ["adult", "ads", "bet", "bets", "casino", "pills", "porn", "spam",
 MIN_CHILDREN = 8  # a node with fewer different children keeps them apart
 RARE = 0.02  # a child with a smaller share of such a node is a value of a variable
 PRIOR_ROWS = 2.0  # weight of the prior in a smoothed purity
-UNLABELLED = 0.5  # an unlabelled url counts as so much of an allowed one
+UNLABELLED = 0.25  # an unlabelled url counts as so much of an allowed one
 Z = 1.96  # two rates differ from here on
 REJECT = 0.5
 
@@ -77,7 +77,8 @@ def branch_purity(path: Column) -> Column:
     """The smoothed purity of the branch that a template ends in, of its nodes' counts from the root down.
 
     A node stays with what is above it unless a two-proportion test tells their
-    labelled rates apart; the unlabelled count with their small weight.
+    labelled rates apart; the unlabelled count with their small weight. A node
+    without any label is a branch of its own, with what is above as its prior.
     """
     size = lambda s: s["b"] + s["a"] + UNLABELLED * s["u"]
     rate = lambda s: s["b"] / F.greatest(size(s), F.lit(1e-9))
@@ -88,7 +89,7 @@ def branch_purity(path: Column) -> Column:
         pooled = (top["b"] + node["b"]) / (n1 + n2)
         spread = pooled * (1 - pooled) * (1 / n1 + 1 / n2)
         gap = rate(top) - rate(node)
-        apart = gap * gap > Z * Z * spread
+        apart = (gap * gap > Z * Z * spread) | (node["b"] + node["a"] == 0)
         return F.struct(F.when(apart, node).otherwise(top).alias("top"), F.when(apart, purity(top["b"], top["a"], top["u"], state["prior"])).otherwise(state["prior"]).alias("prior"))
 
     begin = F.struct(path[0].alias("top"), F.lit(0.0).alias("prior"))
