@@ -43,14 +43,18 @@ def residuals(preds: DataFrame, actual: str = "actual", predicted: str = "predic
 
 
 def metric_aggs(actual: str = "actual", predicted: str = "predicted") -> list:
-    """MAE, RMSE, R^2 (scikit-learn convention: constant actuals -> 1 if perfect else 0)."""
-    a, p = F.col(actual).cast("double"), F.col(predicted).cast("double")
+    """MAE, RMSE, R^2 (scikit-learn convention: constant actuals -> 1 if perfect else 0).
+
+    Only complete pairs are scored, and ``n`` counts those; ``missing_pairs`` tells what is left out.
+    """
+    p = F.col(predicted).cast("double")
+    a = F.when(p.isNotNull(), F.col(actual).cast("double"))
     e = a - p
     ss_res = F.sum(e * e)
     ss_tot = F.var_pop(a) * F.count(a)
     r2 = (F.when(ss_tot > 0, F.lit(1.0) - F.try_divide(ss_res, ss_tot))
            .when(ss_res == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return [F.count(a).alias("n"), F.avg(F.abs(e)).alias("mae"),
+    return [F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"),
             F.sqrt(F.avg(e * e)).alias("rmse"), r2.alias("r2")]
 
 
@@ -60,6 +64,13 @@ def forecast_metrics(preds: DataFrame, group_cols=("entity", "model_key"),
     return preds.groupBy(*group_cols).agg(*metric_aggs(actual, predicted))
 
 
+def missing_pairs(preds: DataFrame, group_cols=("entity", "model_key"),
+                  actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """Rows per group without an actual or a predicted value, which the metrics leave out."""
+    gap = F.col(actual).isNull() | F.col(predicted).isNull()
+    return preds.groupBy(*group_cols).agg(F.count_if(gap).alias("n_missing"))
+
+
 def combined_scores(preds: DataFrame, model_col: str = "model_key",
                     actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """#24 + #51: pool every entity's predictions per model (each period counts once), rank by MAE."""
@@ -70,10 +81,10 @@ def combined_scores(preds: DataFrame, model_col: str = "model_key",
 
 
 def metrics_table(metrics: DataFrame, tuned_keys=("decision_tree", "random_forest", "xgboost", "lightgbm"),
-                  entity: str = "entity") -> DataFrame:
-    """#25: tidy (entity, model, model_key, mae, rmse, r2, tuned)."""
+                  entity: str = "entity", extra=()) -> DataFrame:
+    """#25: tidy (entity, model, model_key, mae, rmse, r2, tuned); ``tuned_keys``: the models that were tuned."""
     return metrics.select(F.col(entity).alias("entity"), display_name_col().alias("model"), "model_key",
-                          "mae", "rmse", "r2", F.col("model_key").isin(list(tuned_keys)).alias("tuned"))
+                          "mae", "rmse", "r2", F.col("model_key").isin(list(tuned_keys)).alias("tuned"), *extra)
 
 
 def rank_models(metrics: DataFrame, by: str = "mae", entity: str = "entity") -> DataFrame:

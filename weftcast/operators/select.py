@@ -23,13 +23,14 @@ Kraskov-Stoegbauer-Grassberger estimator (k = 3), as scikit-learn's
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import harmonic
 from ..session import cut_lineage
 
-_DEBUG = False
 JITTER = 1e-10
 EPS_SHRINK = 1.0 - 1e-9  # strict "< eps": neighbours at exactly eps stay out
 
@@ -68,8 +69,11 @@ def mi_points(df: DataFrame, entity: str, period: str, target_t: str, features:
 _OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
 
 
-def knn_radius(points: DataFrame, entity: str, k: int = 3, max_rounds: int = 40) -> DataFrame:
-    """Exact Chebyshev distance to the k-th neighbour: (entity, feature, rid, eps)."""
+def knn_radius(points: DataFrame, entity: str, k: int = 3) -> DataFrame:
+    """Exact Chebyshev distance to the k-th neighbour: (entity, feature, rid, eps).
+
+    Cells double until every point is resolved; there is no round limit.
+    """
     keys = [entity, "feature"]
     # initial cell side: about k points expected in a query's radius-h box for
     # standardized data spread over a few units; refined by doubling.
@@ -77,7 +81,7 @@ def knn_radius(points: DataFrame, entity: str, k: int = 3, max_rounds: int = 40)
                         (F.lit(6.0) * F.sqrt(F.lit(float(k)) / F.col("n"))).alias("h0")).cache()
     unresolved = pts.filter(F.col("n") > k).select(*keys, "rid", "x", "y", "h0")
     found = None
-    for r in range(max_rounds):
+    for r in count():
         scale = float(2 ** r)
         h = F.col("h0") * scale
         cells = pts.select(*keys, F.col("rid").alias("rid_b"), F.col("x").alias("x_b"), F.col("y").alias("y_b"),
@@ -99,8 +103,6 @@ def knn_radius(points: DataFrame, entity: str, k: int = 3, max_rounds: int = 40)
         nxt = unresolved.join(res.select(*keys, "rid"), [*keys, "rid"], "left_anti")
         unresolved = cut_lineage(nxt) if r % 4 == 3 else nxt.cache()
         left = unresolved.count()
-        if _DEBUG:
-            print("knn round", r, "unresolved", left)
         if left == 0:
             break
     pts.unpersist()

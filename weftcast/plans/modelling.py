@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ from ..functions import expm1_clip, log1p_target, rint_long
 from ..operators import models as MD
 from ..operators import scale as SC
 from ..operators import select as SEL
-from ..operators.metrics import MODEL_DISPLAY_NAMES
 from ..operators.split import temporal_split, timeseries_cv_folds
 from ..session import broadcast_if_small, cut_lineage
 from ..sources.panels import PANEL_SPEC
@@ -219,6 +220,8 @@ def tune_tree(stack: Stack, key: str, cfg: RunConfig, candidates: list[dict] | N
     for e in ents:
         per = [(sum(scores[(e, ci, f)] for f in range(cfg.n_splits)) / cfg.n_splits, ci) for ci in range(len(cands))]
         s, ci = min(per)
+        if s == float("inf"):
+            raise ValueError(f"entity {e!r}: no cross-validation score, too few rows for {cfg.n_splits} folds")
         best[e] = (cands[ci], s)
     folds.unpersist()
     return best
@@ -401,26 +404,41 @@ def fit_tree_models(stack: Stack, key_by_entity: dict, params: dict, cfg: RunCon
 REC_SCHEMA = "entity string, period date, year int, weekofyear int, predicted double"
 
 
+def case_parts(names: list[str]) -> dict[str, tuple[str, int]]:
+    """What each configured case feature reads from the past counts: ("lag", k) or ("rollmean", window)."""
+    found = {n: re.fullmatch(r"cases_(lag|rollmean)_(\d+)", n) for n in names}
+    if unknown := [n for n, m in found.items() if m is None]:
+        raise ValueError(f"case features without a recursion: {unknown}")
+    return {n: (m[1], int(m[2])) for n, m in found.items()}
+
+
+def case_value(past: np.ndarray, kind: str, size: int) -> float:
+    """A case feature of the next period; nan while too little is known (a mean needs two counts)."""
+    if kind == "lag":
+        return past[-size] if len(past) >= size else np.nan
+    return past[-size:].mean() if min(size, len(past)) >= 2 else np.nan
+
+
 def forecast_recursive_tree(stack_full: Stack, models: dict, key_by_entity: dict) -> DataFrame:
     """#82 for tree models: each entity's recursion runs inside one task.
 
     The test block of an entity (its forecast horizon) is grouped with
     ``applyInPandas``; the entity's fitted model travels as compact arrays
-    (``models.ensemble_arrays``) and its last four known counts and case-slot
-    scaling ride along as group columns.  Each step fills the case features
-    from the history, predicts, applies expm1 + clip and appends the UNROUNDED
-    prediction - the reference's loop, with entities in parallel and no
-    per-step Spark job.
+    (``models.ensemble_arrays``) and its last known counts - as many as the
+    configured case features look back - and case-slot scaling ride along as
+    group columns.  The horizon is one fold whose state is those counts: each
+    period's unrounded forecast joins the state of the next.
     """
     ens = {e: MD.ensemble_arrays(m) for e, m in models.items()}
     case = list(stack_full.case_names)
+    depth = max([2, *(size for _, size in case_parts(case).values())])
     slots = stack_full.slots
     fr = stack_full.frame.filter(F.col("entity").isin(sorted(models)))
     hist_w = Window.partitionBy("entity").orderBy(F.col("period").desc())
     known = (fr.filter(F.col("split") == "train")
                .select("entity", "period", F.col("target").cast("double").alias("v"),
                        F.row_number().over(hist_w).alias("back"))
-               .filter(F.col("back") <= 4).groupBy("entity")
+               .filter(F.col("back") <= depth).groupBy("entity")
                .agg(F.array_sort(F.collect_list(F.struct((F.col("back") * -1).alias("o"), "v"))).alias("h"))
                .select("entity", F.transform("h", lambda s: s["v"]).alias("hist")))
     st = stack_full.scaler.select("entity", F.array(*[F.col(f"{s}__mean") for s in slots]).alias("mu"),
@@ -429,36 +447,28 @@ def forecast_recursive_tree(stack_full: Stack, models: dict, key_by_entity: dict
               .select("entity", "period", "year", "weekofyear", "sel_names", F.array(*slots).alias("x"))
               .join(known, "entity").join(broadcast_if_small(st), "entity"))
 
-    predict = MD.predict_arrays
+    predict, parts = MD.predict_arrays, case_parts(case)
 
     def run(pdf):
-        import numpy as _np
-        import pandas as _pd
-        pdf = pdf.sort_values("period")
-        e = pdf["entity"].iloc[0]
-        model = ens[e]
-        hist = [float(v) for v in pdf["hist"].iloc[0]]
-        mu, sd = _np.asarray(pdf["mu"].iloc[0], float), _np.asarray(pdf["sd"].iloc[0], float)
-        out = []
-        for _, r in pdf.iterrows():
-            names = list(r["sel_names"])
-            x = _np.array([0.0 if v is None or v != v else float(v) for v in r["x"]])
-            vals = {f"cases_lag_{k}": (hist[-k] if len(hist) >= k else _np.nan) for k in (1, 2, 3, 4)}
-            recent = hist[-4:]
-            vals["cases_rollmean_4"] = float(_np.mean(recent)) if len(recent) >= 2 else _np.nan
-            for j, n in enumerate(names):
-                if n in case:
-                    x[j] = (vals[n] - mu[j]) / sd[j]
-            pred = max(float(_np.expm1(predict(model, x))), 0.0)
-            out.append((e, r["period"], int(r["year"]), int(r["weekofyear"]), pred))
-            hist.append(pred)
-        return _pd.DataFrame(out, columns=["entity", "period", "year", "weekofyear", "predicted"])
+        rows = pdf.sort_values("period")
+        entity, chosen = rows["entity"].iloc[0], list(rows["sel_names"].iloc[0])
+        inputs = np.nan_to_num(np.stack([np.asarray(v, float) for v in rows["x"]]))
+        at = [j for j, name in enumerate(chosen) if name in parts]
+        centre, width = (np.asarray(rows[c].iloc[0], float)[at] for c in ("mu", "sd"))
+
+        def step(state, x):
+            past = state[0]
+            x = x.copy()
+            x[at] = (np.array([case_value(past, *parts[chosen[j]]) for j in at]) - centre) / width
+            count = float(np.maximum(np.expm1(predict(ens[entity], x)), 0.0))
+            return np.append(past, count)[-depth:], count
+
+        states = itertools.accumulate(inputs, step, initial=(np.asarray(rows["hist"].iloc[0], float), None))
+        forecast = [count for _, count in states][1:]
+        return rows[["entity", "period", "year", "weekofyear"]].assign(predicted=forecast)
 
     res = test.groupBy("entity").applyInPandas(run, REC_SCHEMA)
     keys = F.create_map(*[x for e, k in key_by_entity.items() for x in (F.lit(e), F.lit(k))])
     return res.select("entity", keys[F.col("entity")].alias("model_key"), "period", "year", "weekofyear",
                       "predicted")
 
-
-def display(key: str) -> str:
-    return MODEL_DISPLAY_NAMES.get(key, key)

@@ -54,7 +54,7 @@ _STACKS: dict = {}
 def stack_for(spark: SparkSession, sf_dir: str, autoregressive: bool = False, full_train: bool = False,
               cfg: ML.RunConfig | None = None) -> ML.Stack:
     cfg = cfg or QUERY_CFG
-    key = (spark.sparkContext.applicationId, sf_dir, autoregressive, full_train, cfg.k, cfg.selection)
+    key = (spark.sparkContext.applicationId, sf_dir, autoregressive, full_train, repr(cfg))
     if key not in _STACKS:
         eng, names, case = FL.engineered_panel(spark, sf_dir, autoregressive=autoregressive)
         _STACKS[key] = ML.build_stack(eng, names, case, cfg, full_train=full_train)
@@ -141,8 +141,9 @@ def run_forecast(spark: SparkSession, sf_dir: str, autoregressive: bool = False,
     keys = keys or MD.ALL_MODELS
     stack = stack_for(spark, sf_dir, autoregressive, False, cfg)
     preds, params, imp = evaluate(spark, stack, keys, cfg, tune)
-    metrics = M.metrics_table(M.forecast_metrics(preds)).join(
-        M.forecast_metrics(preds).select("entity", "model_key", "n"), ["entity", "model_key"])
+    scored = M.forecast_metrics(preds)
+    tuned_keys = MD.TREE_MODELS if tune else ()
+    metrics = M.metrics_table(scored, tuned_keys, extra=("n",))
     ranked = M.rank_models(metrics, "mae")
     combined = M.combined_scores(preds)
     best = M.best_model_per_entity(metrics)
@@ -208,17 +209,13 @@ def write_predictions(preds: DataFrame, root: str) -> str:
     return path
 
 
-PRED_FILE_SCHEMA = "week_start_date date, actual double, predicted double"
+PRED_FILE_SCHEMA = "week_start_date date, actual double, predicted double, entity string, model_key string"
 
 
 def scan_holdout_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """#2: read the per-(entity, model) files back; identity comes from the file path only."""
-    df = (spark.read.schema(PRED_FILE_SCHEMA).option("header", True)
-          .option("recursiveFileLookup", True).csv(path))
-    src = F.input_file_name()
-    return df.select(F.regexp_extract(src, r"entity=([^/]+)/", 1).alias("entity"),
-                     F.regexp_extract(src, r"model_key=([^/]+)/", 1).alias("model_key"),
-                     "week_start_date", "actual", "predicted")
+    """#2: read the per-(entity, model) files back; identity comes from the partition folders, which filters prune."""
+    df = spark.read.schema(PRED_FILE_SCHEMA).option("header", True).csv(path)
+    return df.select("entity", "model_key", "week_start_date", "actual", "predicted")
 
 
 def write_reports(res: RunResult, root: str) -> dict:
@@ -253,10 +250,24 @@ def run_summary(res: RunResult) -> DataFrame:
                                                           "entities")).alias("json"))
 
 
+# The report's columns (title, printf width, printf type) and its sentences.
+REPORT_COLUMNS = [("Rank", "-5", "d"), ("Model", "-24", "s"), ("MAE", "10", ".3f"), ("RMSE", "10", ".3f"), ("R2", "10", ".3f"), ("Tuned", "8", "s")]
+BEST_LINE = "  -> Best for %s: %s (MAE=%.3f)"
+OVERALL_LINE = "Overall best (combined MAE): %s (MAE=%.3f)"
+
+
+def report_header(columns: list[tuple[str, str, str]]) -> str:
+    return "".join(f"%{width}s" % title for title, width, _ in columns)
+
+
+def report_row(columns: list[tuple[str, str, str]]) -> str:
+    """The printf format of a row."""
+    return "".join(f"%{width}{kind}" for _, width, kind in columns)
+
+
 def comparison_report(ranked: DataFrame, combined: DataFrame) -> DataFrame:
     """#6: the fixed-width comparison report as (section, section_order, line_no, line)."""
-    row_fmt = "%-5d%-24s%10.3f%10.3f%10.3f%8s"
-    header = f"{'Rank':<5}{'Model':<24}{'MAE':>10}{'RMSE':>10}{'R2':>10}{'Tuned':>8}"
+    row_fmt, header = report_row(REPORT_COLUMNS), report_header(REPORT_COLUMNS)
     ents = ranked.select("entity").distinct()
     e_order = Window.orderBy("entity")
     ents = ents.select("entity", F.row_number().over(e_order).alias("section_order"))
@@ -271,12 +282,13 @@ def comparison_report(ranked: DataFrame, combined: DataFrame) -> DataFrame:
     rule = ents.select("entity", "section_order", F.lit(2).alias("line_no"), F.lit("-" * len(header)).alias("line"))
     best = per.filter(F.col("rank") == 1).select(
         "entity", "section_order", F.lit(1000).alias("line_no"),
-        F.format_string("  -> Best for %s: %s (MAE=%.3f)", F.upper("entity"), F.col("model"), F.col("mae")).alias("line"))
+        F.format_string(BEST_LINE, F.upper("entity"), F.col("model"), F.col("mae")).alias("line"))
     body = rows.unionByName(title).unionByName(hdr).unionByName(rule).unionByName(best)
-    chdr = f"{'Rank':<5}{'Model':<24}{'MAE':>10}{'RMSE':>10}{'R2':>10}"
+    pooled = REPORT_COLUMNS[:-1]
+    chdr = report_header(pooled)
     comb_rows = combined.select(F.lit("combined").alias("entity"), F.lit(10 ** 6).alias("section_order"),
                                 (F.col("rank") + 3).alias("line_no"),
-                                F.format_string("%-5d%-24s%10.3f%10.3f%10.3f", "rank", "model", "mae", "rmse", "r2")
+                                F.format_string(report_row(pooled), "rank", "model", "mae", "rmse", "r2")
                                 .alias("line"))
     spark = ranked.sparkSession
     fixed = spark.createDataFrame(
@@ -285,7 +297,7 @@ def comparison_report(ranked: DataFrame, combined: DataFrame) -> DataFrame:
         "entity string, section_order int, line_no int, line string")
     overall = combined.filter(F.col("rank") == 1).select(
         F.lit("combined").alias("entity"), F.lit(10 ** 6).alias("section_order"), F.lit(1000).alias("line_no"),
-        F.format_string("Overall best (combined MAE): %s (MAE=%.3f)", "model", "mae").alias("line"))
+        F.format_string(OVERALL_LINE, "model", "mae").alias("line"))
     return body.unionByName(comb_rows).unionByName(fixed).unionByName(overall) \
                .withColumnRenamed("entity", "section")
 

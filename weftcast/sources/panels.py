@@ -48,33 +48,25 @@ def _split_tag(period_col: str, test_from: dt.date):
 def weekly_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(entity, period, year, weekofyear, f_*, target, split) from orders x customer.
 
-    Orders are first reduced to partial sums per (customer, week) -- a
-    map-side-combined aggregation, so a customer owning a third of all orders
-    leaves at most one row per week per map task -- and only those partials
-    are joined to customer and re-aggregated per (segment, week).  Averages
-    are rebuilt from sums and counts (sum / count is what ``avg`` computes).
+    Join, then one map-side-combined aggregation: the only exchange of fact
+    rows is that of the join, and there is none where customer is small enough
+    to broadcast; beyond that a sort-merge join with AQE skew splitting.  What
+    is shuffled by (segment, week) is one row per group and map task.
     """
     orders = read_table(spark, sf_dir, "orders",
                         ["o_custkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus"])
     period = F.to_date(F.date_trunc("week", F.col("o_orderdate")))
     urgent_p = (F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P")
     price = F.col("o_totalprice")
-    partial = orders.groupBy(F.col("o_custkey"), period.alias("period")).agg(
-        F.sum(price).alias("s_price"), F.count(price).alias("n_price"),
-        F.sum(F.when(urgent_p, price)).alias("s_urgent"), F.count(F.when(urgent_p, price)).alias("n_urgent"),
-        F.count_if(F.col("o_orderstatus") == "F").alias("n_f"),
-        F.count(F.lit(1)).alias("n"))
     customer = broadcast_if_small(
         read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment", "c_acctbal"]))
-    joined = partial.join(customer, partial.o_custkey == customer.c_custkey, "inner")
-    acct_f = F.when(F.col("n_f") > 0, F.col("c_acctbal") * F.col("n_f"))
-    agg = (joined.groupBy(F.col("c_mktsegment").alias("entity"), "period")
-           .agg(F.try_divide(F.sum("s_price"), F.sum("n_price")).alias("f_price"),
-                F.try_divide(F.sum("s_urgent"), F.sum("n_urgent")).alias("f_urgent"),
-                F.try_divide(F.sum(acct_f), F.sum(F.when(F.col("c_acctbal").isNotNull(), F.col("n_f"))))
-                .alias("f_acct"),
-                F.try_divide(F.sum("s_price"), F.sum("n_price")).alias("f_price_dup"),
-                F.sum("n").alias("target")))
+    joined = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"), "inner")
+    agg = (joined.groupBy(F.col("c_mktsegment").alias("entity"), period.alias("period"))
+           .agg(F.avg(price).alias("f_price"),
+                F.avg(F.when(urgent_p, price)).alias("f_urgent"),
+                F.avg(F.when(F.col("o_orderstatus") == "F", F.col("c_acctbal"))).alias("f_acct"),
+                F.avg(price).alias("f_price_dup"),
+                F.count(F.lit(1)).alias("target")))
     return agg.select(
         "entity", "period",
         F.expr("extract(YEAROFWEEK FROM period)").cast("int").alias("year"),
