@@ -17,6 +17,7 @@ from weftcast.sources.tables import read_table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from the labels of the documents it is given."""
+    common.whole_texts(spark)
     return quality.keep_quality(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -25,6 +26,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document without id stays only if no document of its group has one.
     """
+    common.whole_texts(spark)
     found = simhash.simhash_near_duplicates(docs)
     keep = found.where("kept").select("doc_id").distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
@@ -36,6 +38,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    common.whole_texts(spark)
     return decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
@@ -47,6 +50,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, with the digest of the text that the ids decode to."""
     ensure_checkpoint_dir(spark)
+    common.whole_texts(spark)
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     decoded = bpe.bpe_decode(bpe.bpe_encode(docs, ranks, public_tokenizers.PATTERN), ranks)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

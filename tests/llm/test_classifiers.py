@@ -78,7 +78,7 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     x = rng.normal(size=(80, 5))
     y = np.where(x @ np.array([1.0, -2, 0.5, 0, 0]) + 0.3 + rng.normal(size=80) * 0.5 > 0, 1.0, -1.0)
     cost = np.ones(80)
-    w, b = quality.dual_coordinate_descent([np.arange(5)] * 80, list(x), y, 5, cost, epochs=2000)
+    w, b = quality.dual_coordinate_descent([np.arange(5)] * 80, lambda i: x[i], y, 5, cost, epochs=2000)
     value = lambda w, b: 0.5 * (w @ w + b * b) + (cost * np.maximum(0, 1 - y * (x @ w + b))).sum()
     best = value(w, b)
     for _ in range(300):

@@ -15,7 +15,13 @@ from weftcast.session import cut_lineage, ensure_checkpoint_dir
 from weftcast.sources.tables import read_table
 
 
+def whole_texts(spark: SparkSession, rows: int = 1024) -> None:
+    """Smaller Arrow batches for this session: their rows are whole documents, and a batch is held in memory at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole_texts(spark)
     return read_table(spark, sf_dir, "documents", ["doc_id", "text"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIM = 1 << 18
-KNOWN = 200_000  # words whose features a task remembers
+KNOWN = 50_000  # words whose features a task remembers
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’…–—"
 PREFIX = 4
 

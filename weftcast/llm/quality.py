@@ -7,6 +7,7 @@ scaled indicators is fitted by dual coordinate descent.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,23 +48,24 @@ def log_count_ratio(counts: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.where(counts.sum(axis=0) >= MIN_ROWS, np.log(rate[1] / rate[0]), 0.0)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dim: int, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias of min |w|^2 / 2 + sum cost_i * hinge(y_i, w . x_i), rows given as indices and values.
+def dual_coordinate_descent(rows: list[np.ndarray], values: Callable[[int], np.ndarray], y: np.ndarray, dim: int, cost: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias of min |w|^2 / 2 + sum cost_i * hinge(y_i, w . x_i), rows given as indices and a function of their values.
 
     The dual is solved one row at a time: its multiplier moves to the optimum
     within [0, cost_i] and the weights follow.
     """
     w, bias, dual = np.zeros(dim), 0.0, np.zeros(len(rows))
-    norm = np.array([(v * v).sum() + 1.0 for v in values])
+    norm = np.array([(values(i) ** 2).sum() + 1.0 for i in range(len(rows))])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1.0
+            x = values(i)
+            gradient = y[i] * (w[rows[i]] @ x + bias) - 1.0
             new = min(max(dual[i] - gradient / norm[i], 0.0), cost[i])
             if (step := new - dual[i]) != 0.0:
                 dual[i] = new
-                w[rows[i]] += step * y[i] * values[i]
+                w[rows[i]] += step * y[i] * x
                 bias += step * y[i]
                 moved = max(moved, abs(step))
         if moved < 1e-4:
@@ -92,11 +94,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         of, r = shape_features(), shared.value
         order = np.argsort(t.column("doc_id").to_numpy(), kind="stable")
         text, label = t.column("text").to_pylist(), t.column("y").to_numpy()
-        rows = [f[r[f] != 0] for f in (of(text[i] or "") for i in order)]
-        values = [r[f] / max(1e-9, np.sqrt((r[f] ** 2).sum())) for f in rows]
+        rows = [f[r[f] != 0].astype(np.int32) for f in (of(text[i] or "") for i in order)]
+        scale = [1.0 / max(1e-9, np.sqrt((r[f] ** 2).sum())) for f in rows]
         y = np.where(label[order] > 0, 1.0, -1.0)
         cost = COST * np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum())))
-        w, bias = dual_coordinate_descent(rows, values, y, len(r), cost)
+        w, bias = dual_coordinate_descent(rows, lambda i: r[rows[i]] * scale[i], y, len(r), cost)
         return pa.table({"weight": [w.tobytes()], "bias": [bias]})
 
     sample = bounded_ids(marked, fit_rows)  # a proven bound: fit_rows ids
