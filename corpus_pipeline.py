@@ -24,16 +24,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the document with the smallest id stays, one row of it if it is repeated.
 
-    A document without id stays only if no document of its group has one.
+    A group without any id keeps one row: that of the smallest text hash.
     """
     common.whole_texts(spark)
-    found = simhash.simhash_near_duplicates(docs)
-    keep = found.where("kept").select("doc_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    repeated = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id")
-    once = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
-    several = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")
-    return once.unionByName(several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct(*docs.columns)).alias("d")).select("d.*")).select(*docs.columns)
+    found = simhash.simhash_near_duplicates(docs).where("kept")
+    nameless = F.when(F.col("component_id").isNull(), F.col("fp")).alias("nameless")
+    chosen = found.groupBy("component_id", nameless).agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("rows"))
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    same = lambda c: rows["doc_id"].eqNullSafe(c["component_id"]) & (rows["_hash"] == c["h"])
+    single, repeated = chosen.where("rows = 1"), chosen.where("rows > 1")
+    once = rows.join(single, same(single), "left_semi").select(*docs.columns)
+    several = rows.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
+    return once.unionByName(several)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

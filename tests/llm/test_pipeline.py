@@ -60,8 +60,14 @@ def test_secrets_are_replaced(results):
     assert set(before) == set(after)
     for d, r in after.items():
         spans = [tuple(map(int, s.split(":")[1:])) for s in brute_spans(before[d].text).split(",") if s]
+        stretches = []  # spans that overlap, as a token's value that is hex too, are one stretch
+        for a, b in spans:
+            if stretches and a < stretches[-1][1]:
+                stretches[-1][1] = max(b, stretches[-1][1])
+            else:
+                stretches.append([a, b])
         want = before[d].text
-        for a, b in reversed(spans):
+        for a, b in reversed(stretches):
             want = want[:a] + "[SECRET]" + want[b:]
         assert r.text == want
 

@@ -52,13 +52,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit number; null text reads as empty."""
+    """(doc_id, fp, text_hash): the fingerprint of every whole text as a signed 64-bit number; null text reads as empty.
+
+    text_hash is ``xxhash64(text)``; it tells apart rows that share an id.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle, seed) for t in text_bytes(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def segment_counts(fp):
@@ -86,7 +89,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, component_id, kept) for each row of ``docs``; link: at most two differing bits.
+    """(doc_id, fp, text_hash, component_id, kept) for each row of ``docs``; link: at most two differing bits.
 
     component_id is the smallest doc_id reachable by links; kept marks that
     document (of repeated rows of an id each is marked). Null texts read as
@@ -104,7 +107,7 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int =
     least = group.groupBy("component").agg(F.min("first").alias("least"))
     moved = group.join(least, "component").select("fp", "least")
     known = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", "fp", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    return fps.join(known, "fp").select("doc_id", "fp", "text_hash", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def fingerprint_hex(fp):
