@@ -24,12 +24,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the document with the smallest id stays, one row of it if it is repeated.
 
-    A group without any id keeps one row: that of the smallest text hash.
+    A group without any id keeps one row: that of the smallest text hash. If one
+    id has texts in several groups, each of them keeps its row of that id.
     """
     common.whole_texts(spark)
     found = simhash.simhash_near_duplicates(docs).where("kept")
-    nameless = F.when(F.col("component_id").isNull(), F.col("fp")).alias("nameless")
-    chosen = found.groupBy("component_id", nameless).agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("rows"))
+    chosen = found.groupBy("root", "component_id").agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("rows"))
     rows = docs.withColumn("_hash", F.xxhash64("text"))
     same = lambda c: rows["doc_id"].eqNullSafe(c["component_id"]) & (rows["_hash"] == c["h"])
     single, repeated = chosen.where("rows = 1"), chosen.where("rows > 1")

@@ -95,3 +95,16 @@ def test_odd_documents_pass_every_stage(spark, docs_of, tmp_path):
             assert out.count() <= given.count()
     kept = P.dedup_stage(spark, docs_of(odd), str(tmp_path)).collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept) == [(False, 0), (True, 1), (True, 3), (True, 4)]
+
+
+def test_each_group_keeps_one_row_if_an_id_has_unlike_texts(spark, docs_of):
+    words = [f"w{i * 7919 % 1009}" for i in range(1500)]
+    base = plain_fingerprint(" ".join(words))
+    changed = (" ".join([*words[:i], "other", *words[i + 1:]]) for i in range(len(words)))
+    near = next(t for t in changed if 1 <= (plain_fingerprint(t) ^ base).bit_count() <= 2)
+    a, b = "an unlike text that stands far away from it", "some words that are another document of the same id"
+    assert (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count() > 2
+    given = [(5, a), (5, b), (7, b.upper()), (None, " ".join(words)), (None, near)]
+    kept = [(r.doc_id, r.text) for r in P.dedup_stage(spark, docs_of(given), SF).collect()]
+    assert sorted(t for i, t in kept if i is not None) == sorted([a, b]) and {i for i, _ in kept} == {5, None}
+    assert len(kept) == 3

@@ -89,9 +89,11 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp, text_hash, component_id, kept) for each row of ``docs``; link: at most two differing bits.
+    """(doc_id, fp, text_hash, root, component_id, kept) for each row of ``docs``; link: at most two differing bits.
 
-    component_id is the smallest doc_id reachable by links; kept marks that
+    root is the component's smallest fingerprint and names the component;
+    component_id is the smallest doc_id reachable by links, which two components
+    share if one id has two texts that don't link; kept marks that
     document (of repeated rows of an id each is marked). Null texts read as
     empty; texts without words share fingerprint zero and link like any other.
     A row without an id gets the smallest id of its group, or null if there is
@@ -105,9 +107,9 @@ def simhash_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int =
     roots = classes.join(found.select(F.col("component").alias("fp")).distinct(), "fp").withColumn("component", F.col("fp"))
     group = tied.select("component", "first", "fp").unionByName(roots.select("component", "first", "fp"))
     least = group.groupBy("component").agg(F.min("first").alias("least"))
-    moved = group.join(least, "component").select("fp", "least")
-    known = classes.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return fps.join(known, "fp").select("doc_id", "fp", "text_hash", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    moved = group.join(least, "component").select("fp", "component", "least")
+    known = classes.join(moved, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return fps.join(known, "fp").select("doc_id", "fp", "text_hash", "root", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def fingerprint_hex(fp):
