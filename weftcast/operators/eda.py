@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..spec import PanelSpec
 
 
@@ -38,18 +39,20 @@ def missing_counts(df: DataFrame, spec: PanelSpec, cols: list[str], worst: int =
         F.when((F.col("n_missing") > 0) & (rank <= worst), rank).alias("worst_rank"))
 
 
-def missing_summary(df: DataFrame, spec: PanelSpec, cols: list[str], groups: list[str]) -> DataFrame:
+def missing_summary(df: DataFrame, spec: PanelSpec, cols: list[str]) -> DataFrame:
     """#22: % missing per feature x (entity_split) group on raw rows, worst-first.
 
-    ``groups`` lists the group labels ``{entity}_{split}`` to pivot into
-    columns (explicit pivot values: no extra job to discover them).
+    The groups ``{entity}_{split}`` that become columns are those of the data
+    (a small aggregate, read once).
     """
-    agg = df.groupBy(spec.entity, spec.split).agg(
-        *[(F.avg(F.col(c).isNull().cast("double")) * 100.0).alias(c) for c in cols])
-    long = agg.select(F.concat_ws("_", spec.entity, spec.split).alias("grp"),
-                      _stack([(c, F.col(c)) for c in cols], "feature", "pct_missing"))
+    agg = cut_lineage(df.groupBy(spec.entity, spec.split).agg(
+        *[(F.avg(F.col(c).isNull().cast("double")) * 100.0).alias(c) for c in cols]))
+    grp = F.concat_ws("_", spec.entity, spec.split).alias("grp")
+    groups = [r.grp for r in agg.orderBy(spec.entity, F.col(spec.split).desc()).select(grp).collect()]
+    long = agg.select(grp, _stack([(c, F.col(c)) for c in cols], "feature", "pct_missing"))
     wide = long.groupBy("feature").pivot("grp", groups).agg(F.first("pct_missing"))
-    mx = F.greatest(*[F.col(g) for g in groups]) if len(groups) > 1 else F.col(groups[0])
+    # a null beside them, as greatest() skips nulls and needs two columns
+    mx = F.greatest(*[wide[f"`{g}`"] for g in groups], F.lit(None).cast("double"), F.lit(None).cast("double"))
     order = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
     w = Window.orderBy(F.col("max_pct").desc(), F.col("feature_idx"))
     out = wide.select("*", mx.alias("max_pct"), order[F.col("feature")].alias("feature_idx"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Display names and display order of the eight estimators
 # (must equal the reference's labels for the report tables).
 MODEL_DISPLAY_NAMES = {
@@ -100,12 +102,12 @@ def best_model_per_entity(metrics: DataFrame, entity: str = "entity") -> DataFra
     return ranked.filter(F.col("rank") == 1).drop("rank")
 
 
-def model_comparison_pivot(metrics: DataFrame, entities: list[str], entity: str = "entity") -> DataFrame:
-    """#33: model x entity tables for mae / rmse / r2 stacked long by metric."""
-    long = metrics.select(entity, "model_key", F.stack(
+def model_comparison_pivot(metrics: DataFrame, entity: str = "entity") -> DataFrame:
+    """#33: model x entity tables for mae / rmse / r2 stacked long by metric; a column for every entity of the data."""
+    long = cut_lineage(metrics).select(entity, "model_key", F.stack(
         F.lit(3), F.lit("mae"), F.col("mae"), F.lit("rmse"), F.col("rmse"), F.lit("r2"), F.col("r2")
     ).alias("metric", "value"))
-    return (long.groupBy("metric", "model_key").pivot(entity, list(entities)).agg(F.first("value")))
+    return (long.groupBy("metric", "model_key").pivot(entity).agg(F.first("value")))
 
 
 def signal_comparison(preds: DataFrame) -> DataFrame:
