@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from weftcast.session import ensure_checkpoint_dir
 from weftcast.sources.tables import read_table
 
-from . import bpe, chat, cover_tree, decontam, html_text, quality, secret_scan, simhash, toxicity, url_filter
+from . import bpe, chat, cover_tree, decontam, html_text, line_dedup, quality, secret_scan, simhash, spelling, toxicity, turn_repair, url_filter
 from .common import documents
 from .oracles import ORACLE
 
@@ -70,11 +70,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.benchmark_leaks(documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return turn_repair.repair_damaged(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_chat_format, op3_toxicity, op4_byte_bpe, op5_url_filter, op6_simhash, op7_secret_scan, op8_quality, op9_embedding_dedup, op10_decontamination, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_chat_format, op3_toxicity, op4_byte_bpe, op5_url_filter, op6_simhash, op7_secret_scan, op8_quality, op9_embedding_dedup, op10_decontamination, op11_turn_repair, op12_spelling, op13_line_dedup, pipeline)}
 ORACLES = ORACLE
