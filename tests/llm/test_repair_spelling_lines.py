@@ -190,7 +190,7 @@ def spelled(df):
 def variants():
     """Words of few letters, so that many are near each other and many share a vector, with counts of three orders."""
     rng = random.Random(1)
-    words = {"".join(rng.choice("abé") for _ in range(rng.randint(7, 9))) for _ in range(160)} | {"wordlike", "wordlikes", "wordliek", "vordlike", "ordlike"}
+    words = {"".join(rng.choice("abé") for _ in range(rng.choice([7, 8, 9, 40]))) for _ in range(160)} | {"ab" * i + "ba" + "ab" * (30 - i) for i in range(8)} | {"x" * i + "y" + "x" * (39 - i) for i in range(9)} | {"x" * 38 + "y"} | {"wordlike", "wordlikes", "wordliek", "vordlike", "ordlike"}
     return [(i, " ".join([w] * rng.choice([1, 2, 3, 30, 400]))) for i, w in enumerate(sorted(words))]
 
 

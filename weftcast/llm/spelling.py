@@ -33,9 +33,10 @@ from .common import shared_table, text_bytes
 MIN_CHARS, MIN_COUNT, RATIO = 7, 2, 10
 DELETED = 31  # one run in so many loses a code point
 GROUPS = 16
-CELL_WORDS = 1 << 16
+CELL_WORDS = 1 << 15
 HELD = 200_000  # distinct words that a task counts before it passes the counts on
 LEAF = 1 << 16  # pairs of words whose vectors are compared at once
+WIDE = 32  # letters of a word that are compared as arrays
 LETTERS = "[a-zÀ-ÿ]"  # of texts whose A-Z are lower-cased
 
 
@@ -164,20 +165,47 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a[at + (len(a) == len(b)):] == b[at + 1:]
 
 
-def near_by_parts(words: list[bytes], homes: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
+class Cell:
+    """A cell's words, as arrays: vectors, letters from the left and from the right, and a place for each in the order of vectors."""
+
+    def __init__(self, words: list[bytes], home: np.ndarray, table: np.ndarray):
+        self.words, self.home = words, home
+        self.table = table.astype(np.int16 if table.max(initial=0) < 1 << 14 else np.int64)
+        self.size = np.fromiter(map(len, words), np.int64, len(words))
+        self.left, self.right = (np.frombuffer(b"".join(w[:WIDE].ljust(WIDE, b"\0") for w in ws), np.uint8).reshape(-1, WIDE) for ws in (words, [w[::-1] for w in words]))
+        self.place = np.empty(len(words), np.int64)
+        self.place[np.lexsort((*table.T[::-1], self.size))] = np.arange(len(words))
+
+    def verified(self, q: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Which of the pairs are one edit apart: what they share from the left and from the right covers all but one letter.
+
+        Of two home words, each found at the other's node, one order counts.
+        """
+        ok = ((q != h) & (~self.home[q] | (self.place[q] < self.place[h]))).nonzero()[0]
+        a, b = q[ok], h[ok]
+        shared = [np.where(e.all(axis=1), WIDE, e.argmin(axis=1)) for e in (self.left[a] == self.left[b], self.right[a] == self.right[b])]
+        near = shared[0] + shared[1] + 1 >= self.size[b]
+        for i in np.flatnonzero(self.size[b] > WIDE):  # longer than the arrays are wide
+            near[i] = one_edit(self.words[a[i]], self.words[b[i]])
+        return ok[near]
+
+
+def near_by_parts(cell: Cell, homes: np.ndarray, others: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pairs (other, home) of one edit, through what is left of a word without one letter: linear in the words."""
     left: dict[tuple[int, bytes], list[int]] = {}
     for h in homes.tolist():
-        w = words[h]
+        w = cell.words[h]
         for i in range(len(w)):
             left.setdefault((i, w[:i] + w[i + 1:]), []).append(h)
     for q in others.tolist():
-        w, found = words[q], set()
+        w, found = cell.words[q], set()
         for i in range(len(w)):
-            found.update(h for h in left.get((i, w[:i] + w[i + 1:]), ()) if len(words[h]) == len(w))
+            found.update(h for h in left.get((i, w[:i] + w[i + 1:]), ()) if cell.size[h] == len(w))
         for i in range(len(w) + 1):
-            found.update(h for h in left.get((i, w), ()))
-        yield from ((q, h) for h in found if h != q)
+            found.update(left.get((i, w), ()))
+        at = np.array(sorted(found - {q}), np.int64)
+        for h in at[cell.verified(np.full(len(at), q), at)].tolist():
+            yield q, h
 
 
 def search_cell(words: list[bytes], home: np.ndarray, table: np.ndarray, leaf: int = LEAF) -> Iterator[tuple[int, int]]:
@@ -186,57 +214,59 @@ def search_cell(words: list[bytes], home: np.ndarray, table: np.ndarray, leaf: i
     Depth-first over the trie of the cell's words, with all the words that
     reach a node at once and what each has left of surplus and deficit.
     """
-    n, groups = table.shape
-    size = table.sum(axis=1)
+    cell, groups = Cell(words, home, table), table.shape[1]
     at_home = np.flatnonzero(home)
-    stack = []
-    for length in np.unique(size[at_home]).tolist():
-        inside = at_home[size[at_home] == length]
-        same, shorter = np.flatnonzero(size == length), np.flatnonzero(size == length - 1)
+    stack, held, pending = [], [], 0
+    for length in np.unique(cell.size[at_home]).tolist():
+        inside = at_home[cell.size[at_home] == length]
+        same, shorter = np.flatnonzero(cell.size == length), np.flatnonzero(cell.size == length - 1)
         for reach, less in ((same, 1), (shorter, 0)):
             if len(reach):
                 stack.append((0, inside, reach, np.ones(len(reach), np.int8), np.full(len(reach), less, np.int8)))
     while stack:
         level, inside, reach, more, less = stack.pop()
-        if level == groups or len(inside) * len(reach) <= leaf:
-            yield from leaf_pairs(words, home, table, level, inside, reach, more, less, leaf)
-            continue
-        counts = table[inside, level]
-        mine = table[reach, level]
-        for c in np.unique(counts).tolist():
-            step = c - mine
-            # spending a deficit needs the surplus spent before: the greater vector is the home word's
-            ok = (step == 0) | ((step == 1) & (more == 1)) | ((step == -1) & (more == 0) & (less == 1))
-            if ok.any():
-                s = step[ok]
-                stack.append((level + 1, inside[counts == c], reach[ok], more[ok] - (s == 1), less[ok] - (s == -1)))
-
-
-def leaf_pairs(words, home, table, level, inside, reach, more, less, leaf) -> Iterator[tuple[int, int]]:
-    """Verified pairs of the words below a node and those that reached it."""
-    groups = table.shape[1]
-    if level == groups and len(inside) * len(reach) > leaf:
-        yield from ((q, h) for q, h in near_by_parts(words, inside, reach) if once(home, table, q, h))
-        return
-    rows = max(1, leaf // len(inside))
-    for at in range(0, len(reach), rows):
-        part = reach[at:at + rows]
-        step = table[inside][None, :, level:] - table[part][:, None, level:]
-        up, down = np.maximum(step, 0).sum(axis=2), np.maximum(-step, 0).sum(axis=2)
-        hit = (up <= more[at:at + rows, None]) & (down <= less[at:at + rows, None])
-        for q, h in zip(*(x.tolist() for x in np.nonzero(hit))):
-            q, h = int(part[q]), int(inside[h])
-            a, b = words[q], words[h]
-            if q != h and one_edit(a, b) and once(home, table, q, h):
-                yield q, h
-
-
-def once(home: np.ndarray, table: np.ndarray, q: int, h: int) -> bool:
-    """Of two home words, each found at the other's node, one order only: by length, then vector, then place."""
-    if not home[q]:
-        return True
-    a, b = (table[q].sum(), *table[q].tolist(), q), (table[h].sum(), *table[h].tolist(), h)
-    return a < b
+        if level == groups and len(inside) * len(reach) > leaf:
+            if cell.size[inside[0]] <= WIDE:
+                yield from near_by_parts(cell, inside, reach)
+                continue
+            rows = max(1, leaf // len(inside))
+            for at in range(0, len(reach), rows):
+                part = slice(at, at + rows)
+                yield from pairs_of(cell, [alike(cell, level, inside, reach[part], more[part], less[part])])
+        elif level == groups or len(inside) * len(reach) <= leaf:
+            held.append(alike(cell, level, inside, reach, more, less))
+            pending += len(held[-1][0])
+            if pending > leaf:
+                yield from pairs_of(cell, held)
+                held, pending = [], 0
+        else:
+            counts, mine = cell.table[inside, level], cell.table[reach, level]
+            for c in np.unique(counts).tolist():
+                step = c - mine
+                # spending a deficit needs the surplus spent before: the greater vector is the home word's
+                ok = (step == 0) | ((step == 1) & (more == 1)) | ((step == -1) & (more == 0) & (less == 1))
+                if ok.any():
+                    s = step[ok]
+                    stack.append((level + 1, inside[counts == c], reach[ok], more[ok] - (s == 1), less[ok] - (s == -1)))
+    yield from pairs_of(cell, held)
+
+
+def alike(cell: Cell, level: int, inside: np.ndarray, reach: np.ndarray, more: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (of ``reach``, of ``inside``) whose vectors below ``level`` are within what is left of the budget."""
+    own, theirs = cell.table[inside, level:], cell.table[reach, level:]
+    apart = np.zeros((len(reach), len(inside)), own.dtype)
+    for g in range(own.shape[1]):
+        apart += np.abs(own[None, :, g] - theirs[:, None, g])
+    over = own.sum(axis=1)[None, :] - theirs.sum(axis=1)[:, None]  # surplus less deficit, where apart is their sum
+    q, h = np.nonzero((apart + over <= 2 * more[:, None]) & (apart - over <= 2 * less[:, None]))
+    return reach[q], inside[h]
+
+
+def pairs_of(cell: Cell, held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    if held:
+        q, h = (np.concatenate(x) for x in zip(*held))
+        near = cell.verified(q, h)
+        yield from zip(q[near].tolist(), h[near].tolist())
 
 
 def near_counts(found: DataFrame, groups: list[str], leaf: int = LEAF) -> DataFrame:
