@@ -14,7 +14,7 @@ def _result(spark):
     preds = FL.naive_predictions(spark, SF_SMALL)
     metrics = M.metrics_table(M.forecast_metrics(preds))
     return RN.RunResult(preds, metrics, M.rank_models(metrics, "mae"), M.combined_scores(preds),
-                        M.best_model_per_entity(metrics), preds.limit(0), None, {})
+                        M.best_model_per_entity(metrics), preds.limit(0), None)
 
 
 def test_run_summary_one_row(spark):

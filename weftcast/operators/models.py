@@ -1,4 +1,4 @@
-"""Estimators (#68-#76): the reference's eight regressors, per entity.
+"""Linear estimators (#68-#71), per entity, and the names of all eight.
 
 Linear family (OLS, ridge, lasso, elastic net)
     Fitted from sufficient statistics.  One ``groupBy(entity).agg`` computes
@@ -9,25 +9,15 @@ Linear family (OLS, ridge, lasso, elastic net)
     (one row per entity): closed form for OLS / ridge, covariance-update
     coordinate descent for lasso / elastic net (scikit-learn objectives).
 
-Tree family (decision tree, random forest, two gradient-boosting flavours)
-    ``pyspark.ml`` estimators: distributed, histogram (binned) split finding.
-    One model per entity, fitted on that entity's rows; the driver only loops
-    over (entity, candidate) specs, never over data.
+The tree family is in ``forest``.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    DecisionTreeRegressor,
-    GBTRegressor,
-    RandomForestRegressor,
-)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
@@ -177,163 +167,3 @@ def predict_linear(df: DataFrame, coefs: DataFrame, entity: str, cols: list[str]
                                                           for x in cols]),
                                  lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     return j.select(*[c for c in df.columns], "model_key", (F.col("intercept") + dot).alias(out))
-
-
-# --------------------------------------------------------------------------- #
-# tree family via pyspark.ml
-# --------------------------------------------------------------------------- #
-@dataclass
-class TreeSpec:
-    key: str
-    params: dict = field(default_factory=dict)
-
-
-def _subset_strategy(v) -> str:
-    if v in (None, "auto"):
-        return "auto"
-    if v in ("sqrt", "log2"):
-        return v
-    v = float(v)
-    return "all" if v >= 1.0 else repr(v)
-
-
-def make_tree_estimator(key: str, params: dict, seed: int = 42, features: str = "features",
-                        label: str = "label", max_bins: int = 128):
-    """Map the reference's hyper-parameter names onto pyspark.ml estimators.
-
-    max_depth None -> 30 (Spark's limit); min_samples_leaf -> minInstancesPerNode;
-    max_features / colsample_bytree -> featureSubsetStrategy; n_estimators ->
-    numTrees / maxIter; learning_rate -> stepSize; subsample -> subsamplingRate.
-    Without an equivalent (inert here): min_samples_split, reg_alpha, reg_lambda,
-    leaf-wise growth (num_leaves only bounds the depth).
-    """
-    def depth(v, default=5):
-        if v is None:
-            return 30
-        v = int(v)
-        return 30 if v < 0 else min(v, 30)
-
-    common = dict(featuresCol=features, labelCol=label, maxBins=max_bins, seed=seed)
-    if key == "decision_tree":
-        return DecisionTreeRegressor(maxDepth=depth(params.get("max_depth", None)),
-                                     minInstancesPerNode=int(params.get("min_samples_leaf", 1)), **common)
-    if key == "random_forest":
-        return RandomForestRegressor(numTrees=int(params.get("n_estimators", 100)),
-                                     maxDepth=depth(params.get("max_depth", None)),
-                                     minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
-                                     featureSubsetStrategy=_subset_strategy(params.get("max_features", 1.0)),
-                                     **common)
-    if key == "xgboost":
-        return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), maxDepth=depth(params.get("max_depth", 6)),
-                            stepSize=float(params.get("learning_rate", 0.3)),
-                            subsamplingRate=float(params.get("subsample", 1.0)),
-                            featureSubsetStrategy=_subset_strategy(params.get("colsample_bytree", 1.0)),
-                            lossType="squared", **common)
-    if key == "lightgbm":
-        leaves = int(params.get("num_leaves", 31))
-        md = int(params.get("max_depth", -1))
-        leaf_depth = max(1, math.ceil(math.log2(max(leaves, 2))))
-        d = leaf_depth if md < 0 else min(md, leaf_depth)
-        return GBTRegressor(maxIter=int(params.get("n_estimators", 100)), maxDepth=min(d, 30),
-                            stepSize=float(params.get("learning_rate", 0.1)),
-                            minInstancesPerNode=int(params.get("min_child_samples", 20)),
-                            featureSubsetStrategy=_subset_strategy(params.get("colsample_bytree", 1.0)),
-                            lossType="squared", **common)
-    raise KeyError(key)
-
-
-def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
-
-
-ROWS_PER_FIT_PARTITION = 250_000
-
-
-def fit_partitions(n_rows: int) -> int:
-    """Input partitions for one entity's fit: ~250k rows each, at least one."""
-    return max(1, -(-int(n_rows) // ROWS_PER_FIT_PARTITION))
-
-
-def fit_tree(df: DataFrame, cols: list[str], y: str, key: str, params: dict, seed: int = 42,
-             partitions: int | None = None):
-    """Fit one tree model on ``df`` (already restricted to one entity / fold).
-
-    ``partitions`` sizes the input to the entity's rows: tiny entities train in
-    one task per job instead of many near-empty ones; large entities stay spread.
-    """
-    data = assemble(df, cols).select("features", F.col(y).cast("double").alias("label"))
-    if partitions:
-        data = data.coalesce(partitions)   # never increases the partition count
-    return make_tree_estimator(key, params, seed).fit(data)
-
-
-def predict_tree(model, df: DataFrame, cols: list[str], out: str = "predicted_t") -> DataFrame:
-    return model.transform(assemble(df, cols)).withColumnRenamed("prediction", out).drop("features")
-
-
-def feature_importance(model, feature_names: list[str]) -> list[tuple[str, int, float]]:
-    """#76: (feature, index, importance) of a fitted tree model; linear models have none."""
-    imp = model.featureImportances.toArray()
-    return [(f, i, float(imp[i]) if i < len(imp) else 0.0) for i, f in enumerate(feature_names)]
-
-
-# --------------------------------------------------------------------------- #
-# compact tree ensembles (for sequential use inside one task)
-# --------------------------------------------------------------------------- #
-def _parse_tree(lines: list[str], i: int, nodes: list) -> tuple[int, int]:
-    """Parse one node of a ``toDebugString`` tree starting at line ``i``; returns (node id, next line)."""
-    s = lines[i].strip()
-    idx = len(nodes)
-    if s.startswith("Predict:"):
-        nodes.append([-1, 0.0, -1, -1, float(s.split(":", 1)[1])])
-        return idx, i + 1
-    # "If (feature 3 <= 0.52)"
-    body = s[s.index("(") + 1: s.rindex(")")]
-    _, f, op, thr = body.split()
-    if op != "<=":
-        raise ValueError(f"unsupported split: {s}")
-    nodes.append([int(f), float(thr), -1, -1, 0.0])
-    left, i = _parse_tree(lines, i + 1, nodes)
-    if not lines[i].strip().startswith("Else"):
-        raise ValueError(f"malformed tree text at line {i}")
-    right, i = _parse_tree(lines, i + 1, nodes)
-    nodes[idx][2], nodes[idx][3] = left, right
-    return idx, i
-
-
-def ensemble_arrays(model) -> dict:
-    """A fitted pyspark.ml tree / forest / boosted model as plain arrays.
-
-    Read from the model's text form (one call); prediction = sum of weight x
-    leaf value over trees (boosting: the model's tree weights; forest: 1/T).
-    """
-    text = model.toDebugString.splitlines()
-    trees, weights = [], []
-    kind = type(model).__name__
-    if kind == "DecisionTreeRegressionModel":
-        nodes: list = []
-        _parse_tree(text, 1, nodes)
-        trees.append(nodes)
-        weights = [1.0]
-    else:
-        starts = [i for i, ln in enumerate(text) if ln.strip().startswith("Tree ")]
-        for st in starts:
-            nodes = []
-            _parse_tree(text, st + 1, nodes)
-            trees.append(nodes)
-        if kind == "GBTRegressionModel":
-            weights = [float(w) for w in model.treeWeights]
-        else:
-            weights = [1.0 / len(trees)] * len(trees)
-    return {"trees": [np.array(t, dtype=float) for t in trees], "weights": weights}
-
-
-def predict_arrays(ens: dict, x: np.ndarray) -> float:
-    """Predict one feature vector with ``ensemble_arrays`` output (left branch when x[f] <= threshold)."""
-    total = 0.0
-    for t, w in zip(ens["trees"], ens["weights"]):
-        node = 0
-        while t[node, 0] >= 0:
-            node = int(t[node, 2]) if x[int(t[node, 0])] <= t[node, 1] else int(t[node, 3])
-        total += w * t[node, 4]
-    return total

@@ -9,7 +9,6 @@ hash is engine-independent.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -911,9 +910,8 @@ def _model_query(key: str, doc: str):
         st = RN.stack_for(spark, sf)
         if key in MD.LINEAR_MODELS:
             return ML.to_predictions(ML.linear_predictions(st, [key]))
-        ents = ML._entities(st.frame)
-        pe = {e: dict(RN.DEFAULT_TREE_PARAMS[key]) for e in ents}
-        return ML.to_predictions(ML.tree_predictions(st, key, pe, RN.QUERY_CFG))
+        models = ML.tree_models(st, ML.given_params(st, {key: {}}), RN.QUERY_CFG)
+        return ML.to_predictions(ML.tree_predictions(st, models))
     fn.__doc__ = doc
     return fn
 
@@ -922,10 +920,10 @@ for _k, _num, _what in [("linear_regression", 68, "OLS with intercept (Gram stat
                         ("ridge", 69, "ridge alpha=1 (closed form on the Gram matrix)"),
                         ("lasso", 70, "lasso alpha=0.01 (coordinate descent on the Gram matrix)"),
                         ("elastic_net", 71, "elastic net alpha=0.01, l1_ratio=0.5"),
-                        ("decision_tree", 72, "CART (pyspark.ml DecisionTreeRegressor)"),
-                        ("random_forest", 73, "bagged trees (RandomForestRegressor)"),
-                        ("xgboost", 74, "depth-wise boosting (GBTRegressor)"),
-                        ("lightgbm", 75, "boosting with a leaf-count depth bound (GBTRegressor)")]:
+                        ("decision_tree", 72, "CART"),
+                        ("random_forest", 73, "bagged trees"),
+                        ("xgboost", 74, "level-wise boosting with l1 and l2 shrinkage"),
+                        ("lightgbm", 75, "leaf-wise boosting")]:
     _name = {"linear_regression": "fit_linear_regression", "ridge": "fit_ridge", "lasso": "fit_lasso",
              "elastic_net": "fit_elastic_net", "decision_tree": "fit_decision_tree",
              "random_forest": "fit_random_forest", "xgboost": "fit_gbt_depthwise",
@@ -947,9 +945,7 @@ def q_top_importances(spark, sf):
 
 def _tuned_table(spark, sf, key):
     st = RN.stack_for(spark, sf)
-    best = ML.tune_tree(st, key, RN.QUERY_CFG)
-    rows = [(e, key, json.dumps(p, default=str), float(s)) for e, (p, s) in sorted(best.items())]
-    return spark.createDataFrame(rows, "entity string, model_key string, best_params string, best_cv_score double")
+    return ML.tune_tree(st, key, RN.QUERY_CFG).select("entity", "model_key", F.col("params").alias("best_params"), F.col("cv_score").alias("best_cv_score"))
 
 
 @query("tune_grid")
@@ -1040,20 +1036,16 @@ def q_comparison_report(spark, sf):
 
 @query("save_models")
 def q_save_models(spark, sf):
-    """#7: persist the fitted tree model of each entity (pyspark.ml writer) and list what was saved."""
+    """#7: all eight models of each entity, trees untuned, written to one table and read back; what was stored, and how well it scores."""
     st = RN.stack_for(spark, sf)
-    ents = ML._entities(st.frame)
-    _, models = ML.tree_predictions(st, "decision_tree", {e: RN.DEFAULT_TREE_PARAMS["decision_tree"] for e in ents},
-                                    RN.QUERY_CFG, return_models=True)
-    root = RN.output_root(spark)
-    rows = []
-    from pyspark.ml.regression import DecisionTreeRegressionModel
-    for e, m in sorted(models.items()):
-        path = f"{root}/models/{e}/decision_tree"
-        m.write().overwrite().save(path)
-        back = DecisionTreeRegressionModel.load(path)
-        rows.append((e, "decision_tree", path, int(back.numNodes)))
-    return spark.createDataFrame(rows, "entity string, model_key string, path string, num_nodes int")
+    trees = ML.tree_models(st, ML.given_params(st, {k: {} for k in MD.TREE_MODELS}), RN.QUERY_CFG)
+    coefs = MD.fit_linear_family(st.frame.filter(F.col("role") == "fit"), "entity", st.slots, "y_t")
+    coefs, trees = RN.read_models(spark, RN.write_models(RN.stored_models(coefs, trees), f"{RN.output_root(spark)}/models"))
+    sizes = coefs.select("entity", "model_key", F.lit(0).alias("n_nodes"), F.size("coef").alias("n_coef")).unionByName(
+        trees.select("entity", "model_key", F.size("feature").alias("n_nodes"), F.lit(0).alias("n_coef")))
+    stored = sizes.groupBy("entity", "model_key").agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_coef").alias("n_coef"))
+    scored = M.forecast_metrics(ML.to_predictions(RN.score_models(st.frame.filter(F.col("role") == "holdout"), coefs, trees, st.slots)))
+    return stored.join(scored.select("entity", "model_key", "mae"), ["entity", "model_key"])
 
 
 @query("model_dashboard")

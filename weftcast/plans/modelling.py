@@ -9,28 +9,31 @@ The reference's per-city loop becomes one entity-partitioned DataFrame:
     rows -> direct or recursive forecast of the test rows.
 
 Linear models for every entity come from one aggregation (``models.fit_linear_family``).
-Tree models are ``pyspark.ml`` fits, one per (entity, candidate, fold); the
-driver schedules those fits from a thread pool (the reference's n_jobs=-1)
-and only ever pulls back one score per fit.
+Trees, forests and boosted trees are grown by ``forest``: a search is one job over
+units of an entity with a block of candidates, a fit one job over all entities.
+Parameters, models and the choice of the best stay DataFrames.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import random
 import re
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expm1_clip, log1p_target, rint_long
+from ..operators import forest
 from ..operators import models as MD
 from ..operators import scale as SC
 from ..operators import select as SEL
-from ..operators.split import temporal_split, timeseries_cv_folds
+from ..operators.split import temporal_split
 from ..session import broadcast_if_small, cut_lineage
 from ..sources.panels import PANEL_SPEC
 
@@ -80,7 +83,7 @@ class RunConfig:
     objective: str = "mae"
     seed: int = SEED
     search_spaces: dict = field(default_factory=lambda: dict(SEARCH_SPACES))
-    parallelism: int = 8
+    block: int = 10  # candidates that one unit of work fits
 
 
 # --------------------------------------------------------------------------- #
@@ -161,16 +164,6 @@ def build_stack(eng: DataFrame, names: list[str], case_names: list[str], cfg: Ru
 # --------------------------------------------------------------------------- #
 # fitting and prediction
 # --------------------------------------------------------------------------- #
-def _entities(df: DataFrame) -> list[str]:
-    """Entity keys (a tiny distinct aggregate) for per-entity tree fits."""
-    return sorted(r[0] for r in df.select("entity").distinct().collect())
-
-
-def _fit_parts(df: DataFrame) -> dict:
-    """Input partitions per entity for tree fits (from a tiny per-entity count)."""
-    return {r["entity"]: MD.fit_partitions(r["count"]) for r in df.groupBy("entity").count().collect()}
-
-
 def linear_predictions(stack: Stack, keys=tuple(MD.LINEAR_MODELS), fit_role: str = "fit",
                        pred_role: str = "holdout") -> DataFrame:
     """All linear models, all entities: one aggregation, one solve per entity, one scoring pass."""
@@ -180,73 +173,52 @@ def linear_predictions(stack: Stack, keys=tuple(MD.LINEAR_MODELS), fit_role: str
     return pred
 
 
-def _fit_score(df_fit, df_valid, slots, key, params, objective, seed, partitions=None):
-    m = MD.fit_tree(df_fit, slots, "y_t", key, params, seed, partitions)
-    p = MD.predict_tree(m, df_valid, slots)
-    if objective == "rmse":
-        e = expm1_clip("y_t") - expm1_clip("predicted_t")
-        s = p.agg(F.sqrt(F.avg(e * e))).first()[0]
-    else:
-        s = p.agg(F.avg(F.abs(F.col("y_t") - F.col("predicted_t")))).first()[0]
-    return float(s) if s is not None else float("inf")
+def fit_matrices(stack: Stack, fit_role: str = "fit", entities: DataFrame | None = None) -> DataFrame:
+    """``forest.packed_rows`` of the stack's rows of a role, of all entities or of those of ``entities`` (entity)."""
+    rows = stack.frame.filter(F.col("role") == fit_role)
+    if entities is not None:
+        rows = rows.join(broadcast_if_small(entities.select("entity")), "entity", "left_semi")
+    return cut_lineage(forest.packed_rows(rows, stack.slots, "y_t"))
+
+
+PARAMS = "entity string, model_key string, params string, cv_score double"
 
 
 def tune_tree(stack: Stack, key: str, cfg: RunConfig, candidates: list[dict] | None = None,
-              fit_role: str = "fit", entities: list[str] | None = None) -> dict:
-    """#77/#78/#79: time-series CV per entity; returns {entity: (best_params, best_cv_score)}.
+              fit_role: str = "fit", entities: DataFrame | None = None) -> DataFrame:
+    """#77/#78/#79: time-series CV of every candidate, per entity; (entity, model_key, params, cv_score) of the best.
 
-    Folds (#48) are materialised once; each (entity, candidate, fold) fit runs
-    as its own Spark job from a thread pool.
+    params is JSON. The candidate of the smallest mean fold score is the best,
+    the first of ties. An entity of too few rows for the folds is an error.
     """
-    kind, cands = candidates_for(key, cfg) if candidates is None else ("given", candidates)
-    fr = stack.frame.filter(F.col("role") == fit_role)
-    ents = sorted(entities) if entities else _entities(fr)
-    if entities:
-        fr = fr.filter(F.col("entity").isin(ents))
-    folds = cut_lineage(timeseries_cv_folds(fr, SPEC, cfg.n_splits))
-    jobs = [(e, ci, f) for e in ents for ci in range(len(cands)) for f in range(cfg.n_splits)]
-
-    parts = _fit_parts(fr)
-
-    def run(job):
-        e, ci, f = job
-        part = folds.filter((F.col("entity") == e) & (F.col("fold") == f))
-        return job, _fit_score(part.filter(F.col("cv_role") == "train"), part.filter(F.col("cv_role") == "valid"),
-                               stack.slots, key, cands[ci], cfg.objective, cfg.seed, parts.get(e))
-
-    with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
-        scores = dict(pool.map(run, jobs))
-    best = {}
-    for e in ents:
-        per = [(sum(scores[(e, ci, f)] for f in range(cfg.n_splits)) / cfg.n_splits, ci) for ci in range(len(cands))]
-        s, ci = min(per)
-        if s == float("inf"):
-            raise ValueError(f"entity {e!r}: no cross-validation score, too few rows for {cfg.n_splits} folds")
-        best[e] = (cands[ci], s)
-    folds.unpersist()
-    return best
-
-
-def tree_predictions(stack: Stack, key: str, params_by_entity: dict, cfg: RunConfig,
-                     fit_role: str = "fit", pred_role: str = "holdout", return_models: bool = False):
-    """Per-entity tree fits on ``fit_role`` rows, predictions for ``pred_role`` rows (one union)."""
-    fr = stack.frame
-    ents = sorted(params_by_entity)
-    parts = _fit_parts(fr.filter(F.col("role") == fit_role))
+    cands = candidates_for(key, cfg)[1] if candidates is None else candidates
+    scores = forest.cv_scores(fit_matrices(stack, fit_role, entities), key, cands, cfg.n_splits, cfg.objective, cfg.seed, cfg.block)
+    mean = scores.groupBy("entity", "candidate").agg(F.avg("score").alias("cv_score"))
+    best = mean.groupBy("entity").agg(F.min(F.struct("cv_score", "candidate")).alias("b"))
+    listed = stack.frame.sparkSession.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cands)], "candidate int, params string")
+    too_few = F.raise_error(F.concat(F.lit("no cross-validation score, too few rows: entity "), F.col("entity")))
+    score = F.when(F.isnan("b.cv_score"), too_few.cast("double")).otherwise(F.col("b.cv_score"))
+    best = best.select("entity", F.lit(key).alias("model_key"), F.col("b.candidate").alias("candidate"), score.alias("cv_score"))
+    return cut_lineage(best.join(F.broadcast(listed), "candidate").select("entity", "model_key", "params", "cv_score"))  # one row for each candidate
+
+
+def given_params(stack: Stack, params: dict[str, dict], entities: DataFrame | None = None) -> DataFrame:
+    """(entity, model_key, params, cv_score) with the same parameters for all entities, untuned."""
+    spark = stack.frame.sparkSession
+    listed = spark.createDataFrame([(k, json.dumps(p)) for k, p in params.items()], "model_key string, params string")
+    ents = (stack.frame if entities is None else entities).select("entity").distinct()
+    each = F.array(*[F.struct(F.lit(k).alias("model_key")) for k in params])
+    return ents.select("entity", F.explode(each).alias("m")).select("entity", "m.model_key").join(F.broadcast(listed), "model_key").select("entity", "model_key", "params", F.lit(None).cast("double").alias("cv_score"))
 
-    def run(e):
-        rows = fr.filter(F.col("entity") == e)
-        return e, MD.fit_tree(rows.filter(F.col("role") == fit_role), stack.slots, "y_t", key,
-                              params_by_entity[e], cfg.seed, parts.get(e))
 
-    with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
-        models = dict(pool.map(run, ents))
-    parts = [MD.predict_tree(models[e], fr.filter((F.col("entity") == e) & (F.col("role") == pred_role)),
-                             stack.slots).withColumn("model_key", F.lit(key)) for e in ents]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out, models) if return_models else out
+def tree_models(stack: Stack, params: DataFrame, cfg: RunConfig, fit_role: str = "fit") -> DataFrame:
+    """The trees (``forest.MODEL``) of every (entity, model_key) of ``params``, fitted on the rows of a role in one job."""
+    return cut_lineage(forest.fit_models(fit_matrices(stack, fit_role, params.select("entity").distinct()), params.select("entity", "model_key", "params"), cfg.seed))
+
+
+def tree_predictions(stack: Stack, models: DataFrame, pred_role: str = "holdout") -> DataFrame:
+    """Predictions of all tree models for the rows of a role."""
+    return forest.predict_models(stack.frame.filter(F.col("role") == pred_role), models, stack.slots)
 
 
 def to_predictions(pred: DataFrame) -> DataFrame:
@@ -255,58 +227,55 @@ def to_predictions(pred: DataFrame) -> DataFrame:
                        expm1_clip("predicted_t").alias("predicted"))
 
 
-def train_evaluate(stack: Stack, keys: list[str], cfg: RunConfig, tune: bool = True,
-                   fixed_params: dict | None = None) -> tuple[DataFrame, dict]:
-    """#80: hold-out predictions for ``keys``; returns (predictions, {(entity, key): params})."""
-    preds, best_params = [], {}
+def tuned_or_default(stack: Stack, keys: list[str], cfg: RunConfig, tune: bool, entities: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Parameters of tree models: searched, or the defaults; ``entities`` limits a model to some entities."""
+    parts = [tune_tree(stack, k, cfg, entities=(entities or {}).get(k)) if tune else given_params(stack, {k: {}}, (entities or {}).get(k)) for k in keys]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def train_evaluate(stack: Stack, keys: list[str], cfg: RunConfig, tune: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """#80: hold-out predictions for ``keys``, and the tree models' parameters and trees (None without tree models)."""
+    preds, params, models = [], None, None
     lin = [k for k in keys if k in MD.LINEAR_MODELS]
     if lin:
-        preds.append(to_predictions(linear_predictions(stack, lin)))
-    for key in [k for k in keys if k in MD.TREE_MODELS]:
-        if tune:
-            tuned = tune_tree(stack, key, cfg)
-            params = {e: p for e, (p, _) in tuned.items()}
-        else:
-            ents = _entities(stack.frame)
-            params = {e: dict((fixed_params or {}).get(key, {})) for e in ents}
-        for e, p in params.items():
-            best_params[(e, key)] = p
-        preds.append(to_predictions(tree_predictions(stack, key, params, cfg)))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    return out, best_params
+        preds.append(linear_predictions(stack, lin))
+    if trees := [k for k in keys if k in MD.TREE_MODELS]:
+        params = cut_lineage(tuned_or_default(stack, trees, cfg, tune))
+        models = tree_models(stack, params, cfg)
+        preds.append(tree_predictions(stack, models))
+    cols = ["entity", "model_key", "period", "target", "predicted_t"]
+    return reduce(DataFrame.unionByName, [to_predictions(p.select(*cols)) for p in preds]), params, models
 
 
 # --------------------------------------------------------------------------- #
 # forecasting
 # --------------------------------------------------------------------------- #
-def forecast_direct(stack_full: Stack, best: dict, cfg: RunConfig, params: dict | None = None) -> DataFrame:
-    """#81: best model per entity refit on all train rows; predict test; clip; round (half-even).
+def best_coefficients(stack_full: Stack, best: DataFrame) -> DataFrame:
+    """Coefficients, on all train rows, of the entities whose best model is linear: (entity, model_key, intercept, coef)."""
+    coefs = MD.fit_linear_family(stack_full.frame.filter(F.col("role") == "fit"), "entity", stack_full.slots, "y_t")
+    return coefs.join(broadcast_if_small(best.select("entity", "model_key")), ["entity", "model_key"], "left_semi")
+
+
+def best_trees(stack_full: Stack, best: DataFrame, cfg: RunConfig, tune: bool) -> DataFrame | None:
+    """Trees, on all train rows and searched anew there, of the entities whose best model is one; None if no entity's is."""
+    keys = [r.model_key for r in best.select("model_key").distinct().collect() if r.model_key in MD.TREE_MODELS]  # at most eight
+    if not keys:
+        return None
+    params = tuned_or_default(stack_full, sorted(keys), cfg, tune, {k: best.where(F.col("model_key") == k) for k in keys})
+    return tree_models(stack_full, params, cfg)
+
+
+def forecast_direct(stack_full: Stack, best: DataFrame, cfg: RunConfig, tune: bool = True) -> DataFrame:
+    """#81: the best model of each entity (entity, model_key) refit on all train rows; predict test; clip; round (half-even).
 
-    ``best`` maps entity -> model_key; trees are re-tuned unless ``params``
-    gives {(entity, key): params}.
+    Trees are tuned anew on all train rows; with ``tune`` false they have the defaults.
     """
-    fr = stack_full.frame
-    out = []
-    lin_ents = {e: k for e, k in best.items() if k in MD.LINEAR_MODELS}
-    if lin_ents:
-        coefs = MD.fit_linear_family(fr.filter(F.col("role") == "fit"), "entity", stack_full.slots, "y_t",
-                                     sorted(set(lin_ents.values())))
-        pick = F.create_map(*[x for e, k in lin_ents.items() for x in (F.lit(e), F.lit(k))])
-        coefs = coefs.filter(F.col("model_key") == pick[F.col("entity")])
-        out.append(MD.predict_linear(fr.filter(F.col("role") == "test"), coefs, "entity", stack_full.slots))
-    for key in sorted({k for k in best.values() if k in MD.TREE_MODELS}):
-        ents = [e for e, k in best.items() if k == key]
-        if params is None:
-            tuned = tune_tree(stack_full, key, cfg, entities=ents)
-            pe = {e: tuned[e][0] for e in ents}
-        else:
-            pe = {e: params.get((e, key), {}) for e in ents}
-        out.append(tree_predictions(stack_full, key, pe, cfg, pred_role="test"))
-    res = out[0].select("entity", "year", "weekofyear", "period", "model_key", "predicted_t")
-    for p in out[1:]:
-        res = res.unionByName(p.select("entity", "year", "weekofyear", "period", "model_key", "predicted_t"))
+    test = stack_full.frame.filter(F.col("role") == "test")
+    cols = ["entity", "year", "weekofyear", "period", "model_key", "predicted_t"]
+    res = MD.predict_linear(test, best_coefficients(stack_full, best), "entity", stack_full.slots).select(*cols)
+    models = best_trees(stack_full, best, cfg, tune)
+    if models is not None:
+        res = res.unionByName(tree_predictions(stack_full, models, "test").select(*cols))
     return res.select("entity", "year", "weekofyear", "period", "model_key",
                       rint_long(expm1_clip("predicted_t")).alias("total_cases"))
 
@@ -387,23 +356,6 @@ def forecast_recursive_linear(stack_full: Stack, coefs: DataFrame) -> DataFrame:
                      F.col("x.weekofyear").alias("weekofyear"), F.col("preds")[F.col("i")].alias("predicted"))
 
 
-def fit_tree_models(stack: Stack, key_by_entity: dict, params: dict, cfg: RunConfig, fit_role: str = "fit") -> dict:
-    """Fit each entity's own tree model (thread pool of Spark ML fits): {entity: model}."""
-    fr = stack.frame
-    parts = _fit_parts(fr.filter(F.col("role") == fit_role))
-
-    def run(e):
-        k = key_by_entity[e]
-        rows = fr.filter((F.col("entity") == e) & (F.col("role") == fit_role))
-        return e, MD.fit_tree(rows, stack.slots, "y_t", k, params.get((e, k), {}), cfg.seed, parts.get(e))
-
-    with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
-        return dict(pool.map(run, sorted(key_by_entity)))
-
-
-REC_SCHEMA = "entity string, period date, year int, weekofyear int, predicted double"
-
-
 def case_parts(names: list[str]) -> dict[str, tuple[str, int]]:
     """What each configured case feature reads from the past counts: ("lag", k) or ("rollmean", window)."""
     found = {n: re.fullmatch(r"cases_(lag|rollmean)_(\d+)", n) for n in names}
@@ -419,21 +371,22 @@ def case_value(past: np.ndarray, kind: str, size: int) -> float:
     return past[-size:].mean() if min(size, len(past)) >= 2 else np.nan
 
 
-def forecast_recursive_tree(stack_full: Stack, models: dict, key_by_entity: dict) -> DataFrame:
+REC_SCHEMA = "entity string, model_key string, period date, year int, weekofyear int, predicted double"
+
+
+def forecast_recursive_tree(stack_full: Stack, models: DataFrame) -> DataFrame:
     """#82 for tree models: each entity's recursion runs inside one task.
 
-    The test block of an entity (its forecast horizon) is grouped with
-    ``applyInPandas``; the entity's fitted model travels as compact arrays
-    (``models.ensemble_arrays``) and its last known counts - as many as the
-    configured case features look back - and case-slot scaling ride along as
-    group columns.  The horizon is one fold whose state is those counts: each
-    period's unrounded forecast joins the state of the next.
+    The test block of an entity (its forecast horizon) meets the trees of its
+    models by entity; the last known counts - as many as the configured case
+    features look back - and the case slots' scaling ride along. The horizon is
+    one fold whose state is those counts: each period's unrounded forecast
+    joins the state of the next.
     """
-    ens = {e: MD.ensemble_arrays(m) for e, m in models.items()}
     case = list(stack_full.case_names)
     depth = max([2, *(size for _, size in case_parts(case).values())])
     slots = stack_full.slots
-    fr = stack_full.frame.filter(F.col("entity").isin(sorted(models)))
+    fr = stack_full.frame
     hist_w = Window.partitionBy("entity").orderBy(F.col("period").desc())
     known = (fr.filter(F.col("split") == "train")
                .select("entity", "period", F.col("target").cast("double").alias("v"),
@@ -444,31 +397,33 @@ def forecast_recursive_tree(stack_full: Stack, models: dict, key_by_entity: dict
     st = stack_full.scaler.select("entity", F.array(*[F.col(f"{s}__mean") for s in slots]).alias("mu"),
                                   F.array(*[F.col(f"{s}__scale") for s in slots]).alias("sd"))
     test = (fr.filter(F.col("role") == "test")
-              .select("entity", "period", "year", "weekofyear", "sel_names", F.array(*slots).alias("x"))
+              .select("entity", F.col("period").cast("date").alias("period"), F.col("year").cast("int").alias("year"), F.col("weekofyear").cast("int").alias("weekofyear"), "sel_names",
+                      F.array(*[F.coalesce(F.col(s), F.lit(0.0)) for s in slots]).alias("x"))
               .join(known, "entity").join(broadcast_if_small(st), "entity"))
-
-    predict, parts = MD.predict_arrays, case_parts(case)
-
-    def run(pdf):
-        rows = pdf.sort_values("period")
-        entity, chosen = rows["entity"].iloc[0], list(rows["sel_names"].iloc[0])
-        inputs = np.nan_to_num(np.stack([np.asarray(v, float) for v in rows["x"]]))
-        at = [j for j, name in enumerate(chosen) if name in parts]
-        centre, width = (np.asarray(rows[c].iloc[0], float)[at] for c in ("mu", "sd"))
-
-        def step(state, x):
-            past = state[0]
-            x = x.copy()
-            x[at] = (np.array([case_value(past, *parts[chosen[j]]) for j in at]) - centre) / width
-            count = float(np.maximum(np.expm1(predict(ens[entity], x)), 0.0))
-            return np.append(past, count)[-depth:], count
-
-        states = itertools.accumulate(inputs, step, initial=(np.asarray(rows["hist"].iloc[0], float), None))
-        forecast = [count for _, count in states][1:]
-        return rows[["entity", "period", "year", "weekofyear"]].assign(predicted=forecast)
-
-    res = test.groupBy("entity").applyInPandas(run, REC_SCHEMA)
-    keys = F.create_map(*[x for e, k in key_by_entity.items() for x in (F.lit(e), F.lit(k))])
-    return res.select("entity", keys[F.col("entity")].alias("model_key"), "period", "year", "weekofyear",
-                      "predicted")
-
+    parts, Ensemble, value_of = case_parts(case), forest.Ensemble, case_value
+
+    def run(rows: pa.Table, trees: pa.Table) -> pa.Table:
+        out = []
+        if rows.num_rows and trees.num_rows:
+            rows = rows.sort_by("period")
+            chosen = rows.column("sel_names")[0].as_py()
+            at = [j for j, name in enumerate(chosen) if name in parts]
+            centre, width = (np.asarray(rows.column(c)[0].as_py(), float)[at] for c in ("mu", "sd"))
+            inputs = np.array(rows.column("x").to_pylist(), float)
+            for key in sorted(trees.column("model_key").unique().to_pylist()):
+                model = Ensemble(trees.filter(pa.compute.equal(trees.column("model_key"), key)).sort_by("tree"))
+
+                def step(state, x):
+                    past = state[0]
+                    x = x.copy()
+                    x[at] = (np.array([value_of(past, *parts[chosen[j]]) for j in at]) - centre) / width
+                    count = float(np.maximum(np.expm1(model.forecast(x[None, :])[0]), 0.0))
+                    return np.append(past, count)[-depth:], count
+
+                states = itertools.accumulate(inputs, step, initial=(np.asarray(rows.column("hist")[0].as_py(), float), None))
+                forecast = [count for _, count in states][1:]
+                out.append(rows.select(["entity"]).append_column("model_key", pa.array([key] * len(forecast))).append_column("period", rows.column("period")).append_column("year", rows.column("year")).append_column("weekofyear", rows.column("weekofyear")).append_column("predicted", pa.array(forecast)))
+        empty = pa.table({"entity": pa.array([], pa.string()), "model_key": pa.array([], pa.string()), "period": pa.array([], pa.date32()), "year": pa.array([], pa.int32()), "weekofyear": pa.array([], pa.int32()), "predicted": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *out])
+
+    return test.groupBy("entity").cogroup(models.drop("gain").groupBy("entity")).applyInArrow(run, REC_SCHEMA)

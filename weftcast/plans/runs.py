@@ -1,23 +1,21 @@
 """End-to-end forecast runs (#83 weather only, #84 autoregressive, #85 signal
 ablation) and their report sinks (#2-#7, #54, #67).
 
-A run is a handful of Spark jobs over one entity-partitioned panel; the
-driver holds only small results (best model names, tuned parameters, one
-score per CV fit).  Stacks (selection + scaling, checkpointed) are memoised
+A run is a handful of Spark jobs over one entity-partitioned panel; parameters,
+models and the best model of each entity stay DataFrames.  Stacks (selection + scaling, checkpointed) are memoised
 per session so several report queries share one build.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
+from ..operators import forest
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..session import cut_lineage, ensure_checkpoint_dir
@@ -28,14 +26,6 @@ from . import modelling as ML
 # of the tree, 40 random candidates of each ensemble, four folds.
 QUERY_CFG = ML.RunConfig()
 
-# Reference estimator defaults for untuned fits (scikit-learn / booster defaults).
-DEFAULT_TREE_PARAMS = {
-    "decision_tree": {"max_depth": None, "min_samples_leaf": 1},
-    "random_forest": {"n_estimators": 100, "max_depth": None, "min_samples_leaf": 1, "max_features": 1.0},
-    "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3},
-    "lightgbm": {"n_estimators": 100, "num_leaves": 31, "learning_rate": 0.1, "min_child_samples": 20},
-}
-
 _STACKS: dict = {}
 
 
@@ -58,20 +48,14 @@ def output_root(spark: SparkSession) -> str:
 # --------------------------------------------------------------------------- #
 # importances
 # --------------------------------------------------------------------------- #
-IMP_SCHEMA = StructType([StructField("entity", StringType()), StructField("model_key", StringType()),
-                         StructField("feature", StringType()), StructField("slot", IntegerType()),
-                         StructField("importance", DoubleType())])
-
-
-def importances(spark: SparkSession, stack: ML.Stack, key: str, models: dict) -> DataFrame:
-    """#76: per-entity importances of fitted tree models, named by the entity's selected features."""
-    names = {r["entity"]: r["sel_names"] for r in
-             stack.frame.select("entity", "sel_names").dropDuplicates(["entity"]).collect()}
-    rows = []
-    for e, m in models.items():
-        for feat, i, v in MD.feature_importance(m, list(names[e])):
-            rows.append((e, key, feat, i, v))
-    return spark.createDataFrame(rows, IMP_SCHEMA)
+def importances(stack: ML.Stack, models: DataFrame) -> DataFrame:
+    """#76: (entity, model_key, feature, slot, importance) of fitted tree models, for every selected feature of the entity."""
+    names = stack.frame.select("entity", "sel_names").dropDuplicates(["entity"])
+    slots = names.select("entity", F.posexplode("sel_names").alias("slot", "feature"))
+    fitted = models.select("entity", "model_key").distinct()
+    found = forest.importances(models)
+    return slots.join(fitted, "entity").join(found, ["entity", "model_key", "slot"], "left").select(
+        "entity", "model_key", "feature", "slot", F.coalesce("importance", F.lit(0.0)).alias("importance"))
 
 
 def top_importances(imp: DataFrame, n: int = 20) -> DataFrame:
@@ -92,86 +76,90 @@ class RunResult:
     best: DataFrame
     submission: DataFrame
     importances: DataFrame | None
-    params: dict = field(default_factory=dict)
+    params: DataFrame | None = None  # entity, model_key, params (JSON), cv_score
+    models: DataFrame | None = None  # stored_models
 
 
-def evaluate(spark, stack: ML.Stack, keys: list[str], cfg: ML.RunConfig, tune: bool = True):
-    """Hold-out predictions for ``keys`` plus tree importances and tuned parameters."""
-    preds, params, imps = [], {}, []
-    lin = [k for k in keys if k in MD.LINEAR_MODELS]
-    if lin:
-        preds.append(ML.to_predictions(ML.linear_predictions(stack, lin)))
-    ents = ML._entities(stack.frame)
-    for key in [k for k in keys if k in MD.TREE_MODELS]:
-        if tune:
-            tuned = ML.tune_tree(stack, key, cfg)
-            pe = {e: p for e, (p, _) in tuned.items()}
-        else:
-            pe = {e: dict(DEFAULT_TREE_PARAMS[key]) for e in ents}
-        params.update({(e, key): p for e, p in pe.items()})
-        pr, models = ML.tree_predictions(stack, key, pe, cfg, return_models=True)
-        preds.append(ML.to_predictions(pr))
-        imps.append(importances(spark, stack, key, models))
-    out = preds[0]
-    for p in preds[1:]:
-        out = out.unionByName(p)
-    imp = None
-    for i in imps:
-        imp = i if imp is None else imp.unionByName(i)
-    return cut_lineage(out), params, imp
+def evaluate(stack: ML.Stack, keys: list[str], cfg: ML.RunConfig, tune: bool = True):
+    """Hold-out predictions for ``keys`` plus parameters, trees and importances of the tree models."""
+    preds, params, models = ML.train_evaluate(stack, keys, cfg, tune)
+    return cut_lineage(preds), params, models, None if models is None else importances(stack, models)
 
 
 def run_forecast(spark: SparkSession, sf_dir: str, autoregressive: bool = False,
                  keys: list[str] | None = None, cfg: ML.RunConfig | None = None, tune: bool = True,
                  output_dir: str | None = None) -> RunResult:
-    """#83 / #84: evaluate every model, rank, pick the best per entity, forecast the test rows."""
+    """#83 / #84: evaluate every model, rank, pick the best per entity, forecast the test rows.
+
+    With ``output_dir`` all reports, predictions, the submission and all fitted models are written there.
+    """
     cfg = cfg or QUERY_CFG
     keys = keys or MD.ALL_MODELS
     stack = stack_for(spark, sf_dir, autoregressive, False, cfg)
-    preds, params, imp = evaluate(spark, stack, keys, cfg, tune)
+    preds, params, models, imp = evaluate(stack, keys, cfg, tune)
     scored = M.forecast_metrics(preds)
     tuned_keys = MD.TREE_MODELS if tune else ()
     metrics = M.metrics_table(scored, tuned_keys, extra=("n",))
     ranked = M.rank_models(metrics, "mae")
     combined = M.combined_scores(preds)
-    best = M.best_model_per_entity(metrics)
-    best_map = {r["entity"]: r["model_key"] for r in best.select("entity", "model_key").collect()}
+    best = cut_lineage(M.best_model_per_entity(metrics))
     full = stack_for(spark, sf_dir, autoregressive, True, cfg)
-    if autoregressive:
-        submission = recursive_submission(full, best_map, cfg, params)
-    else:
-        # the reference re-tunes the best tree on all train rows; untuned runs use the defaults
-        fixed = None if tune else {(e, k): DEFAULT_TREE_PARAMS.get(k, {}) for e, k in best_map.items()}
-        submission = ML.forecast_direct(full, best_map, cfg, fixed)
-    res = RunResult(preds, metrics, ranked, combined, best, submission, imp, params)
+    submission = (recursive_submission if autoregressive else ML.forecast_direct)(full, best, cfg, tune)
+    lin = [k for k in keys if k in MD.LINEAR_MODELS]
+    coefs = MD.fit_linear_family(stack.frame.filter(F.col("role") == "fit"), "entity", stack.slots, "y_t", lin) if lin else None
+    res = RunResult(preds, metrics, ranked, combined, best, submission, imp, params, stored_models(coefs, models))
     if output_dir:
         write_reports(res, output_dir)
     return res
 
 
-def recursive_submission(full: ML.Stack, best_map: dict, cfg: ML.RunConfig, params: dict) -> DataFrame:
-    """#82: recursive test forecast with each entity's best model (linear: array fold; trees: horizon loop)."""
-    parts = []
-    lin = {e: k for e, k in best_map.items() if k in MD.LINEAR_MODELS}
-    if lin:
-        fr = full.frame
-        coefs = MD.fit_linear_family(fr.filter(F.col("role") == "fit"), "entity", full.slots, "y_t",
-                                     sorted(set(lin.values())))
-        pick = F.create_map(*[x for e, k in lin.items() for x in (F.lit(e), F.lit(k))])
-        coefs = coefs.filter(F.col("model_key") == pick[F.col("entity")])
-        parts.append(ML.forecast_recursive_linear(full, coefs))
-    trees = {e: k for e, k in best_map.items() if k in MD.TREE_MODELS}
-    if trees:
-        pe = {(e, k): params.get((e, k), DEFAULT_TREE_PARAMS[k]) for e, k in trees.items()}
-        models = ML.fit_tree_models(full, trees, pe, cfg)
-        parts.append(ML.forecast_recursive_tree(full, models, trees))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def recursive_submission(full: ML.Stack, best: DataFrame, cfg: ML.RunConfig, tune: bool = True) -> DataFrame:
+    """#82: recursive test forecast with each entity's best model, refit - trees also tuned anew - on all train rows."""
+    cols = ["entity", "year", "weekofyear", "period", "model_key", "predicted"]
+    out = ML.forecast_recursive_linear(full, ML.best_coefficients(full, best)).select(*cols)
+    models = ML.best_trees(full, best, cfg, tune)
+    if models is not None:
+        out = out.unionByName(ML.forecast_recursive_tree(full, models).select(*cols))
     return out.select("entity", "year", "weekofyear", "period", "model_key",
                       F.rint(F.col("predicted")).cast("long").alias("total_cases"))
 
 
+# --------------------------------------------------------------------------- #
+# model store
+# --------------------------------------------------------------------------- #
+TREE_COLUMNS = ["tree", "weight", "feature", "threshold", "left", "right", "value", "gain"]
+
+
+def stored_models(coefs: DataFrame | None, trees: DataFrame | None) -> DataFrame:
+    """#7: one table of all fitted models: a row of coefficients for a linear one, a row of nodes for each tree."""
+    parts = [p for p in (None if coefs is None else coefs.select("entity", "model_key", "intercept", "coef"),
+                         None if trees is None else trees.select("entity", "model_key", *TREE_COLUMNS)) if p is not None]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def write_models(models: DataFrame, path: str) -> str:
+    """Write ``stored_models``, a folder for each model_key."""
+    models.write.mode("overwrite").partitionBy("model_key").parquet(path)
+    return path
+
+
+def read_models(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Coefficients and trees of a written model store."""
+    stored = spark.read.parquet(path)
+    return (stored.where(F.col("model_key").isin(MD.LINEAR_MODELS)).select("entity", "model_key", "intercept", "coef"),
+            stored.where(F.col("model_key").isin(MD.TREE_MODELS)).select("entity", "model_key", *TREE_COLUMNS))
+
+
+def score_models(rows: DataFrame, coefs: DataFrame, trees: DataFrame, slots: list[str]) -> DataFrame:
+    """``rows`` with (model_key, predicted_t) of every stored model of their entity."""
+    lin = MD.predict_linear(rows, coefs, "entity", slots)
+    tree = forest.predict_models(rows, trees, slots)
+    return lin.select(*tree.columns).unionByName(tree)
+
+
 def signal_ablation(spark: SparkSession, sf_dir: str, keys=("random_forest", "xgboost"),
                     cfg: ML.RunConfig | None = None) -> DataFrame:
     """#85: the same tuned models on climate-only and climate + cases features, per entity."""
@@ -179,7 +167,7 @@ def signal_ablation(spark: SparkSession, sf_dir: str, keys=("random_forest", "xg
     out = None
     for signal, ar in (("climate_only", False), ("climate_cases", True)):
         stack = stack_for(spark, sf_dir, ar, False, cfg)
-        preds, _, _ = evaluate(spark, stack, list(keys), cfg, tune=True)
+        preds = evaluate(stack, list(keys), cfg, tune=True)[0]
         s = preds.withColumn("signal", F.lit(signal))
         out = s if out is None else out.unionByName(s)
     return M.signal_comparison(out)
@@ -218,6 +206,10 @@ def write_reports(res: RunResult, root: str) -> dict:
     summary_path = os.path.join(root, "reports", "run_summary")
     run_summary(res).coalesce(1).write.mode("overwrite").json(summary_path)
     paths["run_summary"] = summary_path
+    paths["submission"] = os.path.join(root, "submission")
+    res.submission.repartition("entity").write.mode("overwrite").partitionBy("entity").option("header", True).csv(paths["submission"])
+    if res.models is not None:
+        paths["models"] = write_models(res.models, os.path.join(root, "models"))
     rep = os.path.join(root, "reports", "model_comparison_report")
     comparison_report(res.ranked, res.combined).orderBy("section_order", "line_no").select("line") \
         .coalesce(1).write.mode("overwrite").text(rep)
@@ -297,11 +289,8 @@ def model_dashboard(res: RunResult) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("period", "actual", "predicted"))).alias("series"))
     series = series.select("*", F.transform("series", lambda s: s["actual"] - s["predicted"]).alias("residuals"))
     out = res.metrics.join(series, ["entity", "model_key"])
-    spark = p.sparkSession
-    prow = [(e, k, json.dumps(dict(list(v.items())[:8]), default=str)) for (e, k), v in res.params.items()]
-    if prow:
-        pdf = spark.createDataFrame(prow, "entity string, model_key string, best_params string")
-        out = out.join(pdf, ["entity", "model_key"], "left")
+    if res.params is not None:
+        out = out.join(res.params.select("entity", "model_key", F.col("params").alias("best_params")), ["entity", "model_key"], "left")
     else:
         out = out.withColumn("best_params", F.lit(None).cast("string"))
     if res.importances is not None:
