@@ -500,7 +500,7 @@ PACKED = "entity string, n int, features int, x binary, y binary"
 
 
 def packed_rows(rows: DataFrame, cols: list[str], y: str) -> DataFrame:
-    """(entity, n, features, x, y): each entity's rows in order of period, as one matrix of at most ``TASK_ROWS`` rows.
+    """(entity, n, features, x, y): each entity's rows in order of period, as one matrix; of entities of at most ``TASK_ROWS`` rows.
 
     A null feature reads as 0, the training mean on the scaled axis, as in the
     linear models; rows without a target are left out.
@@ -508,6 +508,8 @@ def packed_rows(rows: DataFrame, cols: list[str], y: str) -> DataFrame:
     width = len(cols)
     zero = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols]
     flat = rows.select("entity", "period", F.array(*zero).alias("x"), F.col(y).cast("double").alias("y")).where("y is not null")
+    known = flat.groupBy("entity").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") <= TASK_ROWS)
+    flat = flat.join(known, "entity", "left_semi")
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.sort_by("period")
@@ -558,10 +560,10 @@ def cv_scores(packed: DataFrame, key: str, candidates: list[dict], splits: int,
 
 
 def spread_units(units: DataFrame) -> DataFrame:
-    """Units dealt one by one over the tasks: few rows, each of much work."""
+    """Units dealt one by one over the tasks: few rows, each of much work, so ranges and not hashes, which would pair some."""
     spark = units.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    return units.repartition(parts, "entity", "unit")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 16 * spark.sparkContext.defaultParallelism)
+    return units.repartitionByRange(parts, "entity", "unit")
 
 
 MODEL = "entity string, model_key string, tree int, weight double, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>, gain array<double>"

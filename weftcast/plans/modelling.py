@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expm1_clip, log1p_target, rint_long
-from ..operators import forest
+from ..operators import forest, levels
 from ..operators import models as MD
 from ..operators import scale as SC
 from ..operators import select as SEL
@@ -83,7 +83,7 @@ class RunConfig:
     objective: str = "mae"
     seed: int = SEED
     search_spaces: dict = field(default_factory=lambda: dict(SEARCH_SPACES))
-    block: int = 10  # candidates that one unit of work fits
+    block: int = 5  # candidates that one unit of work fits
 
 
 # --------------------------------------------------------------------------- #
@@ -173,15 +173,16 @@ def linear_predictions(stack: Stack, keys=tuple(MD.LINEAR_MODELS), fit_role: str
     return pred
 
 
-def fit_matrices(stack: Stack, fit_role: str = "fit", entities: DataFrame | None = None) -> DataFrame:
-    """``forest.packed_rows`` of the stack's rows of a role, of all entities or of those of ``entities`` (entity)."""
+def fit_rows(stack: Stack, fit_role: str, entities: DataFrame | None) -> DataFrame:
+    """The stack's rows of a role, of all entities or of those of ``entities`` (entity)."""
     rows = stack.frame.filter(F.col("role") == fit_role)
-    if entities is not None:
-        rows = rows.join(broadcast_if_small(entities.select("entity")), "entity", "left_semi")
-    return cut_lineage(forest.packed_rows(rows, stack.slots, "y_t"))
+    return rows if entities is None else rows.join(broadcast_if_small(entities.select("entity")), "entity", "left_semi")
 
 
-PARAMS = "entity string, model_key string, params string, cv_score double"
+def long_rows(rows: DataFrame) -> DataFrame | None:
+    """The rows of entities too long for one task; None if there is none."""
+    found = cut_lineage(levels.long_entities(rows, forest.TASK_ROWS))
+    return rows.join(broadcast_if_small(found.select("entity")), "entity", "left_semi") if found.take(1) else None
 
 
 def tune_tree(stack: Stack, key: str, cfg: RunConfig, candidates: list[dict] | None = None,
@@ -192,7 +193,10 @@ def tune_tree(stack: Stack, key: str, cfg: RunConfig, candidates: list[dict] | N
     the first of ties. An entity of too few rows for the folds is an error.
     """
     cands = candidates_for(key, cfg)[1] if candidates is None else candidates
-    scores = forest.cv_scores(fit_matrices(stack, fit_role, entities), key, cands, cfg.n_splits, cfg.objective, cfg.seed, cfg.block)
+    rows = fit_rows(stack, fit_role, entities)
+    scores = forest.cv_scores(cut_lineage(forest.packed_rows(rows, stack.slots, "y_t")), key, cands, cfg.n_splits, cfg.objective, cfg.seed, cfg.block)
+    if (of_long := long_rows(rows)) is not None:
+        scores = scores.unionByName(levels.cv_scores(of_long, stack.slots, "y_t", key, cands, cfg.n_splits, cfg.objective, cfg.seed))
     mean = scores.groupBy("entity", "candidate").agg(F.avg("score").alias("cv_score"))
     best = mean.groupBy("entity").agg(F.min(F.struct("cv_score", "candidate")).alias("b"))
     listed = stack.frame.sparkSession.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(cands)], "candidate int, params string")
@@ -213,7 +217,11 @@ def given_params(stack: Stack, params: dict[str, dict], entities: DataFrame | No
 
 def tree_models(stack: Stack, params: DataFrame, cfg: RunConfig, fit_role: str = "fit") -> DataFrame:
     """The trees (``forest.MODEL``) of every (entity, model_key) of ``params``, fitted on the rows of a role in one job."""
-    return cut_lineage(forest.fit_models(fit_matrices(stack, fit_role, params.select("entity").distinct()), params.select("entity", "model_key", "params"), cfg.seed))
+    rows = fit_rows(stack, fit_role, params.select("entity").distinct())
+    models = forest.fit_models(forest.packed_rows(rows, stack.slots, "y_t"), params.select("entity", "model_key", "params"), cfg.seed)
+    if (of_long := long_rows(rows)) is not None:
+        models = models.unionByName(levels.fit_models(of_long, stack.slots, "y_t", params, cfg.seed))
+    return cut_lineage(models)
 
 
 def tree_predictions(stack: Stack, models: DataFrame, pred_role: str = "holdout") -> DataFrame:
@@ -227,13 +235,13 @@ def to_predictions(pred: DataFrame) -> DataFrame:
                        expm1_clip("predicted_t").alias("predicted"))
 
 
-def tuned_or_default(stack: Stack, keys: list[str], cfg: RunConfig, tune: bool, entities: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Parameters of tree models: searched, or the defaults; ``entities`` limits a model to some entities."""
-    parts = [tune_tree(stack, k, cfg, entities=(entities or {}).get(k)) if tune else given_params(stack, {k: {}}, (entities or {}).get(k)) for k in keys]
+def tuned_or_default(stack: Stack, keys: list[str], cfg: RunConfig, tune, entities: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Parameters of tree models: searched for the models named in ``tune``, the defaults for others; ``entities`` limits a model to some entities."""
+    parts = [tune_tree(stack, k, cfg, entities=(entities or {}).get(k)) if k in tune else given_params(stack, {k: {}}, (entities or {}).get(k)) for k in keys]
     return reduce(DataFrame.unionByName, parts)
 
 
-def train_evaluate(stack: Stack, keys: list[str], cfg: RunConfig, tune: bool = True) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+def train_evaluate(stack: Stack, keys: list[str], cfg: RunConfig, tune=tuple(MD.TREE_MODELS)) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """#80: hold-out predictions for ``keys``, and the tree models' parameters and trees (None without tree models)."""
     preds, params, models = [], None, None
     lin = [k for k in keys if k in MD.LINEAR_MODELS]
@@ -256,7 +264,7 @@ def best_coefficients(stack_full: Stack, best: DataFrame) -> DataFrame:
     return coefs.join(broadcast_if_small(best.select("entity", "model_key")), ["entity", "model_key"], "left_semi")
 
 
-def best_trees(stack_full: Stack, best: DataFrame, cfg: RunConfig, tune: bool) -> DataFrame | None:
+def best_trees(stack_full: Stack, best: DataFrame, cfg: RunConfig, tune=tuple(MD.TREE_MODELS)) -> DataFrame | None:
     """Trees, on all train rows and searched anew there, of the entities whose best model is one; None if no entity's is."""
     keys = [r.model_key for r in best.select("model_key").distinct().collect() if r.model_key in MD.TREE_MODELS]  # at most eight
     if not keys:
@@ -265,10 +273,10 @@ def best_trees(stack_full: Stack, best: DataFrame, cfg: RunConfig, tune: bool) -
     return tree_models(stack_full, params, cfg)
 
 
-def forecast_direct(stack_full: Stack, best: DataFrame, cfg: RunConfig, tune: bool = True) -> DataFrame:
+def forecast_direct(stack_full: Stack, best: DataFrame, cfg: RunConfig, tune=tuple(MD.TREE_MODELS)) -> DataFrame:
     """#81: the best model of each entity (entity, model_key) refit on all train rows; predict test; clip; round (half-even).
 
-    Trees are tuned anew on all train rows; with ``tune`` false they have the defaults.
+    The trees named in ``tune`` are tuned anew on all train rows; others have the defaults.
     """
     test = stack_full.frame.filter(F.col("role") == "test")
     cols = ["entity", "year", "weekofyear", "period", "model_key", "predicted_t"]

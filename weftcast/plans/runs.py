@@ -80,26 +80,25 @@ class RunResult:
     models: DataFrame | None = None  # stored_models
 
 
-def evaluate(stack: ML.Stack, keys: list[str], cfg: ML.RunConfig, tune: bool = True):
+def evaluate(stack: ML.Stack, keys: list[str], cfg: ML.RunConfig, tune=tuple(MD.TREE_MODELS)):
     """Hold-out predictions for ``keys`` plus parameters, trees and importances of the tree models."""
     preds, params, models = ML.train_evaluate(stack, keys, cfg, tune)
     return cut_lineage(preds), params, models, None if models is None else importances(stack, models)
 
 
 def run_forecast(spark: SparkSession, sf_dir: str, autoregressive: bool = False,
-                 keys: list[str] | None = None, cfg: ML.RunConfig | None = None, tune: bool = True,
+                 keys: list[str] | None = None, cfg: ML.RunConfig | None = None, tune=tuple(MD.TREE_MODELS),
                  output_dir: str | None = None) -> RunResult:
     """#83 / #84: evaluate every model, rank, pick the best per entity, forecast the test rows.
 
-    With ``output_dir`` all reports, predictions, the submission and all fitted models are written there.
+    The tree models named in ``tune`` are searched for, the others have their defaults. With ``output_dir`` all reports, predictions, the submission and all fitted models are written there.
     """
     cfg = cfg or QUERY_CFG
     keys = keys or MD.ALL_MODELS
     stack = stack_for(spark, sf_dir, autoregressive, False, cfg)
     preds, params, models, imp = evaluate(stack, keys, cfg, tune)
     scored = M.forecast_metrics(preds)
-    tuned_keys = MD.TREE_MODELS if tune else ()
-    metrics = M.metrics_table(scored, tuned_keys, extra=("n",))
+    metrics = M.metrics_table(scored, tuple(tune), extra=("n",))
     ranked = M.rank_models(metrics, "mae")
     combined = M.combined_scores(preds)
     best = cut_lineage(M.best_model_per_entity(metrics))
@@ -113,7 +112,7 @@ def run_forecast(spark: SparkSession, sf_dir: str, autoregressive: bool = False,
     return res
 
 
-def recursive_submission(full: ML.Stack, best: DataFrame, cfg: ML.RunConfig, tune: bool = True) -> DataFrame:
+def recursive_submission(full: ML.Stack, best: DataFrame, cfg: ML.RunConfig, tune=tuple(MD.TREE_MODELS)) -> DataFrame:
     """#82: recursive test forecast with each entity's best model, refit - trees also tuned anew - on all train rows."""
     cols = ["entity", "year", "weekofyear", "period", "model_key", "predicted"]
     out = ML.forecast_recursive_linear(full, ML.best_coefficients(full, best)).select(*cols)
@@ -167,7 +166,7 @@ def signal_ablation(spark: SparkSession, sf_dir: str, keys=("random_forest", "xg
     out = None
     for signal, ar in (("climate_only", False), ("climate_cases", True)):
         stack = stack_for(spark, sf_dir, ar, False, cfg)
-        preds = evaluate(stack, list(keys), cfg, tune=True)[0]
+        preds = evaluate(stack, list(keys), cfg)[0]
         s = preds.withColumn("signal", F.lit(signal))
         out = s if out is None else out.unionByName(s)
     return M.signal_comparison(out)
