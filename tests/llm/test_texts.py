@@ -137,3 +137,24 @@ def test_token_query_digests(spark):
 @pytest.mark.parametrize("values", [[], [0], [1, 2, 3, 70_000, 2**31]])
 def test_packing(values):
     assert bpe.unpack(bpe.pack(np.array(values, np.int64))).tolist() == values
+
+
+def test_every_code_point_is_cut_as_the_library_cuts_it(spark, docs_of):
+    """Each code point after a letter, before and after blanks, digits and marks, as the library's own encoding has it."""
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a {chr(c) * 2} 1{chr(c)}b  {chr(c)}'s{chr(c)}" for c in points[i:i + 256]) for i in range(0, len(points), 256)]
+    rows = dict(enumerate(texts))
+    got = {r.doc_id: r.ids for r in bpe.bpe_encode(docs_of(rows.items()).repartition(8), RANKS, public_tokenizers.PATTERN).collect()}
+    wrong = [i for i, t in rows.items() if np.frombuffer(got[i], "<u4").tolist() != TIKTOKEN.encode_ordinary(t)]
+    assert not wrong and len(got) == len(rows)
+    cut = bpe.pre_tokenizer(public_tokenizers.PATTERN, bpe.spelled_out(public_tokenizers.PATTERN))
+    whole = tiktoken.Encoding("words", pat_str="(?s:.+)", mergeable_ranks=RANKS, special_tokens={}).encode_ordinary
+    for c in points:  # each by itself, so that a text of plain characters takes the plain pattern
+        text = f"a{chr(c)}{chr(c)} 1{chr(c)}b  {chr(c)}'s{chr(c)}"
+        assert [t for w in cut(text) for t in whole(w)] == TIKTOKEN.encode_ordinary(text), hex(c)
+
+
+def test_no_table_is_left(spark, docs_of):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert bpe.bpe_encode(docs_of([(1, "some text")]), RANKS, public_tokenizers.PATTERN).count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before

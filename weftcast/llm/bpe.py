@@ -12,6 +12,7 @@ ids with the token-byte table, whose size is the vocabulary's.
 from __future__ import annotations
 
 import base64
+import functools
 import re
 import zlib
 from collections import defaultdict
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import shared_buckets, shuffle_partitions
 
 BLOCK_CHARS = 12 << 20  # texts of one block; a longer text is a block of its own
-#: Characters whose classes differ between the two regular-expression libraries, or might: texts that hold one take the exact one.
+#: Characters whose classes differ between Python's names of classes and the library's, or might: texts that hold one take the exact pattern.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 
 
@@ -38,18 +39,54 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def pre_tokenizer(pattern: str):
-    """A function that lists a text's pre-tokens.
+@functools.cache
+def library_ranges(name: str) -> str:
+    """The code points that the library's engine counts to a class as \\p{L}, asked one by one, as the inside of a character class."""
+    single = {bytes([i]): i for i in range(256)}
+    ask = tiktoken.Encoding("class", pat_str=f"{name}+", mergeable_ranks=single, special_tokens={}).encode_ordinary
+    found = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and ask(chr(c))]
+    ranges: list[list[int]] = []
+    for c in found:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in ranges)
 
-    The built-in expression engine is twice as fast and agrees on texts of
-    plain letters, digits and marks; all others go to the exact engine.
+
+def spelled_out(pattern: str) -> str:
+    """``pattern`` with the classes of letters, digits and white space written as the library's code points.
+
+    The library's engine and Python's have Unicode tables of different ages, so
+    that names of classes mean different code points to them.
+    """
+    out, inside = [], False
+    for token in re.findall(r"\\[pP]\{[^}]*\}|\\.|\[\^|.", pattern, re.S):
+        if token in (r"\p{L}", r"\p{N}", r"\s"):
+            ranges = library_ranges(token)
+            out.append(ranges if inside else f"[{ranges}]")
+        elif token == r"\S" and not inside:
+            out.append(f"[^{library_ranges(chr(92) + 's')}]")
+        else:
+            inside = token in ("[", "[^") or (inside and token != "]")
+            out.append(token)
+    return "".join(out)
+
+
+def pre_tokenizer(pattern: str, exact: str):
+    """A function that lists a text's pre-tokens by ``exact``, the pattern ``spelled_out``.
+
+    Texts of plain letters, digits and marks take the built-in classes, which
+    are faster and agree on them.
     """
-    exact = regex.compile(pattern).findall
     plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)").replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d")
+    if r"\p" in exact:  # a class that is not spelled out
+        return regex.compile(pattern).findall
+    whole = re.compile(exact).findall
     if r"\p" in plain:
-        return exact
+        return whole
     quick, unsure = re.compile(plain).findall, UNSURE.search
-    return lambda text: exact(text) if unsure(text) else quick(text)
+    return lambda text: whole(text) if unsure(text) else quick(text)
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -85,6 +122,8 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> DataFrame:
     """Rows (block, bucket, doc_id, words, codes): a text's word numbers (bucket null), or words of a bucket with their numbers."""
+    exact = spelled_out(pattern)
+
     def rows(block: int, bucket, doc_id, words, codes) -> pa.RecordBatch:
         columns = [pa.array([block] * len(codes), pa.int64()), pa.array(bucket, pa.int32()), pa.array(doc_id, pa.int64()), pa.array(words, pa.binary()), pa.array(codes, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["block", "bucket", "doc_id", "words", "codes"])
@@ -104,7 +143,7 @@ def split_blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int)
         yield rows(block, list(of), [None] * len(of), [pack_words(w) for w, _ in of.values()], [pack(np.array(c)) for _, c in of.values()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, block, chars = pre_tokenizer(pattern), TaskContext.get().partitionId() << 32, 0
+        tokens, block, chars = pre_tokenizer(pattern, exact), TaskContext.get().partitionId() << 32, 0
         ids, texts, numbers = [], [], defaultdict(count().__next__)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):

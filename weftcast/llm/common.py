@@ -54,12 +54,15 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 def shared_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """Like ``shared_table``, as a table bucketed by ``column``: grouping by it reads the files without a shuffle.
 
-    The files lie in the shared checkpoint folder, as an external table.
+    The files lie in the shared checkpoint folder, as an external table whose
+    name is given up again once it is read.
     """
     spark = df.sparkSession
     unique = f"{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", f"{ensure_checkpoint_dir(spark)}/{unique}").bucketBy(buckets, column).saveAsTable(unique)
-    return spark.table(unique)
+    table = spark.table(unique)
+    spark.sql(f"DROP TABLE {unique}")
+    return table
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
