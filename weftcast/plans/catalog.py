@@ -935,6 +935,65 @@ for _k, _num, _what in [("linear_regression", 68, "OLS with intercept (Gram stat
     query(_name)(_model_query(_k, f"#{_num}: {_what}; hold-out predictions per entity."))
 
 
+# --------------------------------------------------------------------------- #
+# trees of depth one and two, checkable by SQL
+# --------------------------------------------------------------------------- #
+from ..operators import forest  # noqa: E402
+
+TREE_INPUTS = ["f_price_lag_1", "cases_lag_1"]
+
+
+def _tree_sql(depth: int) -> str:
+    """Greedy splits by level: running sums over a node's values, the largest fall of the squared error, ties to the first feature and value."""
+    points = " UNION ALL ".join(f"SELECT entity, period, {i} AS feature, CAST({c} AS DOUBLE) AS x, CAST(floor(ln(1 + CAST(target AS DOUBLE)) * 1048576 + 0.5) AS BIGINT) AS g FROM spl WHERE role = 'fit'" for i, c in enumerate(TREE_INPUTS))
+    ctes = [*Q.split_ctes(ar=True), ("points", points), ("grid", "SELECT entity, feature, x, (x + lead(x) OVER (PARTITION BY entity, feature ORDER BY x)) / 2 AS threshold FROM (SELECT DISTINCT entity, feature, x FROM points) d"),
+            ("rows0", "SELECT *, 'T' AS node FROM points")]
+    for level in range(depth + 1):
+        rows, each = f"rows{level}", "PARTITION BY entity, node, feature"
+        ctes.append((f"totals{level}", f"SELECT entity, node, sum(g) / 1048576.0 AS g, count(*) AS n FROM {rows} WHERE feature = 0 GROUP BY ALL"))
+        if level == depth:
+            ctes.append((f"nodes{level}", f"SELECT entity, node, -1 AS feature, 0.0 AS threshold, g / n AS value FROM totals{level}"))
+            break
+        ctes += [
+            (f"sides{level}", f"SELECT entity, node, feature, x, sum(sum(g)) OVER ({each} ORDER BY x) / 1048576.0 AS gl, sum(count(*)) OVER ({each} ORDER BY x) AS nl FROM {rows} GROUP BY entity, node, feature, x"),
+            (f"best{level}", f"SELECT entity, node, s.feature, s.x FROM (SELECT s.*, s.gl * s.gl / s.nl + (t.g - s.gl) * (t.g - s.gl) / (t.n - s.nl) - t.g * t.g / t.n AS gain FROM sides{level} s JOIN totals{level} t USING (entity, node) WHERE s.nl < t.n) s "
+                             "WHERE gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY entity, node ORDER BY gain DESC, feature, x) = 1"),
+            (f"nodes{level}", f"SELECT t.entity, t.node, coalesce(b.feature, -1) AS feature, coalesce(c.threshold, 0.0) AS threshold, t.g / t.n AS value FROM totals{level} t LEFT JOIN best{level} b USING (entity, node) LEFT JOIN grid c ON c.entity = b.entity AND c.feature = b.feature AND c.x = b.x"),
+            (f"rows{level + 1}", f"SELECT r.entity, r.period, r.feature, r.x, r.g, r.node || CASE WHEN k.x <= b.x THEN 'L' ELSE 'R' END AS node FROM {rows} r JOIN best{level} b ON b.entity = r.entity AND b.node = r.node JOIN points k ON k.entity = r.entity AND k.period = r.period AND k.feature = b.feature"),
+        ]
+    ctes.append(("nodes", " UNION ALL ".join(f"SELECT * FROM nodes{level}" for level in range(depth + 1))))
+    return Q.with_ctes(*ctes, body=sel_sql(["threshold", "value"], ["entity", "node", "feature"], "nodes"))
+
+
+def _small_tree(spark, sf, depth):
+    """The nodes of each entity's tree by their way from the root (T, then L or R)."""
+    eng, _, _ = FL.engineered_panel(spark, sf, autoregressive=True)
+    fit = S.temporal_split(eng.filter(F.col("split") == "train"), SPEC).filter(F.col("role") == "fit")
+    rows = fit.select("entity", "period", log1p_target("target").alias("y"), *TREE_INPUTS)
+    params = rows.select("entity").distinct().select("entity", F.lit("decision_tree").alias("model_key"), F.lit(f'{{"max_depth": {depth}}}').alias("params"))
+    trees = forest.fit_models(forest.packed_rows(rows, TREE_INPUTS, "y"), params, 0)
+    nodes = trees.select("entity", F.posexplode(F.arrays_zip("feature", "threshold", "left", "right", "value")).alias("i", "n")).select("entity", "i", "n.*")
+    at = nodes.where("i = 0").withColumn("node", F.lit("T"))
+    out = at
+    for _ in range(depth):
+        child = at.where("feature >= 0").select("entity", "node", F.explode(F.array(F.struct(F.col("left").alias("i"), F.lit("L").alias("s")), F.struct(F.col("right").alias("i"), F.lit("R").alias("s")))).alias("c"))
+        at = nodes.join(child.select("entity", F.concat("node", "c.s").alias("node"), F.col("c.i").alias("i")), ["entity", "i"]).select(*out.columns)
+        out = out.unionByName(at)
+    return out.select("entity", "node", "feature", "threshold", "value")
+
+
+@query("tree_depth_one", _tree_sql(1))
+def q_tree_depth_one(spark, sf):
+    """#72: a tree of one split for each entity, on two features."""
+    return _small_tree(spark, sf, 1)
+
+
+@query("tree_depth_two", _tree_sql(2))
+def q_tree_depth_two(spark, sf):
+    """#72: a tree of two levels of splits for each entity, on two features."""
+    return _small_tree(spark, sf, 2)
+
+
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     """#76: importances of the tree models per entity (named by selected feature)."""
