@@ -32,6 +32,7 @@ try:  # ship this module's solver helpers inside the UDF closure (no package ins
 except Exception:  # pragma: no cover
     pass
 
+# The keys of the eight models.
 LINEAR_MODELS = ["linear_regression", "ridge", "lasso", "elastic_net"]
 TREE_MODELS = ["decision_tree", "random_forest", "xgboost", "lightgbm"]
 ALL_MODELS = LINEAR_MODELS + TREE_MODELS

@@ -1143,8 +1143,8 @@ def q_scan_daily_panel(spark, sf):
     return P.daily_panel(spark, sf)
 
 
-_HDR = f"{'Rank':<5}{'Model':<24}{'MAE':>10}{'RMSE':>10}{'R2':>10}{'Tuned':>8}"
-_CHDR = f"{'Rank':<5}{'Model':<24}{'MAE':>10}{'RMSE':>10}{'R2':>10}"
+REPORT_HEADS = [RN.report_header(RN.REPORT_COLUMNS), RN.report_header(RN.REPORT_COLUMNS[:-1])]
+REPORT_ROWS = [RN.report_row(RN.REPORT_COLUMNS), RN.report_row(RN.REPORT_COLUMNS[:-1])]
 REPORT_SQL = Q.with_ctes(*PRED_CTES, (
     "met2", f"SELECT entity, {DISPLAY_SQL} AS model, model_key, {Q.metric_sql(rounded=False)}, "
             "model_key IN ('decision_tree', 'random_forest', 'xgboost', 'lightgbm') AS tuned FROM preds GROUP BY ALL"), (
@@ -1155,19 +1155,19 @@ REPORT_SQL = Q.with_ctes(*PRED_CTES, (
     "crk", f"SELECT *, row_number() OVER (ORDER BY mae, {MODEL_ORDER_SQL}, model_key) AS rank FROM pooled"),
     body=(
         "SELECT r.entity AS section, e.section_order, CAST(r.rank + 3 AS INTEGER) AS line_no, "
-        "printf('%-5d%-24s%10.3f%10.3f%10.3f%8s', r.rank, r.model, r.mae, r.rmse, r.r2, "
+        f"printf('{REPORT_ROWS[0]}', r.rank, r.model, r.mae, r.rmse, r.r2, "
         "CASE WHEN r.tuned THEN 'True' ELSE 'False' END) AS line FROM rk r JOIN ents e USING (entity) "
         "UNION ALL SELECT entity, section_order, 0, '--- Entity: ' || upper(entity) || ' ' || "
         "repeat('-', greatest(66 - length(entity), 0)) FROM ents "
-        f"UNION ALL SELECT entity, section_order, 1, '{_HDR}' FROM ents "
-        f"UNION ALL SELECT entity, section_order, 2, '{'-' * len(_HDR)}' FROM ents "
+        f"UNION ALL SELECT entity, section_order, 1, '{REPORT_HEADS[0]}' FROM ents "
+        f"UNION ALL SELECT entity, section_order, 2, '{'-' * len(REPORT_HEADS[0])}' FROM ents "
         "UNION ALL SELECT r.entity, e.section_order, 1000, printf('  -> Best for %s: %s (MAE=%.3f)', upper(r.entity), "
         "r.model, r.mae) FROM rk r JOIN ents e USING (entity) WHERE r.rank = 1 "
-        "UNION ALL SELECT 'combined', 1000000, CAST(rank + 3 AS INTEGER), printf('%-5d%-24s%10.3f%10.3f%10.3f', "
+        "UNION ALL SELECT 'combined', 1000000, CAST(rank + 3 AS INTEGER), " f"printf('{REPORT_ROWS[1]}', "
         "rank, model, mae, rmse, r2) FROM crk "
         f"UNION ALL SELECT 'combined', 1000000, 0, '--- Combined (all entities pooled) {'-' * 39}' "
-        f"UNION ALL SELECT 'combined', 1000000, 1, '{_CHDR}' "
-        f"UNION ALL SELECT 'combined', 1000000, 2, '{'-' * len(_CHDR)}' "
+        f"UNION ALL SELECT 'combined', 1000000, 1, '{REPORT_HEADS[1]}' "
+        f"UNION ALL SELECT 'combined', 1000000, 2, '{'-' * len(REPORT_HEADS[1])}' "
         "UNION ALL SELECT 'combined', 1000000, 1000, printf('Overall best (combined MAE): %s (MAE=%.3f)', model, mae) "
         "FROM crk WHERE rank = 1"))
 
