@@ -9,9 +9,14 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+_SHIPPED: set[str] = set()
+
 # Session defaults that matter for the panel workload: AQE coalesces the many
 # tiny post-aggregation partitions and splits skewed join partitions (one
 # customer / one entity may hold a third of all raw rows).
@@ -43,6 +48,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, once, wherever they run and whatever their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="weftcast-package-"), f"{PACKAGE.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(PACKAGE.rglob("*.py")):
+            out.write(source, source.relative_to(PACKAGE.parent))
+    sc.addPyFile(path)  # served by the driver to each worker
+    _SHIPPED.add(sc.applicationId)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 

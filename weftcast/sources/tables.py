@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
@@ -14,5 +16,6 @@ def table_path(sf_dir: str, name: str) -> str:
 def read_table(spark: SparkSession, sf_dir: str, name: str,
                columns: list[str] | None = None) -> DataFrame:
     """Read one driver table; selecting ``columns`` up front keeps ReadSchema narrow."""
+    ship_package(spark)
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
