@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -59,8 +60,10 @@ def test_simhash_matches_all_pairs(spark, docs_of):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.component_id is not None)
 
 
-def test_links_connect_all_close_fingerprints(spark):
-    """Chains and clusters of fingerprints at one, two and three bits."""
+@pytest.mark.parametrize(("max_bits", "cell"), [(0, 16), (1, 16), (2, 16), (2, 2), (2, 1000), (3, 16), (3, 2)])
+def test_links_connect_all_close_fingerprints(spark, monkeypatch, max_bits, cell):
+    """Chains and clusters of fingerprints at one, two and three bits, with cells compared pair by pair and cut finer."""
+    monkeypatch.setattr(simhash, "CELL", cell)
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 60, dtype=np.uint64).tolist()
     fps = {0, 2**64 - 1, 1, 3, 7, 2**63, 2**63 | 1 << 62}
@@ -72,8 +75,10 @@ def test_links_connect_all_close_fingerprints(spark):
         fps.add(seeds[0] ^ (1 << i))
     fps = sorted(fps)
     signed = [f - 2**64 if f >= 2**63 else f for f in fps]
-    found = dict(common.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"))).collect())
-    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2]
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), max_bits).collect()
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= max_bits for a, b in edges)
+    found = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= max_bits]
     want = groups(len(fps), near)
     label = [found.get(f, f) for f in signed]
     assert len(set(zip(want, label))) == len(set(want)) == len(set(label))
