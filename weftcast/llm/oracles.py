@@ -35,7 +35,7 @@ windows AS (
 hot AS (
   SELECT row_id, b + min(i) - 1 AS b, b + max(i) - 1 + {WINDOW} AS e FROM windows
   WHERE list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: {TERMS}[length(w) - length(replace(w, c, '')) + 1])) <= most GROUP BY row_id, b, f),
-added AS (SELECT h.row_id, 3 AS rank, h.b, h.e FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.row_id = h.row_id AND s.b < h.e AND h.b < s.e)),
+added AS (SELECT h.row_id, 3 AS rank, h.b, h.e FROM hot h WHERE NOT EXISTS (SELECT 1 FROM base s WHERE s.row_id = h.row_id AND s.b <= h.b AND h.e <= s.e)),
 spans AS (SELECT row_id, rank, b, ['assign', 'access', 'hex', 'entropy'][rank + 1] || ':' || b || ':' || e AS s FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
 per AS (SELECT row_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
   coalesce(string_agg(s, ',' ORDER BY b, rank) FILTER (rank < 3), '') AS base, string_agg(s, ',' ORDER BY b, rank) AS spans FROM spans GROUP BY row_id)

@@ -37,6 +37,7 @@ ALLOWED = [
     "^[/_+=-]*([A-Za-z]+|[0-9]{1,10})([/_+=-]+([A-Za-z]+|[0-9]{1,10}))*[/_+=-]*$",
 ]
 STRIDE = 200  # windows scanned in one piece of a long candidate
+BLOCK = 1024  # code points of a text that redaction takes together
 UNIT = 1_000_000
 #: c * log2(c) in millionths for each count that a window can hold.
 TERMS = [round(UNIT * c * math.log2(c)) if c else 0 for c in range(WINDOW + 1)]
@@ -47,19 +48,43 @@ def bound(bits: float) -> int:
     return math.floor(UNIT * WINDOW * (math.log2(WINDOW) - bits))
 
 
+def bound_to(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, as lambdas work theirs out for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, combine, zero: Column) -> Column:
+    """For each of ``values`` what ``combine`` makes of those before it, ``zero`` for the first.
+
+    Blocks of about the root of the array's size are scanned each by itself,
+    then their results, so that no array grows by one element at a time for long.
+    """
+    none = F.array().cast("array<int>")
+
+    def scan(block: Column) -> Column:
+        start = F.struct(zero.alias("at"), none.alias("before"))
+        return F.aggregate(block, start, lambda s, x: F.struct(combine(s["at"], x).alias("at"), F.concat(s["before"], F.array(s["at"])).alias("before")))
+
+    def blocks(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: scan(F.slice(v, k * size + 1, size)))
+
+    def whole(scanned: Column) -> Column:
+        carried = scan(F.transform(scanned, lambda b: b["at"]))["before"]
+        return F.flatten(F.zip_with(scanned, carried, lambda b, c: F.transform(b["before"], lambda x: combine(c, x))))
+
+    return bound_to(values, lambda v: F.when(F.size(v) > 0, bound_to(blocks(v), whole)).otherwise(none))
+
+
 def located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>>: the leftmost non-overlapping matches, from the lengths of the pieces between them."""
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("gap"), f.alias("found")))
-    none = "array<struct<start:int,end:int,found:string>>"
 
-    def add(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + F.length(m["found"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), m["found"].alias("found")))).alias("spans"))
+    def place(found: Column) -> Column:
+        gaps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, f: F.struct(F.length(p).alias("gap"), F.length(f).alias("n"), f.alias("found")))
+        return bound_to(gaps, lambda g: F.zip_with(g, running(F.transform(g, lambda m: m["gap"] + m["n"]), lambda a, b: a + b, F.lit(0)), lambda m, at: F.struct((at + m["gap"]).alias("start"), (at + m["gap"] + m["n"]).alias("end"), m["found"].alias("found"))))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(none).alias("spans")), add, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(none))
+    return F.when(text.rlike(pattern), bound_to(found, place)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
 
 
 def times(text: Column, char: Column) -> Column:
@@ -106,27 +131,40 @@ def entropy_spans(candidates: Column) -> Column:
     return F.filter(F.transform(kept, scan), lambda s: s["start"].isNotNull())
 
 
-def secret_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``spans``: array<struct<start, rank, end, kind>> by start, then kind as listed.
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores until it clashes with no column."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
 
-    Null texts read as empty and have no spans; very long texts are scanned
-    whole; null or repeated ids keep their rows; no rows give no rows. All
-    columns of ``docs`` stay; one named spans is replaced. An entropy span that
-    overlaps a base span is left out, base spans always stay.
+def uncovered(spans: Column) -> Column:
+    """``spans`` in order, less each entropy span that a base span covers from its begin to its end."""
+    def sift(s: Column) -> Column:
+        reach = running(F.transform(s, lambda x: F.when(x["rank"] < 3, x["end"]).otherwise(0)), F.greatest, F.lit(0))
+        kept = F.zip_with(s, reach, lambda x, r: F.struct(x.alias("span"), ((x["rank"] < 3) | (r < x["end"])).alias("stays")))
+        return F.transform(F.filter(kept, lambda x: x["stays"]), lambda x: x["span"])
+
+    return bound_to(F.array_sort(spans), sift)
+
+
+def secret_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """``docs`` with column ``name``: array<struct<start, rank, end, kind>> by start, then kind as listed.
+
+    Null texts read as empty and have no spans; very long texts, and those of
+    very many matches, are scanned whole; null or repeated ids keep their rows;
+    no rows give no rows. All columns of ``docs`` stay; one called ``name`` is
+    replaced. Base spans always stay; an entropy span stays unless one base
+    span covers all of it.
     """
     text = whole_text()
-    ends = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
-    found = docs.withColumns({"_assign": located(text, ASSIGN), "_values": F.when(text.rlike(ASSIGN), ends), "_access": located(text, ACCESS), "_hex": located(text, HEX), "_candidates": located(text, CANDIDATE)})
     span = lambda k: lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("rank"), s["end"].alias("end"), F.lit(KINDS[k]).alias("kind"))
-    long_enough = F.filter(F.zip_with("_assign", "_values", lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(v).alias("n"))), lambda s: s["n"] >= MIN_ASSIGNED)
-    assign = F.transform(F.coalesce(long_enough, F.array().cast("array<struct<start:int,end:int,n:int>>")), span(0))
-    base = F.concat(assign, F.transform("_access", span(1)), F.transform("_hex", span(2)))
-    added = F.filter(entropy_spans(F.col("_candidates")), lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return (
-        found.withColumn("_base", base)
-        .withColumn("spans", F.array_sort(F.concat("_base", F.transform(added, span(3)))))
-        .drop("_assign", "_values", "_access", "_hex", "_candidates", "_base")
-    )
+    values = F.when(text.rlike(ASSIGN), F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))).otherwise(F.array().cast("array<string>"))
+    assigned = F.zip_with(located(text, ASSIGN), values, lambda s, v: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.length(v).alias("n")))
+    assign = F.transform(F.filter(assigned, lambda s: s["n"] >= MIN_ASSIGNED), span(0))
+    base = F.concat(assign, F.transform(located(text, ACCESS), span(1)), F.transform(located(text, HEX), span(2)))
+    added = bound_to(located(text, CANDIDATE), lambda c: F.transform(entropy_spans(c), span(3)))
+    return docs.withColumn(name, uncovered(F.concat(base, added)))
 
 
 def joined(spans: Column) -> Column:
@@ -134,20 +172,34 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def redacted(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark`` for each stretch of overlapping ``spans``, which are in order.
+
+    The text is cut into blocks once; what stays between two stretches comes from the blocks it touches.
+    """
+    def cut(blocks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        return F.substring(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), start % BLOCK + 1, end - start)
+
+    def assemble(blocks: Column, ends: Column) -> Column:
+        bare = F.zip_with(spans, ends, lambda s, at: F.struct(at.alias("at"), s["start"].alias("to")))
+        gaps = F.transform(F.filter(bare, lambda g: g["to"] >= g["at"]), lambda g: F.concat(cut(blocks, g["at"], g["to"]), F.lit(mark)))
+        return F.concat(F.array_join(gaps, ""), cut(blocks, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    ends = running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0))
+    return bound_to(blocks, lambda b: bound_to(ends, lambda e: assemble(b, e)))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each stretch of secret spans in ``text`` replaced by ``mark`` and n_chars, if there, counted anew.
 
-    Overlapping spans make one stretch. Texts without spans, null ones included, stay as they are.
+    Overlapping spans make one stretch. Texts without spans, null ones included,
+    stay as they are, and so do all other columns, whatever their names.
     """
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        piece = F.when(s["start"] >= state["at"], F.concat(gap, F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], piece).alias("out"))
-
-    rest = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
-    out = secret_spans(docs).withColumn("text", clean)
+    spans = free_name("spans", docs.columns)
+    hit = F.size(spans) > 0
+    out = secret_spans(docs, spans).withColumn("text", F.when(hit, redacted(F.col("text"), F.col(spans), mark)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop(spans)
