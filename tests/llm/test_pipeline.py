@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -108,3 +109,13 @@ def test_each_group_keeps_one_row_if_an_id_has_unlike_texts(spark, docs_of):
     kept = [(r.doc_id, r.text) for r in P.dedup_stage(spark, docs_of(given), SF).collect()]
     assert sorted(t for i, t in kept if i is not None) == sorted([a, b]) and {i for i, _ in kept} == {5, None}
     assert len(kept) == 3
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, docs_of):
+    docs = docs_of([(1, "same text here"), (1, "same text here"), (2, "password: hunter2hunter2 and more")])
+    docs = docs.withColumns({"_hash": F.lit("mine"), "spans": F.lit("ours"), "kept": F.create_map(F.lit("k"), F.col("doc_id"))})
+    for stage in (P.dedup_stage, P.secret_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r._hash, r.spans, r.kept["k"]) for r in out.collect()} == {(1, "mine", "ours", 1), (2, "mine", "ours", 2)}
+    assert P.dedup_stage(spark, docs, SF).count() == 2

@@ -65,6 +65,13 @@ def shared_buckets(df: DataFrame, name: str, column: str, buckets: int) -> DataF
     return table
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, with underscores until it clashes with no column."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import free_name, whole_text
 
 #: Fixed patterns of the base kinds, in the order that kinds are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -131,13 +131,6 @@ def entropy_spans(candidates: Column) -> Column:
     return F.filter(F.transform(kept, scan), lambda s: s["start"].isNotNull())
 
 
-def free_name(name: str, columns: list[str]) -> str:
-    """``name``, with underscores until it clashes with no column."""
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def uncovered(spans: Column) -> Column:
     """``spans`` in order, less each entropy span that a base span covers from its begin to its end."""
     def sift(s: Column) -> Column:
