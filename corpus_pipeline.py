@@ -28,13 +28,16 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     id has texts in several groups, each of them keeps its row of that id.
     """
     common.whole_texts(spark)
-    found = simhash.simhash_near_duplicates(docs).where("kept")
+    found = simhash.simhash_near_duplicates(docs, shingle=3, max_bits=2).where("kept")
     chosen = found.groupBy("root", "component_id").agg(F.min("text_hash").alias("h"), F.count(F.lit(1)).alias("rows"))
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    same = lambda c: rows["doc_id"].eqNullSafe(c["component_id"]) & (rows["_hash"] == c["h"])
+    name = common.free_name("_hash", docs.columns)
+    rows = docs.withColumn(name, F.xxhash64("text"))
+    same = lambda c: rows["doc_id"].eqNullSafe(c["component_id"]) & (rows[name] == c["h"])
     single, repeated = chosen.where("rows = 1"), chosen.where("rows > 1")
     once = rows.join(single, same(single), "left_semi").select(*docs.columns)
-    several = rows.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "_hash").agg(F.min(F.struct(*docs.columns)).alias("d")).select("d.*")
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+    first = F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed))
+    several = rows.join(repeated, same(repeated), "left_semi").groupBy("doc_id", name).agg(first.alias("d")).select("d.*")
     return once.unionByName(several)
 
 
