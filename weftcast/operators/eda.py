@@ -8,12 +8,17 @@ the panel, followed by tiny reshapes of the aggregate.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 from ..spec import PanelSpec
+from .accumulate import accumulated, float_rows, key_arrays
 
 
 def _stack(pairs: list[tuple[str, F.Column]], name: str = "feature", value: str = "value") -> F.Column:
@@ -146,25 +151,45 @@ def residual_histogram(preds: DataFrame, bins: int = 30, group=("entity", "model
 def residual_kde(preds: DataFrame, gridsize: int = 200, group=("entity", "model_key")) -> DataFrame:
     """#31: Gaussian KDE of residuals on a grid over [min, max] (Scott bandwidth).
 
-    h = n^(-1/5) * sample std.  The grid (gridsize points per group, fixed)
-    is equi-joined to the group's residuals: gridsize x n rows, linear in the
-    data, never pairs of residuals.
+    h = n^(-1/5) * sample std.  Each task adds the kernels of its residuals up
+    in one array over the group's grid, so a group leaves it as one row: no row
+    is made for a residual and a grid point.  Null residuals are left out;
+    groups without a spread (one residual, or all equal) have NULL densities.
     """
-    r = preds.select(*group, (F.col("actual") - F.col("predicted")).alias("residual"))
-    st = r.groupBy(*group).agg(F.min("residual").alias("mn"), F.max("residual").alias("mx"),
-                               F.count("residual").alias("n"), F.stddev_samp("residual").alias("sd"))
-    st = st.select("*", (F.pow(F.col("n").cast("double"), -0.2) * F.col("sd")).alias("h"))
-    grid = st.select(*group, "h", "n", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("grid_idx"),
-                     "mn", "mx")
-    grid = grid.select(*group, "h", "n", "grid_idx",
-                       (F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("grid_idx") / (gridsize - 1)).alias("x"))
-    u = F.try_divide(F.col("x") - F.col("residual"), F.col("h"))
-    k = F.exp(F.lit(-0.5) * u * u)
-    dens = (grid.join(r, list(group))
-                .groupBy(*group, "grid_idx", "x", "h")
-                .agg(F.sum(k).alias("ksum"), F.count(F.lit(1)).alias("n")))
-    return dens.select(*group, "grid_idx", "x",
-                       F.try_divide(F.col("ksum"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))).alias("density"))
+    keys = list(group)
+    r = preds.select(*keys, (F.col("actual") - F.col("predicted")).cast("double").alias("residual")).where("residual is not null")
+    st = r.groupBy(*keys).agg(F.min("residual").alias("mn"), F.max("residual").alias("mx"),
+                              F.count("residual").alias("n"), F.stddev_samp("residual").alias("sd"))
+    st = st.select(*keys, "mn", "mx", "n", (F.pow(F.col("n").cast("double"), -0.2) * F.col("sd")).alias("h"))
+    st = st.select(*[F.col(k).alias(f"st_{k}") for k in keys], "mn", "mx", "n", "h")
+    same = F.lit(True)  # null keys are a group as well
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"st_{k}"))
+    facts = [*keys, "mn", "mx", "n", "h"]
+    rows = r.join(broadcast_if_small(st), same).select(*facts, "residual")
+    schema = StructType([*[rows.schema[k] for k in facts], StructField("kernels", ArrayType(DoubleType()))])
+    steps = np.arange(gridsize, dtype=np.float64)
+
+    def kernels(batch: pa.RecordBatch, at: np.ndarray) -> np.ndarray:
+        low, high, h = (batch.column(c)[int(at[0])].as_py() for c in ("mn", "mx", "h"))
+        total = np.zeros(gridsize)
+        if not h:
+            return total
+        x, values = low + (high - low) * steps / (gridsize - 1), batch.column("residual").to_numpy()[at]
+        for i in range(0, len(values), 4096):
+            u = (x[:, None] - values[i:i + 4096]) / h
+            total += np.exp(-0.5 * u * u).sum(axis=1)
+        return total
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, states, types in accumulated(batches, facts, kernels, np.add, gridsize):
+            yield pa.RecordBatch.from_arrays([*key_arrays(found, types), float_rows(states)], [*facts, "kernels"])
+
+    x = F.col("mn") + (F.col("mx") - F.col("mn")) * F.col("grid_idx") / (gridsize - 1)
+    sums = (rows.mapInArrow(added, schema).select(*facts, F.posexplode("kernels").alias("grid_idx", "kernel"))
+                .groupBy(*facts, "grid_idx").agg(F.sum("kernel").alias("ksum")))
+    return sums.select(*keys, "grid_idx", x.alias("x"), F.try_divide(
+        F.col("ksum"), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi))).alias("density"))
 
 
 def scatter_limits(preds: DataFrame, group=("entity", "model_key")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,24 +22,35 @@ def validate_one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> N
             raise JoinValidationError(f"merge keys are not unique in {side} dataset")
 
 
+def _single(df: DataFrame, side: str) -> DataFrame:
+    """``df`` (with ``__n``, the rows of its key): a key found more than once fails the query when it runs."""
+    message = F.lit(f"merge keys are not unique in {side} dataset")
+    return df.where(F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("__n")
+
+
 def join_labels(features: DataFrame, labels: DataFrame, keys: list[str],
-                validate: bool = True) -> DataFrame:
+                validate: bool | str = True) -> DataFrame:
     """Left equi-join of feature rows to labels on ``keys`` (#15).
 
-    Feature rows without a label keep a NULL target.  Keys are NOT NULL in our
-    panels; NULL-safe matching (``eqNullSafe``) is used so a NULL key behaves
-    like pandas, which matches NULLs with each other.
+    Feature rows without a label keep a NULL target.  NULL keys match each
+    other, as in pandas: the join is on a struct of the keys, whose NULL
+    fields are equal.
+
+    ``validate=True`` raises at once if either side repeats a key, at the cost
+    of two jobs.  ``validate="plan"`` starts none: the rows of a key are
+    counted where the join has brought them together anyway, and the query
+    fails when it runs.  Falsy: not checked.
     """
-    if validate:
+    if validate is True:
         validate_one_to_one(features, labels, keys)
-    lab = labels.select(*[F.col(k).alias(f"__r_{k}") for k in keys],
-                        *[c for c in labels.columns if c not in keys])
-    cond = None
-    for k in keys:
-        c = features[k].eqNullSafe(lab[f"__r_{k}"])
-        cond = c if cond is None else cond & c
-    out = features.join(lab, cond, "left")
-    return out.drop(*[f"__r_{k}" for k in keys])
+    key, values = F.struct(*[F.col(k).alias(k) for k in keys]), [c for c in labels.columns if c not in keys]
+    left = features.select("*", key.alias("__key"))
+    right = labels.select(key.alias("__key"), *values)
+    if validate == "plan":
+        same = Window.partitionBy("__key")
+        left = _single(left.select("*", F.count(F.lit(1)).over(same).alias("__n")), "left")
+        right = _single(right.select("*", F.count(F.lit(1)).over(same).alias("__n")), "right")
+    return left.join(right, "__key", "left").drop("__key")
 
 
 def join_key_violations(features: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,13 +1,13 @@
 """Linear estimators (#68-#71), per entity, and the names of all eight.
 
 Linear family (OLS, ridge, lasso, elastic net)
-    Fitted from sufficient statistics.  One ``groupBy(entity).agg`` computes
-    n, sum(x), sum(y), sum(x x^T) and sum(x y) with partial (map-side)
-    aggregation, so a hot entity holding a third of all rows is combined
-    before the shuffle and raw rows never meet in one task.  Each entity's
-    p x p Gram matrix is then solved in ``applyInPandas`` on the *aggregate*
-    (one row per entity): closed form for OLS / ridge, covariance-update
-    coordinate descent for lasso / elastic net (scikit-learn objectives).
+    Fitted from centred moments (``accumulate.centred_moments``): tasks
+    measure their rows of each entity and the parts are merged, so a hot entity
+    holding a third of all rows is combined before the shuffle and raw rows
+    never meet in one task.  Each entity's p x p system is then solved on
+    that *aggregate* (one row per entity): closed form for OLS / ridge,
+    covariance-update coordinate descent for lasso / elastic net
+    (scikit-learn objectives).
 
 The tree family is in ``forest``.
 """
@@ -15,22 +15,16 @@ The tree family is in ``forest``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from ..session import broadcast_if_small
-
-try:  # ship this module's solver helpers inside the UDF closure (no package install on executors)
-    import sys as _sys
-
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover
-    pass
+from .accumulate import centred_moments, float_rows, moment_columns
 
 # The keys of the eight models.
 LINEAR_MODELS = ["linear_regression", "ridge", "lasso", "elastic_net"]
@@ -52,20 +46,15 @@ def is_tunable(key: str) -> bool:
 # --------------------------------------------------------------------------- #
 # linear family from sufficient statistics
 # --------------------------------------------------------------------------- #
-def _pairs(p: int):
-    return [(i, j) for i in range(p) for j in range(i, p)]
+def gram_statistics(df: DataFrame, keys: list[str], cols: list[str], y: str) -> DataFrame:
+    """One row per key with the centred moments of ``cols`` and ``y`` (one pass, merged).
 
-
-def gram_statistics(df: DataFrame, entity: str, cols: list[str], y: str) -> DataFrame:
-    """One row per entity with n, sums, and the upper triangle of X^T X (one aggregation)."""
-    p = len(cols)
-    xs = [F.col(c).cast("double") for c in cols]
-    yy = F.col(y).cast("double")
-    aggs = [F.count(F.lit(1)).cast("double").alias("n"), F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy")]
-    aggs += [F.sum(x).alias(f"sx_{i}") for i, x in enumerate(xs)]
-    aggs += [F.sum(x * yy).alias(f"sxy_{i}") for i, x in enumerate(xs)]
-    aggs += [F.sum(xs[i] * xs[j]).alias(f"sxx_{i}_{j}") for i, j in _pairs(p)]
-    return df.groupBy(entity).agg(*aggs)
+    A missing predictor counts 0, its training mean on the scaled axis, as in
+    scoring; rows without a target are left out.
+    """
+    xs = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x_{i}") for i, c in enumerate(cols)]
+    rows = df.select(*keys, *xs, F.col(y).cast("double").alias("x_y"))
+    return centred_moments(rows, keys, [*[f"x_{i}" for i in range(len(cols))], "x_y"])
 
 
 def _soft(v: float, t: float) -> float:
@@ -93,12 +82,11 @@ def coordinate_descent(C: np.ndarray, c: np.ndarray, l1: float, l2: float,
     return w
 
 
-def solve_linear(n: float, sx, sy: float, sxx, sxy, model: str, params: dict) -> tuple[float, np.ndarray]:
-    """Intercept and coefficients of one linear model from centred moments."""
-    xm, ym = sx / n, sy / n
-    C = sxx / n - np.outer(xm, xm)
-    c = sxy / n - xm * ym
-    p = len(sx)
+def solve_linear(moments: np.ndarray, model: str, params: dict) -> tuple[float, np.ndarray]:
+    """Intercept and coefficients of one linear model from centred moments, the target's last."""
+    p = moment_columns(moments) - 1
+    n, mean, cross = moments[0], moments[1:p + 2], moments[p + 2:].reshape(p + 1, p + 1)
+    C, c = cross[:p, :p] / n, cross[:p, p] / n
     if model == "linear_regression":
         w = np.linalg.lstsq(C, c, rcond=None)[0]
     elif model == "ridge":
@@ -111,11 +99,7 @@ def solve_linear(n: float, sx, sy: float, sxx, sxy, model: str, params: dict) ->
         w = coordinate_descent(C, c, a * r, a * (1.0 - r), params.get("max_iter", 50000))
     else:
         raise KeyError(model)
-    return float(ym - xm @ w), w
-
-
-COEF_SCHEMA = StructType([StructField("entity", StringType()), StructField("model_key", StringType()),
-                          StructField("intercept", DoubleType()), StructField("coef", ArrayType(DoubleType()))])
+    return float(mean[p] - mean[:p] @ w), w
 
 
 def fit_linear_family(df: DataFrame, entity: str, cols: list[str], y: str,
@@ -127,34 +111,23 @@ def fit_linear_family(df: DataFrame, entity: str, cols: list[str], y: str,
     still from one aggregation.
     """
     params = {**LINEAR_PARAMS, **(params or {})}
-    p = len(cols)
-    keys = [*group_cols, entity]
-    if group_cols:
-        key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys])
-        stats = gram_statistics(df.withColumn("__key", key), "__key", cols, y)
-    else:
-        stats = gram_statistics(df, entity, cols, y).withColumnRenamed(entity, "__key")
-    models = list(models)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            n = float(row["n"])
-            sx = np.array([row[f"sx_{i}"] for i in range(p)], dtype=float)
-            sxy = np.array([row[f"sxy_{i}"] for i in range(p)], dtype=float)
-            sxx = np.zeros((p, p))
-            for i, j in _pairs(p):
-                sxx[i, j] = sxx[j, i] = row[f"sxx_{i}_{j}"]
-            for m in models:
-                b, w = solve_linear(n, sx, float(row["sy"]), sxx, sxy, m, params.get(m, {}))
-                out.append((row["__key"], m, b, [float(v) for v in w]))
-        return pd.DataFrame(out, columns=["entity", "model_key", "intercept", "coef"])
-
-    coefs = stats.groupBy("__key").applyInPandas(solve, COEF_SCHEMA)
-    if group_cols:
-        parts = F.split(F.col("entity"), "\u0001")
-        coefs = coefs.select(*[parts[i].alias(k) for i, k in enumerate(keys)], "model_key", "intercept", "coef")
-    return coefs
+    keys, models = [*group_cols, entity], list(models)
+    stats = gram_statistics(df, keys, cols, y)
+    schema = StructType([*[stats.schema[k] for k in keys], StructField("model_key", StringType()),
+                         StructField("intercept", DoubleType()), StructField("coef", ArrayType(DoubleType()))])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = batch.slice(row, 1)
+                moments = one.column("moments").flatten().to_numpy()
+                solved = [solve_linear(moments, m, params.get(m, {})) for m in models]
+                yield pa.RecordBatch.from_arrays(
+                    [*[one.column(k).take(pa.array([0] * len(models))) for k in keys], pa.array(models, pa.string()),
+                     pa.array([b for b, _ in solved]), float_rows([w for _, w in solved])],
+                    [*keys, "model_key", "intercept", "coef"])
+
+    return stats.mapInArrow(solve, schema)
 
 
 def predict_linear(df: DataFrame, coefs: DataFrame, entity: str, cols: list[str],

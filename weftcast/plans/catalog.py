@@ -93,6 +93,13 @@ def q_split_by_entity(spark, sf):
     return C.split_by_entity(P.scan_panel(spark, sf), SPEC, ["AUTOMOBILE", "MACHINERY"])
 
 
+@query("read_panel", Q.with_ctes(*Q.PANEL_CTES, body=sel_sql(RAW_F, PANEL_COLS, "weekly_panel")))
+def q_read_panel(spark, sf):
+    """#1, #15: the panel of train features, their labels and test features, as three sources with keys checked in the plan."""
+    features, labels = P.panel_features(spark, sf), P.panel_labels(spark, sf)
+    return P.read_panel(features.where("split = 'train'"), labels, features.where("split = 'test'"))
+
+
 @query("join_labels", Q.with_ctes(*Q.PANEL_CTES, body=(
     "SELECT f.entity, f.year, f.weekofyear, f.period, f.split, l.target FROM "
     "(SELECT entity, year, weekofyear, period, split FROM weekly_panel) f LEFT JOIN "
@@ -102,7 +109,7 @@ def q_join_labels(spark, sf):
     """#15: validated one-to-one left join of feature rows to labels."""
     feats = P.panel_features(spark, sf).select("entity", "year", "weekofyear", "period", "split")
     labels = P.panel_labels(spark, sf)
-    return J.join_labels(feats, labels, ["entity", "year", "weekofyear"], validate=True)
+    return J.join_labels(feats, labels, ["entity", "year", "weekofyear"], validate="plan")
 
 
 @query("join_key_violations", Q.with_ctes(*Q.PANEL_CTES, body=(
@@ -780,11 +787,9 @@ def _signal_frame(spark, sf):
 
 
 def _signal_coefs(sig):
-    fit = sig.filter(F.col("role") == "fit").withColumn("entity_signal", F.concat_ws("|", "entity", "signal"))
-    co = MD.fit_linear_family(fit, "entity_signal", ["x"], "y", models=("linear_regression",))
-    parts = F.split(F.col("entity"), "\\|")
-    return co.select(parts[0].alias("entity"), parts[1].alias("signal"), "model_key", "intercept",
-                     F.col("coef")[0].alias("slope"))
+    fit = sig.filter(F.col("role") == "fit")
+    co = MD.fit_linear_family(fit, "entity", ["x"], "y", models=("linear_regression",), group_cols=("signal",))
+    return co.select("entity", "signal", "model_key", "intercept", F.col("coef")[0].alias("slope"))
 
 
 def _signal_preds(spark, sf):

@@ -82,3 +82,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 def engineered_panel(spark: SparkSession, sf_dir: str, autoregressive: bool = False):
     """Full reference feature build on the weekly panel: (frame, feature names, case names)."""
     return engineer(cleaned_panel(spark, sf_dir), SPEC, autoregressive=autoregressive)
+
+
+def engineered(panel: DataFrame, autoregressive: bool = False):
+    """The same build on any panel with the column names of ``SPEC`` (``sources.panels.standard_panel``)."""
+    return engineer(impute_ffill_bfill(panel.repartition("entity"), SPEC), SPEC, autoregressive=autoregressive)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +20,8 @@ from ..operators import forest
 from ..operators import metrics as M
 from ..operators import models as MD
 from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources.panels import standard_panel
+from ..spec import PanelSpec
 from . import flagship as FL
 from . import modelling as ML
 
@@ -94,16 +97,35 @@ def run_forecast(spark: SparkSession, sf_dir: str, autoregressive: bool = False,
     The tree models named in ``tune`` are searched for, the others have their defaults. With ``output_dir`` all reports, predictions, the submission and all fitted models are written there.
     """
     cfg = cfg or QUERY_CFG
+    return run_stacks(stack_for(spark, sf_dir, autoregressive, False, cfg),
+                      lambda: stack_for(spark, sf_dir, autoregressive, True, cfg), autoregressive, keys, cfg, tune, output_dir)
+
+
+def run_panel(panel: DataFrame, spec: PanelSpec = FL.SPEC, autoregressive: bool = False, keys: list[str] | None = None,
+              cfg: ML.RunConfig | None = None, tune=tuple(MD.TREE_MODELS), output_dir: str | None = None,
+              redundant: tuple = ()) -> RunResult:
+    """#83 / #84 on a panel of one's own (``sources.panels.read_panel``), whatever its columns are called.
+
+    Nothing is memoised: the engineered panel is written to the checkpoint folder and both stacks come from it.
+    """
+    cfg = cfg or QUERY_CFG
+    eng, names, case = FL.engineered(standard_panel(panel, spec, redundant), autoregressive)
+    eng = cut_lineage(eng)
+    return run_stacks(ML.build_stack(eng, names, case, cfg, full_train=False),
+                      lambda: ML.build_stack(eng, names, case, cfg, full_train=True), autoregressive, keys, cfg, tune, output_dir)
+
+
+def run_stacks(stack: ML.Stack, full_stack: Callable[[], ML.Stack], autoregressive: bool, keys: list[str] | None,
+               cfg: ML.RunConfig, tune: tuple, output_dir: str | None) -> RunResult:
+    """A run on the stack of the hold-out split and that of all train rows, which is built once the first is evaluated."""
     keys = keys or MD.ALL_MODELS
-    stack = stack_for(spark, sf_dir, autoregressive, False, cfg)
     preds, params, models, imp = evaluate(stack, keys, cfg, tune)
     scored = M.forecast_metrics(preds)
     metrics = M.metrics_table(scored, tuple(tune), extra=("n",))
     ranked = M.rank_models(metrics, "mae")
     combined = M.combined_scores(preds)
     best = cut_lineage(M.best_model_per_entity(metrics))
-    full = stack_for(spark, sf_dir, autoregressive, True, cfg)
-    submission = (recursive_submission if autoregressive else ML.forecast_direct)(full, best, cfg, tune)
+    submission = (recursive_submission if autoregressive else ML.forecast_direct)(full_stack(), best, cfg, tune)
     lin = [k for k in keys if k in MD.LINEAR_MODELS]
     coefs = MD.fit_linear_family(stack.frame.filter(F.col("role") == "fit"), "entity", stack.slots, "y_t", lin) if lin else None
     res = RunResult(preds, metrics, ranked, combined, best, submission, imp, params, stored_models(coefs, models))

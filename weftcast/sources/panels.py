@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import finite_or_null
+from ..operators.joins import join_labels
 from ..session import broadcast_if_small
-from ..spec import PanelSpec
+from ..spec import PanelSpec, feature_columns, numeric_columns
 from .tables import read_table
 
 PANEL_SPEC = PanelSpec(entity="entity", period="period", target="target",
@@ -122,3 +123,44 @@ def daily_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[finite_or_null(c).alias(c) for c in DAILY_FEATURES],
         F.when(F.col("period") < F.lit(DAILY_TEST_FROM), F.col("target")).alias("target"),
         _split_tag("period", DAILY_TEST_FROM).alias("split"))
+
+
+# --------------------------------------------------------------------------- #
+# panels of one's own
+# --------------------------------------------------------------------------- #
+def read_panel(features: DataFrame, labels: DataFrame, test: DataFrame, spec: PanelSpec = PANEL_SPEC) -> DataFrame:
+    """One panel of feature rows, their labels and test rows, each from a source of its own.
+
+    Labels join on the entity and ``spec.extra_keys`` (the period, if there are
+    none); a key that repeats on either side fails the query, a feature row
+    without a label keeps a NULL target.  Test rows have none; a predictor that
+    they lack is NULL there.  A ``spec.target`` or ``spec.split`` column of the feature or
+    test rows is not read.
+    """
+    keys = [spec.entity, *(spec.extra_keys or (spec.period,))]
+    period = F.to_date(spec.period).alias(spec.period)
+
+    def rows(df: DataFrame) -> DataFrame:
+        skip = {spec.target, spec.split}
+        return df.select(*[period if c == spec.period else F.col(c) for c in df.columns if c not in skip])
+
+    known = labels.select(*[period if k == spec.period else F.col(k) for k in keys], spec.target)
+    train = join_labels(rows(features), known, keys, validate="plan")
+    train = train.select("*", F.lit("train").alias(spec.split))
+    return train.unionByName(rows(test).select("*", F.lit("test").alias(spec.split)), allowMissingColumns=True)
+
+
+def standard_panel(panel: DataFrame, spec: PanelSpec, redundant: tuple = ()) -> DataFrame:
+    """``panel`` with the column names of ``PANEL_SPEC``, its numeric predictors only, and those named ``redundant`` dropped.
+
+    Year and week of year come from the first two extra keys, or else from the
+    period (ISO week).
+    """
+    keep = [c for c in numeric_columns(panel, feature_columns(panel, spec)) if c not in redundant]
+    period = F.to_date(spec.period)
+    year, week = ([F.col(k) for k in spec.extra_keys[:2]] if len(spec.extra_keys) >= 2
+                  else [F.expr(f"extract(YEAROFWEEK FROM to_date(`{spec.period}`))"), F.weekofyear(period)])
+    return panel.select(F.col(spec.entity).cast("string").alias("entity"), period.alias("period"),
+                        year.cast("int").alias("year"), week.cast("int").alias("weekofyear"),
+                        *[finite_or_null(F.col(c).cast("double")).alias(c) for c in keep],
+                        F.col(spec.target).alias("target"), F.col(spec.split).alias("split"))
