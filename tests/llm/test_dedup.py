@@ -171,11 +171,45 @@ def test_passages_match_the_whole_alignment(spark):
     for n, doc in enumerate(docs):
         for m in {n % len(items), (n * 7 + 3) % len(items)}:
             item = decontam.normal(items[m][1])
-            k = min(int(len(item) * decontam.EDITS), len(item) // decontam.Q - 1)
+            k = int(len(item) * decontam.EDITS)
             d = semi_global(decontam.normal(doc), item)
             assert got.get((n, items[m][0])) == (d if d <= k else None)
 
 
+def test_decontamination_budget_of_every_length():
+    """Passages of 1 to 45 characters, with as many edits as the budget and one more, against the whole alignment."""
+    rnd = random.Random(11)
+    items = [(n, "".join(rnd.choice("abcdefgh ") for _ in range(n)).replace(" ", "x")) for n in range(1, 46)]
+    docs = []
+    for _, item in items:
+        for edits in (int(len(item) * decontam.EDITS), int(len(item) * decontam.EDITS) + 1):
+            text = list(item)
+            for at in rnd.sample(range(len(text)), min(edits, len(text))):
+                text[at] = rnd.choice(["", "z", text[at] + "q"])
+            docs.append("".join(rnd.choice("mnop") for _ in range(30)) + "".join(text) + "rstu" * 5)
+    got = decontam.find_leaks(docs, decontam.index_passages(items))
+    for d, doc in enumerate(docs):
+        for n, item in items:
+            least = semi_global(doc, item)
+            assert got.get((d, n)) == (least if least <= int(n * decontam.EDITS) else None)
+
+
+def test_decontamination_of_repetitive_and_long_texts(monkeypatch):
+    import tracemalloc
+    benchmark = decontam.index_passages([(1, "a" * 200), (2, "the quick brown fox jumps over the lazy dog again and again")])
+    whole = ["a" * 60000 + " " + "b" * 10 + "the quick brown fox jumps over the lazy dog again and again" + "c" * 900, "a" * 300, None, "", "a" * 150]
+    tracemalloc.start()
+    once = decontam.find_leaks(whole, benchmark)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert once == {(0, 1): 0, (0, 2): 0, (1, 1): 0}
+    for slice_chars, postings in ((97, 1 << 22), (1000, 512)):  # windows and counts in parts find the same
+        monkeypatch.setattr(decontam, "SLICE_CHARS", slice_chars)
+        monkeypatch.setattr(decontam, "POSTINGS", postings)
+        short = [whole[0][-1000:], *whole[1:]]
+        assert decontam.find_leaks(short, benchmark) == {(0, 2): 0, (1, 1): 0}
+
+
 def test_exact_passages_of_the_query(spark):
     items = [(r.item_id, decontam.normal(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     texts = [(r.doc_id, decontam.normal(r.text)) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]

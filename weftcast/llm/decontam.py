@@ -5,6 +5,10 @@ L + 1 - q * (k + 1) of its q-grams with it, on diagonals (text position minus
 passage position) at most k apart. Shared q-grams are counted in overlapping
 bands of diagonals, regions that reach the bound are kept, and a banded alignment
 of the whole passage verifies each.
+
+The grams of a passage are as long as its own budget allows: q characters, or
+fewer where the bound would fall below one (lengths such as 10 to 15 at q = 8 and a budget of a
+tenth). No budget is cut; passages of one gram length make one index.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 Q = 8
 EDITS = 0.1  # edit budget as a share of a passage's length
 BLOCK_CHARS = 8 << 20  # benchmark text that one pass holds: bounds what is sent to the tasks
-SLICE_CHARS = 1 << 20  # document text handled at once
+SLICE_CHARS = 1 << 20  # document text handled at once; longer texts go in overlapping windows
+POSTINGS = 1 << 22  # shared q-grams counted at once
 TABLE_BITS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 END = "\U0010ffff"
@@ -53,8 +58,9 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Passages:
-    """Passages of a benchmark with their q-grams: sorted hashes and, for each, the passages and positions it is found at."""
+    """Passages with grams of ``q`` characters: sorted hashes and, for each, the passages and positions it is found at."""
 
+    q: int
     ids: list
     codes: list[np.ndarray]
     budget: np.ndarray
@@ -65,6 +71,17 @@ class Passages:
     item: np.ndarray
     position: np.ndarray
     table: np.ndarray
+
+    def reach(self) -> int:
+        """No passage is found in a stretch longer than this."""
+        return int(max(len(c) for c in self.codes) + self.budget.max())
+
+
+@dataclass
+class Benchmark:
+    """An index for each gram length, and the passages that go by as they are: those of one to ``q`` - 1 characters without a budget."""
+
+    indexes: list[Passages]
     short: list[tuple[int, str]]
 
 
@@ -72,21 +89,31 @@ def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes ^ (hashes >> np.uint64(29))) * BASE >> np.uint64(64 - TABLE_BITS)
 
 
-def index_passages(rows: list[tuple[int, str]], q: int = Q, edits: float = EDITS) -> Passages:
-    """Passages shorter than ``q`` characters have no q-gram and are searched as they are; empty ones are left out."""
-    texts = [(i, normal(t)) for i, t in rows]
-    long = [(i, points(t)) for i, t in texts if len(t) >= q]
-    length = np.array([len(c) for _, c in long], np.int64)
-    budget = np.minimum((length * edits).astype(np.int64), length // q - 1)
-    grams = [gram_hashes(c, q) for _, c in long]
-    item = np.repeat(np.arange(len(long)), [len(g) for g in grams])
-    position = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])
-    every = np.concatenate([np.zeros(0, np.uint64), *grams])
+def index_passages(rows: list[tuple[int, str]], q: int = Q, edits: float = EDITS) -> Benchmark:
+    """Passages without a budget that are shorter than ``q`` are searched as they are; empty ones are left out."""
+    by_length: dict[int, list] = {}
+    short = []
+    for i, raw in rows:
+        text = normal(raw)
+        budget = min(int(len(text) * edits), len(text) - 1)  # a budget of the whole length would find a passage anywhere
+        if text and not budget and len(text) < q:
+            short.append((i, text))
+        elif text:
+            by_length.setdefault(min(q, len(text) // (budget + 1)), []).append((i, points(text), budget))
+    return Benchmark([index_grams(part, size) for size, part in sorted(by_length.items())], short)
+
+
+def index_grams(part: list[tuple[int, np.ndarray, int]], q: int) -> Passages:
+    length, budget = np.array([len(c) for _, c, _ in part]), np.array([k for _, _, k in part], np.int64)
+    grams = [gram_hashes(c, q) for _, c, _ in part]
+    item = np.repeat(np.arange(len(part)), [len(g) for g in grams])
+    position = np.concatenate([np.arange(len(g)) for g in grams])
+    every = np.concatenate(grams)
     order = np.argsort(every, kind="stable")
     hashes, starts, sizes = np.unique(every[order], return_index=True, return_counts=True)
     table = np.zeros(1 << TABLE_BITS, bool)
     table[slots(hashes)] = True
-    return Passages([i for i, _ in long], [c for _, c in long], budget, length + 1 - q * (budget + 1), hashes, starts, sizes, item[order], position[order], table, [(i, t) for i, t in texts if 0 < len(t) < q])
+    return Passages(q, [i for i, _, _ in part], [c for _, c, _ in part], budget, length + 1 - q * (budget + 1), hashes, starts, sizes, item[order], position[order], table)
 
 
 def aligned(text: np.ndarray, at: np.ndarray, limit: np.ndarray, passages: Passages, item: np.ndarray, width: int) -> np.ndarray:
@@ -118,65 +145,102 @@ def aligned(text: np.ndarray, at: np.ndarray, limit: np.ndarray, passages: Passa
     return best
 
 
-def find_leaks(texts: list[str | None], passages: Passages, q: int = Q) -> dict[tuple[int, object], int]:
+def added_up(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and their summed counts."""
+    low, high = (int(keys.min()), int(keys.max())) if len(keys) else (0, 0)
+    if high - low < 2 * len(keys):
+        total = np.bincount(keys - low, weights=counts, minlength=1)
+        at = np.nonzero(total)[0]
+        return at + low, total[at].astype(np.int64)
+    found, place = np.unique(keys, return_inverse=True)
+    return found, np.bincount(place, weights=counts, minlength=1)[:len(found)].astype(np.int64)
+
+
+def full_bands(hit: np.ndarray, gram: np.ndarray, doc: np.ndarray, starts: np.ndarray, size: int, passages: Passages) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, passage, band of diagonals) of the bands with enough shared q-grams, counted ``POSTINGS`` at a time."""
+    sizes = passages.sizes[gram]
+    cuts = np.nonzero(np.diff(np.cumsum(sizes) // POSTINGS))[0] + 1
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in np.split(np.arange(len(hit)), cuts):
+        many = sizes[part]
+        begin = np.cumsum(many) - many
+        posting = np.repeat(passages.starts[gram[part]] - begin, many) + np.arange(many.sum())
+        text, item = np.repeat(doc[part], many), passages.item[posting]
+        diagonal = np.repeat(hit[part], many) - passages.position[posting] - starts[text] + size
+        bands = diagonal // (passages.budget[item] + 1)  # a band covers two such steps, so each diagonal lies in two bands
+        key, count = added_up((text * len(passages.ids) + item) * (4 * size) + bands)
+        key, count = added_up(np.concatenate([key, key - 1]), np.concatenate([count, count]))
+        keys, counts = (key, count) if not len(keys) else added_up(np.concatenate([keys, key]), np.concatenate([counts, count]))
+    spot, band = np.divmod(keys, 4 * size)
+    text, item = np.divmod(spot, len(passages.ids))
+    keep = counts >= passages.need[item]
+    return text[keep], item[keep], band[keep]
+
+
+def slice_leaks(texts: list[str], passages: Passages) -> Iterator[tuple[int, object, int]]:
+    """(place in ``texts``, item id, edits) of each region within its passage's budget."""
+    starts = np.cumsum([0] + [len(t) + 1 for t in texts])
+    text = points(END.join(texts) + END)
+    hashes = gram_hashes(text, passages.q)
+    hit = np.nonzero(passages.table[slots(hashes)])[0]
+    gram = np.searchsorted(passages.hashes, hashes[hit])
+    real = passages.hashes[np.minimum(gram, len(passages.hashes) - 1)] == hashes[hit]
+    hit, gram = hit[real], gram[real]
+    doc = np.searchsorted(starts, hit, side="right") - 1
+    enough = np.bincount(doc, minlength=len(texts)) >= passages.need.min()
+    hit, gram, doc = hit[enough[doc]], gram[enough[doc]], doc[enough[doc]]
+    doc, item, band = full_bands(hit, gram, doc, starts, len(text), passages)
+    k = passages.budget[item]
+    at = band * (k + 1) - len(text) + starts[doc]
+    order = np.argsort([len(passages.codes[i]) for i in item], kind="stable")
+    for part in np.array_split(order, max(1, len(order) // 64)):
+        if len(part):
+            limit = np.stack([starts[doc[part]], starts[doc[part] + 1] - 1], axis=1)
+            edits = aligned(text, at[part], limit, passages, item[part], int(2 * k[part].max() + 2))
+            for d, i, e, most in zip(doc[part], item[part], edits, k[part]):
+                if e <= most:
+                    yield int(d), passages.ids[i], int(e)
+
+
+def windows(text: str, reach: int) -> Iterator[str]:
+    """The text in parts of ``SLICE_CHARS`` characters, each with the next ``reach``: any stretch of so many lies in one part."""
+    for at in range(0, max(1, len(text) - reach), SLICE_CHARS):
+        yield text[at:at + SLICE_CHARS + reach]
+
+
+def find_leaks(texts: list[str | None], benchmark: Benchmark) -> dict[tuple[int, object], int]:
     """(row of ``texts``, item id) to the fewest edits, for passages within their budget."""
     found: dict[tuple[int, object], int] = {}
-    batch, size = [], 0
+    reach = max((p.reach() for p in benchmark.indexes), default=0)
+    rows: list[int] = []
+    batch: list[str] = []
 
     def flush() -> None:
-        if not batch:
-            return
-        starts = np.cumsum([0] + [len(t) + 1 for _, t in batch])
-        text = points(END.join(t for _, t in batch) + END)
-        hashes = gram_hashes(text, q)
-        hit = np.nonzero(passages.table[slots(hashes)])[0]
-        gram = np.searchsorted(passages.hashes, hashes[hit])
-        real = passages.hashes[np.minimum(gram, len(passages.hashes) - 1)] == hashes[hit]
-        hit, gram = hit[real], gram[real]
-        doc = np.searchsorted(starts, hit, side="right") - 1
-        enough = np.bincount(doc, minlength=len(batch)) >= passages.need.min()
-        hit, gram, doc = hit[enough[doc]], gram[enough[doc]], doc[enough[doc]]
-        sizes = passages.sizes[gram]
-        begin = np.cumsum(sizes) - sizes
-        posting = np.repeat(passages.starts[gram] - begin, sizes) + np.arange(sizes.sum())
-        doc, item = np.repeat(doc, sizes), passages.item[posting]
-        diagonal = np.repeat(hit, sizes) - passages.position[posting] - starts[doc] + len(text)
-        bands = diagonal // (passages.budget[item] + 1)  # a band covers two such steps, so each diagonal lies in two bands
-        key = (doc * len(passages.ids) + item) * (4 * len(text)) + bands
-        key, count = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        doc, band = np.divmod(key, 4 * len(text))
-        doc, item = np.divmod(doc, len(passages.ids))
-        keep = count >= passages.need[item]
-        doc, item, band = doc[keep], item[keep], band[keep]
-        k = passages.budget[item]
-        at = band * (k + 1) - len(text) + starts[doc]
-        order = np.argsort([len(passages.codes[i]) for i in item], kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 64)):
-            if len(part):
-                limit = np.stack([starts[doc[part]], starts[doc[part] + 1] - 1], axis=1)
-                edits = aligned(text, at[part], limit, passages, item[part], int(2 * k[part].max() + 2))
-                for d, i, e, most in zip(doc[part], item[part], edits, k[part]):
-                    if e <= most:
-                        spot = (batch[d][0], passages.ids[i])
-                        found[spot] = min(int(e), found.get(spot, int(e)))
+        for passages in benchmark.indexes if batch else ():
+            for place, item, edits in slice_leaks(batch, passages):
+                spot = (rows[place], item)
+                found[spot] = min(edits, found.get(spot, edits))
+        rows.clear()
         batch.clear()
 
+    size = 0
     for row, raw in enumerate(texts):
         text = normal(raw)
-        for i, short in passages.short:
+        for i, short in benchmark.short:
             if short in text:
                 found[row, i] = 0
-        if len(text) >= q and passages.ids:
-            batch.append((row, text))
-            size += len(text)
-        if size >= SLICE_CHARS:
-            flush()
-            size = 0
+        for part in windows(text, reach) if text and benchmark.indexes else ():
+            rows.append(row)
+            batch.append(part)
+            size += len(part)
+            if size >= SLICE_CHARS:
+                flush()
+                size = 0
     flush()
     return found
 
 
-def passage_blocks(benchmark: DataFrame, q: int, edits: float, block_chars: int) -> Iterator[Passages]:
+def passage_blocks(benchmark: DataFrame, q: int, edits: float, block_chars: int) -> Iterator[Benchmark]:
     """The benchmark's passages, in blocks of about ``block_chars`` characters: one pass over the documents each."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -190,9 +254,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: fl
     """(doc_id, item_id, edits): each passage that a document holds within the passage's edit budget.
 
     Compared are texts in lower case with white space folded. The budget is
-    ``edits`` of a passage's length, and at most what leaves the lemma one
-    shared q-gram. Null and empty texts and passages hold and match nothing;
-    passages below ``q`` characters match exactly; repeated rows of a document
+    ``edits`` of a passage's length, rounded down, whatever the length. Null and empty texts and passages hold and match nothing;
+    passages too short for an edit match exactly; repeated rows of a document
     or item give one row with the fewest edits; passages without id are left
     out; no documents or no passages give no rows. Other columns are not read.
     """
@@ -202,7 +265,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: fl
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, leaks = batch.column(0).to_pylist(), find_leaks(batch.column(1).to_pylist(), shared.value, q)
+                ids, leaks = batch.column(0).to_pylist(), find_leaks(batch.column(1).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array([ids[r] for r, _ in leaks], pa.int64()), pa.array([i for _, i in leaks], pa.int64()), pa.array(list(leaks.values()), pa.int32())], ["doc_id", "item_id", "edits"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits int")
@@ -220,7 +283,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: floa
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[r for r, _ in find_leaks(batch.column(at).to_pylist(), shared.value, q)]] = False
+                keep[[r for r, _ in find_leaks(batch.column(at).to_pylist(), shared.value)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
