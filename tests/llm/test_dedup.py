@@ -125,6 +125,30 @@ def test_embeddings_match_all_pairs(spark):
     assert rest == {**{i: (0, i, True) for i in range(-6, 0)}, None: (0, None, True), -8: (1, -9, False), -9: (1, -9, True)}
 
 
+def leaves_of(spark, n, groups_of):
+    """Chunks of n unit vectors in tight groups of ``groups_of`` around directions of their own."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(n // groups_of, 6))
+    points = cover_tree.unit(np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), groups_of, axis=0) + rng.normal(size=(n // groups_of * groups_of, 6)) * 0.002)
+    rows = spark.createDataFrame([(i, 1, "6", p.tobytes()) for i, p in enumerate(points)], cover_tree.CELLED)
+    return cover_tree.split_cells(rows, 8, 50).groupBy("cell").applyInArrow(cover_tree.gather, cover_tree.CHUNKED).cache(), points
+
+
+def test_meetings_of_chunks_grow_about_linearly_on_clustered_data(spark):
+    counts = {}
+    for n in (2000, 8000):
+        chunks, points = leaves_of(spark, n, 100)
+        rows = {r.cell: r for r in chunks.collect()}
+        pairs = {(r.a, r.b) for r in cover_tree.meetings(chunks, 0.999).collect()}
+        counts[n] = len(rows), len(pairs)
+        place = {k: c for c, r in rows.items() for k in np.frombuffer(r["keys"], np.int64)}
+        assert len(place) == n and all(len(r["keys"]) <= 400 for r in rows.values())
+        a, b = np.nonzero(np.triu(points @ points.T >= 0.999))
+        assert {tuple(sorted((place[i], place[j]))) for i, j in zip(a, b)} <= pairs  # no link is pruned
+    (few, near), (many, met) = counts[2000], counts[8000]
+    assert met < 6 * near and met < many * many / 8, counts
+
+
 def test_embedding_query_matches_all_pairs(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     got = queries.op9_embedding_dedup(spark, SF).collect()
