@@ -8,6 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftcast.plans import flagship as FL
+from weftcast.plans import modelling as ML
+from weftcast.plans import runs as RN
 from weftcast.sources import panels
 
 
@@ -33,3 +36,17 @@ def test_large_customer_is_not_broadcast(spark, weekly_tables, tmp_path):
     table = panels.weekly_panel(spark, str(large))
     assert "Broadcast" not in table._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, table.select(columns).collect())) == known
+
+
+def test_all_stacks_of_a_session_come_from_one_scan(spark, weekly_tables, monkeypatch):
+    scans, built = [], []
+    scan = FL.weekly_panel
+    monkeypatch.setattr(FL, "weekly_panel", lambda *a: scans.append(a) or scan(*a))
+    monkeypatch.setattr(ML, "build_stack", lambda eng, *a, **kw: built.append(eng) or object())
+    for autoregressive in (False, True):
+        for full in (False, True):
+            RN.stack_for(spark, weekly_tables, autoregressive, full)
+    assert len(scans) == 1 and len(built) == 4
+    assert not any("orders.parquet" in "".join(eng.inputFiles()) for eng in built)
+    whole = FL.engineered_panel(spark, weekly_tables, True)[0]
+    assert built[2].count() == whole.count() and built[2].columns == whole.columns

@@ -2,8 +2,8 @@
 ablation) and their report sinks (#2-#7, #54, #67).
 
 A run is a handful of Spark jobs over one entity-partitioned panel; parameters,
-models and the best model of each entity stay DataFrames.  Stacks (selection + scaling, checkpointed) are memoised
-per session so several report queries share one build.
+models and the best model of each entity stay DataFrames.  The cleaned panel and the stacks (selection + scaling),
+checkpointed, are memoised per session so several report queries share one scan and one build.
 """
 
 from __future__ import annotations
@@ -30,6 +30,15 @@ from . import modelling as ML
 QUERY_CFG = ML.RunConfig()
 
 _STACKS: dict = {}
+_PANELS: dict = {}
+
+
+def panel_for(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned weekly panel, written to the checkpoint folder once a session: all stacks come from one scan of the orders."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PANELS:
+        _PANELS[key] = cut_lineage(FL.cleaned_panel(spark, sf_dir))
+    return _PANELS[key]
 
 
 def stack_for(spark: SparkSession, sf_dir: str, autoregressive: bool = False, full_train: bool = False,
@@ -37,7 +46,7 @@ def stack_for(spark: SparkSession, sf_dir: str, autoregressive: bool = False, fu
     cfg = cfg or QUERY_CFG
     key = (spark.sparkContext.applicationId, sf_dir, autoregressive, full_train, repr(cfg))
     if key not in _STACKS:
-        eng, names, case = FL.engineered_panel(spark, sf_dir, autoregressive=autoregressive)
+        eng, names, case = FL.engineer(panel_for(spark, sf_dir).repartition("entity"), FL.SPEC, autoregressive=autoregressive)
         _STACKS[key] = ML.build_stack(eng, names, case, cfg, full_train=full_train)
     return _STACKS[key]
 
